@@ -10,10 +10,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The six white-space characters that separate words.
-SPACE = r"[\x20\x09-\x0D]+"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,9 +38,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spaced(text):
+    """The text with each of the six white-space characters as a space; null is empty."""
+    text = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def words_column(text):
     """array<string> of the words of a text column; null has none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")
+    return F.array_remove(F.split(spaced(text), " ", -1), "")
 
 
 def worker_cache() -> dict:
