@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import chat, quality
+from scriptorium.llm import chat, langid, license, quality
 from scriptorium.llm.common import table
 
 QUERIES: dict = {}
@@ -62,3 +62,35 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_quality_rules"] = op4_quality_rules
+
+
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every document."""
+    got = license.scan_licenses(table(spark, sf_dir, "documents"))
+    words = F.transform("phrases", lambda p: p.word)
+    base = F.array_sort(F.array_distinct(F.transform("phrases", lambda p: p.label)))
+    more = F.array_sort(F.array_distinct(F.concat(base, F.transform("notices", lambda n: n.label))))
+    best = F.coalesce(F.array_max(F.transform("notices", lambda n: n.score)), F.lit(0.0))
+    return got.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(more, ",").alias("labels"),
+        F.when(F.size("phrases") > 0, 1.0).otherwise(best).alias("score"),
+        "notices",
+    )
+
+
+QUERIES["op7_license_scans"] = op7_license_scans
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    got = langid.language_id(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", langid.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES["op8_language_id"] = op8_language_id
