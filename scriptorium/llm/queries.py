@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import chat, langid, license, packing, quality
+from scriptorium.llm import chat, langid, license, packing, quality, warc
 from scriptorium.llm.common import table
 
 QUERIES: dict = {}
@@ -108,3 +108,29 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_packing"] = op9_packing
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page to WARC archives, then read them back."""
+    got = warc.round_trip(table(spark, sf_dir, "pages")).where("kind = 'record'")
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op2_warc"] = op2_warc
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+ORACLES["op2_warc"] = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, upper(sha1(coalesce(html, ''))) AS hex FROM pages
+), d AS (
+  SELECT page_id, hex, strlen(html)::BIGINT AS payload_bytes,
+    list_aggregate(list_transform(range(32), lambda i:
+      substr('{_BASE32}', 1 + (((('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::INTEGER) >> (15 - 5 * (i % 4))::INTEGER) & 31), 1)
+    ), 'string_agg', '') AS payload_digest,
+    min(page_id) OVER (PARTITION BY hex) AS first
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM d
+"""
