@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import chat, langid, license, packing, quality, warc
+from scriptorium.llm import brown, chat, langid, license, packing, quality, warc
 from scriptorium.llm.common import table
 
 QUERIES: dict = {}
@@ -134,3 +134,11 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM d
 """
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a unigram and a class-based model."""
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_lm_scoring"] = op6_lm_scoring
