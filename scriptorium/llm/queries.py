@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import brown, chat, langid, license, packing, quality, warc
+from scriptorium.llm import brown, chat, decontam, langid, license, packing, quality, warc
 from scriptorium.llm.common import table
 
 QUERIES: dict = {}
@@ -142,3 +142,11 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_lm_scoring"] = op6_lm_scoring
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of a benchmark item in a document."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op1_decontamination"] = op1_decontamination
