@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import brown, chat, decontam, langid, license, packing, quality, warc
+from scriptorium.llm import brown, chat, decontam, jaccard, langid, license, packing, quality, warc
 from scriptorium.llm.common import table
 
 QUERIES: dict = {}
@@ -150,3 +150,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_decontamination"] = op1_decontamination
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op3_ngram_jaccard_join"] = op3_ngram_jaccard_join
