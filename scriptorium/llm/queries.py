@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import brown, chat, decontam, jaccard, langid, license, packing, quality, warc
+from scriptorium.llm import brown, chat, decontam, html, jaccard, langid, license, packing, quality, warc
 from scriptorium.llm.common import table
 
 QUERIES: dict = {}
@@ -158,3 +158,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_ngram_jaccard_join"] = op3_ngram_jaccard_join
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    got = html.extract(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES["op5_html_extraction"] = op5_html_extraction
