@@ -142,6 +142,17 @@ def _frequency(docs: DataFrame, items: Items) -> np.ndarray:
     return counts[1:] / max(counts.sum(), 1)
 
 
+def _blocks(docs: DataFrame, benchmark: DataFrame, chance: float, least: int, block_items: int) -> Iterator:
+    """Broadcast items of each block of the benchmark, with their seeds."""
+    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
+    blocks = max(1, -(-tests.count() // block_items))
+    for k in range(blocks):
+        block = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        items = Items([(r.item_id, r.text) for r in block.collect()])
+        items.choose(_frequency(docs, items), chance, least)
+        yield docs.sparkSession.sparkContext.broadcast(items)
+
+
 def find_leaks(
     df: DataFrame,
     benchmark: DataFrame,
@@ -155,16 +166,10 @@ def find_leaks(
 ) -> DataFrame:
     """doc_id, item_id, score, first_word, n_words of each passage of a test item in a document."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
-    blocks = max(1, -(-tests.count() // block_items))
     schema = "doc_id long, item_id long, score double, first_word long, n_words long"
     names = [c.split()[0] for c in schema.split(", ")]
     out = None
-    for k in range(blocks):
-        block = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        items = Items([(r.item_id, r.text) for r in block.collect()])
-        items.choose(_frequency(docs, items), chance, least)
-        held = df.sparkSession.sparkContext.broadcast(items)
+    for held in _blocks(docs, benchmark, chance, least, block_items):
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             own = held.value
@@ -177,6 +182,25 @@ def find_leaks(
     return out
 
 
-def without_leaks(df: DataFrame, leaks: DataFrame) -> DataFrame:
-    """Documents that no leak names."""
-    return df.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti")
+def without_leaks(
+    df: DataFrame,
+    benchmark: DataFrame,
+    chance: float = 1e-8,
+    least: int = 4,
+    min_score: float = 0.4,
+    min_words: int = 24,
+    block_items: int = 5000,
+) -> DataFrame:
+    """The rows of df in which no test item is found."""
+
+    def leaking(held):
+        @F.pandas_udf("boolean")
+        def run(text: pd.Series) -> pd.Series:
+            own = held.value
+            return pd.Series([bool(own.leaks(t, min_score, min_words)) for t in text], dtype=bool)
+
+        return run("text")
+
+    for held in list(_blocks(df.select("text"), benchmark, chance, least, block_items)):
+        df = df.where(~leaking(held))
+    return df

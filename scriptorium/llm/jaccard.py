@@ -297,7 +297,10 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its near-duplicate class), copy_id (of its equal sets), n_links."""
+    """doc_id, class_id (smallest doc_id of its near-duplicate class), copy_id (of its equal sets), n_links.
+
+    Also text_id (digest of the text) and stays: whether a row is of its class's first id and, with it, first text.
+    """
     runs = math.ceil(-math.log(1 - recall))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("text_id", F.md5(F.coalesce("text", F.lit(""))))
@@ -327,14 +330,26 @@ def near_duplicates(
     links = written(exact_links(sets, threshold, block), "links")
     final = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
-    known = final.join(counts, "node", "left").join(nodes.select("node", "rep.doc_id"), "node")
-    classes = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    known = known.join(classes, "label").select("node", "class_id", "links")
-    out = nodes.select("node", F.col("rep.doc_id").alias("copy_id"), "copies").join(known, "node", "left")
-    out = rows.select("doc_id", "node").join(out, "node")
+    known = final.join(counts, "node", "left").join(nodes.select("node", "rep"), "node")
+    classes = known.groupBy("label").agg(F.min("rep").alias("first"))
+    known = known.join(classes, "label").select("node", "first", "links")
+    out = nodes.select("node", "rep", "copies").join(known, "node", "left").withColumn("first", F.coalesce("first", "rep"))
+    out = rows.select("doc_id", "text_id", "node").join(out, "node")
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_id") == F.col("first.text_id"))
     return out.select(
         "doc_id",
-        F.coalesce("class_id", "copy_id").alias("class_id"),
-        "copy_id",
+        F.col("first.doc_id").alias("class_id"),
+        F.col("rep.doc_id").alias("copy_id"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"),
+        "text_id",
+        own.alias("stays"),
     )
+
+
+def keep_one(df: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """One row of df of each near-duplicate class."""
+    found = near_duplicates(df, n, threshold).where("stays").select("doc_id", "text_id").distinct()
+    rows = df.select(F.struct(*df.columns).alias("whole"), "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_id"))
+    same = (F.col("r.text_id") == F.col("k.text_id")) & F.col("r.doc_id").eqNullSafe(F.col("k.doc_id"))
+    rows = rows.alias("r").join(found.alias("k"), same, "left_semi")
+    return rows.dropDuplicates(["doc_id", "text_id"]).select("whole.*")

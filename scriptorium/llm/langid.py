@@ -27,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UND = "und"
@@ -163,22 +163,31 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score of every row."""
-    held = df.sparkSession.sparkContext.broadcast(model)
+def predictor(spark: SparkSession, model: Model | None):
+    """A function of a text column: struct of lang_pred and score."""
+    held = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def run(text: pd.Series) -> pd.DataFrame:
+        own, texts = held.value, text.tolist()
+        langs, scores = own.predict(texts) if own else ([UND] * len(texts), [0.0] * len(texts))
+        return pd.DataFrame({"lang_pred": langs, "score": scores})
+
+    return run
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = held.value
-        for x in batches:
-            texts = x["text"].tolist()
-            langs, scores = own.predict(texts) if own else ([UND] * len(texts), [0.0] * len(texts))
-            yield pd.DataFrame({"doc_id": x["doc_id"], "lang_pred": langs, "score": scores})
 
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInPandas(run, "doc_id long, lang_pred string, score double")
+def _fitted(df: DataFrame) -> Model | None:
+    return fit(df.where(~is_held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
 
 
 def language_id(df: DataFrame) -> DataFrame:
     """doc_id, lang_pred, score of every document, learned from those not held out."""
-    model = fit(df.where(~is_held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return predict(df, model)
+    got = predictor(df.sparkSession, _fitted(df))
+    return df.select("doc_id", got("text").alias("p")).select("doc_id", "p.lang_pred", "p.score")
+
+
+def keep_known(df: DataFrame, least: float = 0.25) -> DataFrame:
+    """The rows of df whose language is told with at least that score."""
+    got = predictor(df.sparkSession, _fitted(df))
+    rows = df.select(F.struct(*df.columns).alias("whole"), got("text").alias("p"))
+    return rows.where((F.col("p.lang_pred") != UND) & (F.col("p.score") >= least)).select("whole.*")

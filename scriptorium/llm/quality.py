@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import spaced, words_column
 
 SYMBOLS = "#*$%&|<>"
+#: Target features assumed for an average bucket before any is seen.
+PRIOR = 32
 
 
 def _empty(kind: str) -> Column:
@@ -45,16 +47,17 @@ def _pairs(a: Column | str, b: Column | str, n: int) -> Column:
     return F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(b) - n, F.lit(0))), _rest(b, n), lambda x, y: F.xxhash64(x, y))
 
 
-def counted(docs: DataFrame) -> DataFrame:
+def counted(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, one and two (hashes of words and of pairs) and the counts of each text that need no other text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    at = docs.select("doc_id", text.alias("text"), spaced(F.col("text")).alias("spaced"))
+    at = docs.select("doc_id", *more, text.alias("text"), spaced(F.col("text")).alias("spaced"))
     bare = F.col("text")
     for c in SYMBOLS:
         bare = F.replace(bare, F.lit(c), F.lit(""))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     at = at.select(
         "doc_id",
+        *more,
         F.transform(F.array_remove(F.split("spaced", " ", -1), ""), lambda w: F.xxhash64(w)).alias("one"),
         lines.alias("lines"),
         F.length(F.replace("spaced", F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
@@ -72,6 +75,7 @@ def counted(docs: DataFrame) -> DataFrame:
     covered = F.flatten(F.transform("starts", lambda i: F.array(i, i + 1, i + 2)))
     return at.select(
         "doc_id",
+        *more,
         "one",
         "two",
         F.size("one").cast("long").alias("n_words"),
@@ -87,7 +91,11 @@ def bucket(h: Column, bits: int) -> Column:
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, bits: int, max_target: int) -> list[float]:
-    """log(p_target / p_raw) of each bucket, add-one smoothed; 0 for a bucket nothing fell in."""
+    """log(p_target / p_raw) of each bucket; 0 for a bucket nothing fell in.
+
+    The corpus is smoothed by one of each bucket, the target by the corpus, at PRIOR for an average bucket, so that
+    a small target says little about buckets it has hardly seen.
+    """
     good = labels.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
     good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target).withColumn("target", F.lit(1))
     at = docs.select("doc_id", F.transform(words_column(F.col("text")), lambda w: F.xxhash64(w)).alias("one"))
@@ -95,12 +103,27 @@ def log_ratios(docs: DataFrame, labels: DataFrame, bits: int, max_target: int) -
     at = at.select("target", F.explode(F.concat("one", _pairs("one", "one", 1))).alias("h"))
     at = at.groupBy(bucket(F.col("h"), bits).alias("b"))
     rows = at.agg(F.count(F.lit(1)).alias("raw"), F.count("target").alias("good")).collect()
-    n_raw, n_good, out = sum(r.raw for r in rows), sum(r.good for r in rows), [0.0] * 2**bits
+    n_raw, n_good, size = sum(r.raw for r in rows), sum(r.good for r in rows), 2**bits
+    out, prior = [0.0] * size, PRIOR * size
     for r in rows if n_good else ():
-        out[r.b] = math.log((r.good + 1) / (n_good + 2**bits)) - math.log((r.raw + 1) / (n_raw + 2**bits))
+        p = (r.raw + 1) / (n_raw + size)
+        out[r.b] = math.log((r.good + 1 + prior * p) / (n_good + size + prior)) - math.log(p)
     return out
 
 
+def _judged(
+    docs: DataFrame, labels: DataFrame, bits: int, max_target: int, threshold: float, *more: str
+) -> DataFrame:
+    table = ",".join(map(repr, log_ratios(docs, labels, bits, max_target)))
+    weights = F.split(F.lit(table), ",").cast("array<double>")
+    at = counted(docs, *more)
+    total = F.aggregate(F.concat("one", "two"), F.lit(0.0), lambda a, h: a + F.element_at(weights, bucket(h, bits) + 1))
+    at = at.withColumn("score", total / F.greatest(F.size("one") + F.size("two"), F.lit(1)))
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    at = at.withColumn("base_failed", failed)
+    return at.drop("one", "two").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+
+
 def quality(
     df: DataFrame,
     labels: DataFrame,
@@ -108,15 +131,14 @@ def quality(
     text_col: str = "text",
     bits: int = 14,
     max_target: int = 20000,
-    threshold: float = -0.05,
+    threshold: float = -0.03,
 ) -> DataFrame:
     """A row for each document: its counts, base_failed, score and kept."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    table = ",".join(map(repr, log_ratios(docs, labels, bits, max_target)))
-    weights = F.split(F.lit(table), ",").cast("array<double>")
-    at = counted(docs)
-    total = F.aggregate(F.concat("one", "two"), F.lit(0.0), lambda a, h: a + F.element_at(weights, bucket(h, bits) + 1))
-    at = at.withColumn("score", total / F.greatest(F.size("one") + F.size("two"), F.lit(1)))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    at = at.withColumn("base_failed", failed)
-    return at.drop("one", "two").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return _judged(docs, labels, bits, max_target, threshold)
+
+
+def keep_good(df: DataFrame, labels: DataFrame, bits: int = 14, max_target: int = 20000, threshold: float = -0.03) -> DataFrame:
+    """The rows of df (doc_id, text and any others) that are kept; nothing is shuffled but counts."""
+    docs = df.select("doc_id", "text", F.struct(*df.columns).alias("whole"))
+    return _judged(docs, labels, bits, max_target, threshold, "whole").where("kept").select("whole.*")

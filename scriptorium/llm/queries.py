@@ -154,7 +154,8 @@ QUERIES["op1_decontamination"] = op1_decontamination
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and number of links of every document."""
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    got = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "class_id", "copy_id", "n_links")
 
 
 QUERIES["op3_ngram_jaccard_join"] = op3_ngram_jaccard_join
