@@ -1,9 +1,10 @@
 """Readability formulas over one set of counts.
 
-Syllables are groups of vowels, less a silent final ``e``, one at least; words
+Syllables are groups of vowels, less a silent final ``e`` (not after ``l``), one at
+least; words
 are letters with inner apostrophes or hyphens; sentences end in ``.``, ``!`` or
 ``?``. These are published formulas on documented counts, not any library's
-rounding. Dale-Chall and Spache take the list of easy words as an argument.
+rounding (halves go up; noise under 1e-9 is ignored). Dale-Chall and Spache take the list of easy words as an argument.
 """
 
 from __future__ import annotations
@@ -68,4 +69,4 @@ def scores(n_min: int = 10) -> dict[str, Column]:
         "powers_sumner_kearl": 0.0778 * W / S + 0.0455 * 100.0 * Y / W - 2.2029,
     }
     enough = (F.col("n_split") >= n_min) & (F.size("words") > 0)
-    return {k: F.when(enough, F.round(v, 3)) for k, v in out.items()}
+    return {k: F.when(enough, F.round(v + 1e-9, 3)) for k, v in out.items()}

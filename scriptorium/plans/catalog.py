@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from scriptorium.plans import relational, texts  # noqa: F401  they register their queries
+from scriptorium.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
