@@ -427,3 +427,48 @@ def argmax_concept(spark, sf_dir):
     """The entry of highest score of each owner, the earlier of equal ones."""
     best = F.max_by("event_type", F.struct("value", -F.col("event_id")))
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"), F.max("value").alias("most"), best.alias("best_type"))
+
+
+@query("""SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL""")
+def windowed_events(spark, sf_dir):
+    """The stream's windowed counts, run over the whole table at once."""
+    from scriptorium.streaming.incremental import windowed_counts
+
+    got = windowed_counts(table(spark, sf_dir, "events"))
+    return got.withColumn("mean", F.round("mean", 6))
+
+
+@query()
+def line_sections(spark, sf_dir):
+    """Sections of documents as lines; headings are put before some lines."""
+    from scriptorium.sources.fulltext import documents, line_sections
+
+    p = papers(spark, sf_dir).select("paper_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    heading = F.element_at(F.array(*map(F.lit, ["1 Introduction", "2 Method", "Results", "5. Conclusion"])), (F.col("line_no") / 2 % 4 + 1).cast("int"))
+    extra = p.where("line_no % 2 = 0").select("paper_id", (F.col("line_no") - 0.5).alias("line_no"), heading.alias("text"), F.lit(14.0).alias("size"))
+    lines = p.select("paper_id", F.col("line_no").cast("double").alias("line_no"), "text", F.lit(10.0).alias("size")).unionByName(extra)
+    return documents(line_sections(lines.where("text <> ''"), "paper_id"), "paper_id", "fallback")
+
+
+@query()
+def tei_sections(spark, sf_dir):
+    """Documents wrapped as TEI, parsed and named; every tenth is cut short and fails."""
+    from scriptorium.sources.fulltext import documents, read_tei
+
+    text = F.regexp_replace("text", "[<>&\\x00-\\x08]", " ")
+    head, tail = '<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><div><head>2 Our Method</head><p>', "</p></div></body></text></TEI>"
+    xml = F.concat(F.lit(head), text, F.when(F.col("paper_id") % 10 == 0, "").otherwise(tail))
+    p = papers(spark, sf_dir).select("paper_id", xml.alias("xml"))
+    return documents(read_tei(p, "paper_id", "xml"), "paper_id", "grobid")
+
+
+@query("""SELECT doc_id, concat_ws(chr(10) || chr(10), '[Method]' || chr(10) || split_part(text, chr(10), 1), '[results]' || chr(10) || source) AS prompt_text, 'Q: baseline? T: ' || source AS prompt FROM documents""")
+def feature_prompts(spark, sf_dir):
+    """What a judge reads of a document for one feature."""
+    d = table(spark, sf_dir, "documents")
+    one = lambda h, n, t: F.struct(F.lit(h).alias("heading"), F.lit(n).alias("normalized"), t.alias("text"))
+    line = F.split("text", "\n", 2)[0]
+    sections = F.array(one("Method", "methods", line), one("Intro", "introduction", F.lit("no")), one("", "results", F.col("source")))
+    none = F.array().cast("array<string>")
+    text = J.feature_text(sections, none, none, "baseline_present", 10**6)
+    return d.select("doc_id", text.alias("prompt_text"), J.build_prompt("Q: {QUESTION} T: {TEXT}", "baseline?", F.col("source")).alias("prompt"))
