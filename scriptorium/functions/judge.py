@@ -85,11 +85,14 @@ def noun_chains(tags: Column) -> dict[str, Column]:
     """Counts over an array of part-of-speech tags: runs of three nouns (apart), nouns, verbs, numbers."""
     line = F.array_join(tags, "/")
     out = {"noun_chunks3": F.regexp_count(line, F.lit(r"(?<![A-Z])NOUN/NOUN/NOUN(?![A-Z])"))}
-    for t in ("NOUN", "VERB", "NUM"):
-        out[f"{t.lower()}_count"] = F.size(F.filter(tags, lambda x, t=t: x == t))
+    out |= {f"{t.lower()}_count": F.size(F.filter(tags, _is(t))) for t in ("NOUN", "VERB", "NUM")}
     return out
 
 
+def _is(tag: str):
+    return lambda x: x == tag
+
+
 def type_token_ratio(lemmas: Column) -> Column:
     return F.round(F.try_divide(F.size(F.array_distinct(lemmas)) * 1.0, F.size(lemmas)), 4)
 
