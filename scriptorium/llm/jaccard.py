@@ -142,8 +142,8 @@ def _roots(linked: np.ndarray) -> np.ndarray:
     """Smallest member of each one's component, of a symmetric boolean matrix."""
     root = np.arange(len(linked))
     while True:
-        new = np.where(linked, root[None, :], len(root)).min(1)
-        new = np.minimum(new, root)
+        parts = [np.where(linked[a : a + 256], root, len(root)).min(1) for a in range(0, len(root), 256)]
+        new = np.minimum(np.concatenate(parts), root)
         new = new[new]
         if (new == root).all():
             return root
@@ -293,6 +293,7 @@ def near_duplicates(
     recall: float = 0.99999,
     small: int = 64,
     slack: float = 0.2,
+    sketch_block: int = 2048,
     block: int = 512,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -309,7 +310,7 @@ def near_duplicates(
     same = [F.first(c).alias(c) for c in ("sketch", *(f"level{d}" for d in range(DEPTH)))]
     nodes = rows.groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), *same)
     nodes = written(nodes, "nodes")
-    edges = candidate_edges(buckets(nodes, small), nodes.select("node", "sketch"), threshold - slack, block)
+    edges = candidate_edges(buckets(nodes, small), nodes.select("node", "sketch"), threshold - slack, sketch_block)
     labels = components(edges)
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     labels = written(labels.join(sizes, "label").join(nodes.select("node", "rep", "copies"), "node"), "labels")
