@@ -95,9 +95,9 @@ def sketch(tokens: np.ndarray) -> bytes:
 
 def _chosen(tokens: np.ndarray, path: int, rate: float) -> list[int]:
     """Buckets below a bucket: keys of the tokens that a set samples there."""
-    h = _mix(tokens ^ np.uint64(path))
-    picked = h[h < np.uint64(min(rate * 2.0**64, 2.0**64 - 4096))] if rate < 1 else h
-    return [int(k) for k in _mix(picked + np.uint64(path))]
+    if rate < 1:  # tokens are mixed well, so one multiplication deals them anew
+        tokens = tokens[tokens * np.uint64(path | 1) < np.uint64(min(rate * 2.0**64, 2.0**64 - 4096))]
+    return _mix(tokens ^ np.uint64(path)).tolist()
 
 
 def paths(tokens: np.ndarray, runs: int, threshold: float) -> list[list[tuple[int, int]]]:
