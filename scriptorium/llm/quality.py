@@ -141,4 +141,7 @@ def quality(
 def keep_good(df: DataFrame, labels: DataFrame, bits: int = 14, max_target: int = 20000, threshold: float = -0.03) -> DataFrame:
     """The rows of df (doc_id, text and any others) that are kept; nothing is shuffled but counts."""
     docs = df.select("doc_id", "text", F.struct(*df.columns).alias("whole"))
-    return _judged(docs, labels, bits, max_target, threshold, "whole").where("kept").select("whole.*")
+    judged = _judged(docs, labels, bits, max_target, threshold, "whole")
+    # A filter would move below the projections that make the verdict and repeat them; it does not pass a generator.
+    judged = judged.select(F.inline(F.array(F.struct("whole", "kept"))))
+    return judged.where("kept").select("whole.*")
