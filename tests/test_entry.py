@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 def test_names():
     q, o = entry.queries(), entry.oracle_sql()
-    assert set(o) <= set(q) and len(q) > 60
+    assert set(o) <= set(q) and len(q) > 50
 
 
 def test_entry(spark):
