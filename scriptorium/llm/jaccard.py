@@ -100,22 +100,18 @@ def _chosen(tokens: np.ndarray, path: int, rate: float) -> list[int]:
     return _mix(tokens ^ np.uint64(path)).tolist()
 
 
-def paths(tokens: np.ndarray, runs: int, threshold: float) -> list[list[tuple[int, int]]]:
-    """Of each depth, (bucket above, bucket) pairs; the buckets above the first are the runs."""
+def paths(tokens: np.ndarray, runs: int, threshold: float) -> list[tuple[list[int], list[int]]]:
+    """Of each depth the buckets, and which bucket of the depth above (at first: which run) each is in."""
     rate = 1 / (threshold * max(len(tokens), 1))
     above = [(r * 0xD1342543DE82EF95 + 1) % (1 << 64) for r in range(runs)]
     out = []
     for _ in range(DEPTH):
-        level = [(a, k) for a in above for k in _chosen(tokens, a, rate)]
-        out.append(level)
-        above = [k for _, k in level]
+        level = [(k, i) for i, a in enumerate(above) for k in _chosen(tokens, a, rate)]
+        above = [k for k, _ in level]
+        out.append((np.array(above, np.uint64).view(np.int64).tolist(), [i for _, i in level]))
     return out
 
 
-def _signed(k: int) -> int:
-    return k - (1 << 64) if k >> 63 else k
-
-
 def groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """Frames of one key each, of batches sorted by it."""
     rest: list[pd.DataFrame] = []
@@ -165,11 +161,15 @@ def _dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key)
 
 
+def _level_columns() -> list[str]:
+    """Buckets of each depth and, below the first, places of the buckets above."""
+    return [f"level{d}" for d in range(DEPTH)] + [f"above{d}" for d in range(1, DEPTH)]
+
+
 def node_table(df: DataFrame, n: int, threshold: float, runs: int) -> DataFrame:
     """A row for each document: doc_id, text_id, node (digest of its set), sketch, and buckets of each depth."""
-    pair = "array<struct<p:long,k:long>>"
-    schema = "doc_id long, text_id string, node binary, sketch binary, " + ", ".join(f"level{d} {pair}" for d in range(DEPTH))
-    names = ["doc_id", "text_id", "node", "sketch", *(f"level{d}" for d in range(DEPTH))]
+    kinds = ", ".join(f"{c} array<{'long' if c[0] == 'l' else 'int'}>" for c in _level_columns())
+    names = ["doc_id", "text_id", "node", "sketch", *_level_columns()]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Shingler(n)
@@ -179,26 +179,28 @@ def node_table(df: DataFrame, n: int, threshold: float, runs: int) -> DataFrame:
                 for doc_id, text_id, text in zip(some["doc_id"], some["text_id"], some["text"]):
                     t = own.tokens(text)
                     node = hashlib.blake2b(t.tobytes(), digest_size=16).digest()
-                    levels = [[{"p": _signed(p), "k": _signed(k)} for p, k in v] for v in paths(t, runs, threshold)]
-                    rows.append((doc_id, text_id, node, sketch(t), *levels))
+                    levels = paths(t, runs, threshold)
+                    rows.append((doc_id, text_id, node, sketch(t), *(k for k, _ in levels), *(i for _, i in levels[1:])))
                 yield pd.DataFrame(rows, columns=names)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(run, f"doc_id long, text_id string, node binary, sketch binary, {kinds}")
 
 
 def buckets(nodes: DataFrame, small: int) -> DataFrame:
     """(bucket, node, n) of the buckets to compare: of at most ``small`` nodes, or as deep as paths go."""
-    out = large = None
+    rows = nodes.select("node", F.explode("level0").alias("bucket"))
+    out = None
     for d in range(DEPTH):
-        rows = nodes.select("node", F.explode(f"level{d}").alias("x")).select("node", "x.p", F.col("x.k").alias("bucket"))
-        if large is not None:
-            rows = rows.join(large.select(F.col("bucket").alias("p")), "p", "left_semi")
-        rows = rows.select("bucket", "node").distinct() if d else rows.select("bucket", "node")
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         done = sizes if d == DEPTH - 1 else sizes.where(F.col("n") <= small)
-        large = sizes.where(F.col("n") > small)
         found = rows.join(done, "bucket")
         out = found if out is None else out.unionByName(found)
+        if d < DEPTH - 1:
+            large = sizes.where(F.col("n") > small).select(F.col("bucket").alias("p"))
+            below = F.arrays_zip(F.col(f"level{d + 1}").alias("k"), F.col(f"above{d + 1}").alias("i"))
+            rows = nodes.select("node", F.col(f"level{d}").alias("up"), F.explode(below).alias("x"))
+            rows = rows.select("node", F.get("up", F.col("x.i")).alias("p"), F.col("x.k").alias("bucket"))
+            rows = rows.join(large, "p", "left_semi").select("bucket", "node").distinct()
     return out
 
 
@@ -307,7 +309,7 @@ def near_duplicates(
     docs = docs.withColumn("text_id", F.md5(F.coalesce("text", F.lit(""))))
     rows = written(node_table(docs, n, threshold, runs), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_id")).alias("rep")
-    same = [F.first(c).alias(c) for c in ("sketch", *(f"level{d}" for d in range(DEPTH)))]
+    same = [F.first(c).alias(c) for c in ("sketch", *_level_columns())]
     nodes = rows.groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), *same)
     nodes = written(nodes, "nodes")
     edges = candidate_edges(buckets(nodes, small), nodes.select("node", "sketch"), threshold - slack, sketch_block)
