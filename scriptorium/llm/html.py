@@ -12,15 +12,17 @@ host, if ``min_pages`` pages have it and its importance and that of each text in
 it are below ``least``.
 
 Entropy alone takes menus and adverts whose words are drawn anew for each page
-for content, and mirrored articles for boilerplate. So the elements that HTML
-itself names decide first: navigation, header, footer, aside, form, script and
-the like, and classes, ids or roles that name such parts, have importance 0;
-inside ``article`` or ``main`` everything else has importance 1, and where a
-page has one, nothing outside it is main text. The tree decides all other
-branches.
+for content, and mirrored articles for boilerplate. So elements that HTML itself
+names as no content (navigation, header, footer, aside, form, script and the
+like, and classes, ids or roles that name such parts) are dropped by name. The
+tree of all pages decides all other branches. ``article`` and ``main`` are a
+prior there: inside them a node's importance is ``PRIOR`` and the rest by
+entropy, so only what nearly every page repeats is removed; on a page that has
+one, text outside is kept only where the tree has found its branch to be
+content. A page of which nothing is left so keeps its ``article`` whole.
 
 Nodes of the tree are counted by grouping, never gathered; what a page needs of
-its host is the list of removed branches.
+its host is the list of removed branches and that of content outside ``article``.
 
 Cases: a null or empty page has the empty text; unclosed, misnested and cut
 markup is read as far as it goes; a page whose url has no host, or a null one,
@@ -34,6 +36,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,6 +44,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BOILER, MAIN, OTHER = 0, 1, 2
+#: Importance that a node has by lying inside article or main.
+PRIOR = 0.25
 _DROP = frozenset(
     "head script style noscript template iframe object embed svg math canvas audio video map nav footer aside form "
     "button select option textarea input label fieldset dialog menu header".split()
@@ -99,11 +104,12 @@ def _zone(tag: str, attrs: dict[str, str], above: int) -> int:
 
 
 class Page:
-    """blocks: (zone, text, path of the branch down to the block); children: tags below each path outside the main part."""
+    """blocks: (zone, text, path of the branch down to the block); children: tags below each path outside boilerplate."""
 
     def __init__(self, source: str | None):
         self.blocks: list[tuple[int, str, tuple[int, ...]]] = []
         self.children: dict[tuple[int, ...], list[str]] = {}
+        self.mains: set[int] = set()
         self._text: list[str] = []
         self._stack: list[tuple[str, int, tuple[int, ...]]] = [("", OTHER, ())]
         self._read(source or "")
@@ -142,11 +148,14 @@ class Page:
             attrs = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(rest)}
         _, above, path = stack[-1]
         zone = _zone(tag, attrs, above)
-        if zone == OTHER and tag in _BLOCK:
+        if zone != BOILER and tag in _BLOCK:
             self.children.setdefault(path, []).append(tag)
             name = f"{path[-1] if path else 0}>{tag}.{attrs.get('class', '')}#{attrs.get('id', '')}"
+            name += "+" if zone == MAIN else ""
             path = (*path, zlib.crc32(name.encode("utf-8", "replace")))
             self.children.setdefault(path, [])
+            if zone == MAIN:
+                self.mains.add(path[-1])
         stack.append((tag, zone, path))
 
     def _close(self, tag: str) -> None:
@@ -185,10 +194,14 @@ class Page:
                     self._text.append(s[at : end.start() if end else n])
                 at = end.start() if end else n
 
-    def main_text(self, removed: frozenset[int]) -> str:
-        main = any(z == MAIN for z, _, _ in self.blocks)
-        kept = (t for z, t, p in self.blocks if z == MAIN or (z == OTHER and not main and removed.isdisjoint(p)))
-        return " ".join(kept)
+    def main_text(self, removed: frozenset[int], content: frozenset[int] = frozenset()) -> str:
+        main = [t for z, t, _ in self.blocks if z == MAIN]
+        kept = [
+            t
+            for z, t, p in self.blocks
+            if z != BOILER and removed.isdisjoint(p) and (z == MAIN or not main or (p and p[-1] in content))
+        ]
+        return " ".join(kept or main)
 
 
 def _host() -> Column:
@@ -196,52 +209,68 @@ def _host() -> Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, kind (p: child sequence, c: text), feature, above (paths up to the root), k: pages that have it."""
-    schema = "host string, path long, kind string, feature long, above array<long>"
+    """host, path, kind (p: child sequence, c: text), feature, main (inside article or main), above (paths up to the root,
+    with child sequences only), k: pages that have it."""
+    schema = "host string, path long, kind string, feature long, main boolean, above array<long>, k long"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in schema.split(", ")]
         for x in batches:
             for at in range(0, len(x), 500):
-                rows = set()
+                rows: Counter = Counter()
+                paths, mains = {}, set()
                 some = x.iloc[at : at + 500]
-                for i, (host, source) in enumerate(zip(some["host"], some["html"])):
+                for host, source in zip(some["host"], some["html"]):
                     page = Page(source)
-                    if any(z == MAIN for z, _, _ in page.blocks):
-                        continue
+                    mains |= page.mains
+                    mine = set()
                     for path, tags in page.children.items():
                         if path:
-                            rows.add((i, host, path[-1], "p", zlib.crc32(" ".join(tags).encode()), path))
+                            paths[path[-1]] = list(path)
+                            mine.add((host, path[-1], "p", zlib.crc32(" ".join(tags).encode())))
                     for zone, text, path in page.blocks:
-                        if zone == OTHER and path:
-                            rows.add((i, host, path[-1], "c", zlib.crc32(text.encode("utf-8", "replace")), path))
-                yield pd.DataFrame([(h, p, k, f, list(a)) for _, h, p, k, f, a in rows], columns=names)
+                        if zone != BOILER and path:
+                            mine.add((host, path[-1], "c", zlib.crc32(text.encode("utf-8", "replace"))))
+                    rows.update(mine)
+                yield pd.DataFrame([(h, p, k, f, p in mains, paths[p] if k == "p" else None, n) for (h, p, k, f), n in rows.items()], columns=names)
 
     got = pages.select("host", "html").mapInPandas(run, schema)
-    return got.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("k"), F.first("above").alias("above"))
+    return got.groupBy("host", "path", "kind", "feature").agg(F.first("main").alias("main"), F.first("above").alias("above"), F.sum("k").alias("k"))
 
 
-def removed_branches(tree: DataFrame, least: float, min_pages: int, decay: float) -> DataFrame:
-    """host, removed: the branches of low importance of each host."""
-    share = lambda: F.col("k") / F.col("m")
-    # Each page has one child sequence for a path at least, so these counts sum to its pages.
-    sizes = tree.where("kind = 'p'").groupBy("host", "path").agg(F.sum("k").alias("m"))
-    at = tree.join(sizes, ["host", "path"]).where(F.col("m") >= min_pages)
-    base = F.log(F.col("m").cast("double"))
-    shown = F.sum(F.when(F.col("kind") == "p", -share() * F.log(share())))
-    told = F.avg(F.when(F.col("kind") == "c", 1 - F.log(F.least("k", "m").cast("double")) / base))
-    nodes = at.groupBy("host", "path").agg(
-        F.first("above").alias("above"), F.first("m").alias("m"), (shown / F.first(base)).alias("shown"), told.alias("told")
+def branches(tree: DataFrame, least: float, min_pages: int, decay: float) -> DataFrame:
+    """host, removed: its branches of low importance; content: its other branches with text outside article and main."""
+    log = F.log(F.col("k").cast("double"))
+    of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
+    # A page has one child sequence for a path, so the counts of these sum to its pages. All but the logarithm of that
+    # sum is summed feature by feature.
+    nodes = tree.groupBy("host", "path").agg(
+        F.first("above", ignorenulls=True).alias("above"),
+        F.first("main").alias("main"),
+        of("p", F.col("k")).alias("m"),
+        of("p", F.col("k") * log).alias("p_logs"),
+        of("c", log).alias("c_logs"),
+        of("c", F.lit(1)).alias("texts"),
     )
+    base = F.log(F.col("m").cast("double"))
     # A node with text counts by its text, one without by its presentation.
-    nodes = nodes.withColumn("importance", F.coalesce("told", "shown"))
-    up = nodes.select("host", "importance", F.col("told").isNotNull().alias("text"), F.posexplode("above"), F.size("above").alias("n"))
+    entropy = F.coalesce(1 - F.col("c_logs") / F.col("texts") / base, 1 - F.col("p_logs") / F.col("m") / base)
+    importance = F.when(F.col("main"), PRIOR + (1 - PRIOR) * entropy).otherwise(entropy)
+    nodes = nodes.where((F.col("m") >= min_pages) & (F.col("m") > 1)).withColumn("importance", importance)
+    text = F.col("texts").isNotNull()
+    up = nodes.select("host", "path", "main", "importance", text.alias("text"), F.posexplode("above"), F.size("above").alias("n"))
     weight = F.pow(F.lit(decay), F.col("n") - 1 - F.col("pos")) * F.when(F.col("text"), 1.0).otherwise(0.1)
     branch = up.groupBy("host", F.col("col").alias("path")).agg(
         (F.sum(weight * F.col("importance")) / F.sum(weight)).alias("importance"),
         F.max(F.when(F.col("text"), F.col("importance"))).alias("most"),
+        F.bool_or((F.col("path") == F.col("col")) & F.col("text") & ~F.col("main")).alias("outside"),
+    )
+    low = (F.col("importance") < least) & (F.coalesce("most", F.lit(0.0)) < least)
+    return (
+        branch.where(low | F.col("outside"))
+        .groupBy("host")
+        .agg(F.collect_set(F.when(low, F.col("path"))).alias("removed"), F.collect_set(F.when(~low, F.col("path"))).alias("content"))
     )
-    return branch.where((F.col("importance") < least) & (F.coalesce("most", F.lit(0.0)) < least)).groupBy("host").agg(F.collect_set("path").alias("removed"))
 
 
 def extract(
@@ -256,14 +285,14 @@ def extract(
     """page_id, url, text of every page."""
     pages = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     pages = pages.withColumn("host", _host())
-    removed = removed_branches(style_tree(pages), least, min_pages, decay)
+    judged = branches(style_tree(pages), least, min_pages, decay)
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            gone = [frozenset(() if r is None else r) for r in x["removed"]]
-            texts = [Page(h).main_text(g) for h, g in zip(x["html"], gone)]
+            gone, kept = ([frozenset(() if r is None else r) for r in x[c]] for c in ("removed", "content"))
+            texts = [Page(h).main_text(g, k) for h, g, k in zip(x["html"], gone, kept)]
             yield pd.DataFrame({"page_id": x["page_id"], "url": x["url"], "text": texts})
 
-    rows = pages.join(removed, "host", "left").select("page_id", "url", "html", "removed")
+    rows = pages.join(judged, "host", "left").select("page_id", "url", "html", "removed", "content")
     return rows.mapInPandas(run, f"page_id {kind}, url string, text string")

@@ -353,6 +353,21 @@ def test_site_style_tree(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_style_tree_judges_inside_and_outside_articles(spark):
+    page = "<body><article><h1>Title {i}</h1><p>Story {i} here</p><div class=box>Tell your friends</div></article><div class=more>Also {i} there</div><div>Made by us</div></body>"
+    card = "<body><article class=card>Top story of the day</article><div class=story><p>Long text {i}</div></body>"
+    rows = [(i, f"http://host/{i}", page.format(i=f"w{i}")) for i in range(12)]
+    rows += [(20 + i, f"http://cards/{i}", card.format(i=f"w{i}")) for i in range(12)]
+    rows += [(40 + i, f"http://mirror/{i}", page.format(i="same")) for i in range(6)]
+    rows += [(60, "http://alone/", page.format(i="x"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    assert all(got[i] == f"Title w{i} Story w{i} here Also w{i} there" for i in range(12))
+    assert all(got[20 + i] == f"Long text w{i}" for i in range(12))
+    assert all(got[40 + i] == "Title same Story same here Tell your friends" for i in range(6))
+    assert got[60] == "Title x Story x here Tell your friends"
+
+
 # Language model
 
 
