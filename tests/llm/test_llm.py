@@ -404,6 +404,20 @@ def test_brown_score_is_a_probability(spark, docs):
     assert np.all(emitted <= 1 + 1e-6) and np.allclose((10**model.step).sum(1), 1)
 
 
+def test_brown_clusters_words_beyond_the_first_types(spark):
+    rng = np.random.default_rng(2)
+    a, b = [f"a{i}x{i * 7919}" for i in range(40)], [f"b{i}x{i * 104729}" for i in range(40)]
+    rows = [(" ".join(w for _ in range(20) for w in ("the", a[rng.integers(40)], "of", b[rng.integers(40)])),) for _ in range(100)]
+    df = spark.createDataFrame(rows, "text string")
+
+    def mixed(more_rounds):
+        model, _, _ = brown.fit(df, 10**6, 2, 64, 6, 6, more_rounds=more_rounds)
+        of = lambda w: model.classes[model.types.types[model.types.place[w.encode()]]]
+        return {of(w) for w in a} & {of(w) for w in b}
+
+    assert mixed(0) and not mixed(3)
+
+
 def test_exchange_gains():
     rng = np.random.default_rng(1)
     b = rng.integers(0, 3, (21, 21)).astype(float)
