@@ -40,8 +40,9 @@ from scriptorium.llm.common import worker_cache, written
 SALTS = 64
 #: Text pieces whose ids a worker remembers in each of two generations.
 REMEMBERED = 300_000
-#: ASCII letters, then signs: tokenizers that part letters from signs encode the two alone.
-_PLAIN = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+#: Letters of ASCII and Latin-1, then signs: tokenizers that part letters from signs encode the two alone.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+_LATIN = [chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)]
 
 
 class Encoder:
@@ -50,46 +51,61 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
-        probe = ["Ab", "ab", "ab.,", ".,"]
-        low, same, both, signs = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in probe)
+        self.ids = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
+        by_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        #: Latin-1 letters as the byte signs that the model's vocabulary is written in.
+        self.signs_of = {ord(c): by_bytes.pre_tokenize_str(c)[0][0] for c in _LATIN}
+        probe = ["Ab", "ab.,", "\u00c9t\u00e9\u00df", "\u00fcber\u00f1o;)", *_LATIN]
         #: Whether letters are lowered and parted from signs, as _PLAIN takes for granted.
-        self.parts = low == same and both == same + signs
+        self.parts = all(self._plain(*_PLAIN.fullmatch(x).groups()) == self._whole([x])[0] for x in probe)
+        self.known.clear()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for text in texts:
             parts = text.replace("\n", " ").split(" ")
-            new = set(parts).difference(self.known)
-            if new:
-                self._learn(new, parts)
-            yield b"".join(map(self.known.__getitem__, parts))
-
-    def _learn(self, new: set[str], parts: list[str]) -> None:
+            try:
+                yield b"".join(map(self.known.__getitem__, parts))
+            except KeyError:
+                self._learn(parts)
+                yield b"".join(map(self.known.__getitem__, parts))
+
+    def _learn(self, parts: list[str]) -> None:
+        new = set(parts).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known, self.before = {}, self.known
             new = set(parts)
-        known, before, odd = self.known, self.before, []
+        known, before, odd, plain = self.known, self.before, [], _PLAIN.fullmatch
         for part in new:
             if part in before:
                 known[part] = before[part]
-            elif self.parts and (m := _PLAIN.fullmatch(part)):
-                word, signs = m.groups()
-                known[part] = self._one(word.lower()) + (self._one(signs) if signs else b"")
+            elif self.parts and (m := plain(part)):
+                known[part] = self._plain(m[1], m[2])
             else:
                 odd.append(part)
-        for part, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False)):
-            known[part] = np.array(e.ids, "<u4").tobytes()
-
-    def _one(self, token: str) -> bytes:
-        """Ids of one run of lower-case ASCII letters or of signs."""
-        got = self.known.get(token) or self.before.get(token)
-        if got is None:
-            got = np.array([t.id for t in self.tokenizer.model.tokenize(token)], "<u4").tobytes()
-        self.known[token] = got
-        return got
+        if odd:
+            known.update(zip(odd, self._whole(odd)))
+
+    def _whole(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
+
+    def _plain(self, word: str, signs: str) -> bytes:
+        word = word.lower()
+        out = self._run(word if word.isascii() else word.translate(self.signs_of))
+        if signs:
+            if signs not in self.known:
+                self.known[signs] = self._run(signs)
+            out += self.known[signs]
+        return out
+
+    def _run(self, token: str) -> bytes:
+        """Ids of one run of lower-case letters or of signs."""
+        return b"".join([self.ids[t.id] for t in self.tokenize(token)])
 
 
 def pieces(
