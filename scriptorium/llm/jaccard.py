@@ -7,15 +7,22 @@ copies meet once, in a count.
 Chosen paths. In each run a set samples each of its tokens with probability
 1 / (threshold * size) by a hash all sets share, and goes to the bucket of each
 token sampled. A pair at the threshold shares one such bucket or more, on
-average, so a run finds it with probability 1 - 1/e at least; runs are repeated
-until ``recall`` of such pairs are expected to be found. A bucket of more than
-``small`` sets is split again, by tokens sampled anew within it, up to ``DEPTH``
-times. What is left is compared within buckets by sketches (smallest token of
-each of 128 hash ranges, one byte each); pairs that may reach the threshold link
-their nodes to candidate groups. Within each group every pair is then compared
-exactly. Large buckets and groups are cut to blocks, and each two blocks are
-compared by a task, so none is gathered whole, and a task returns a row for each
-node, not for each pair.
+average. A bucket of at most ``small`` sets is compared whole. In a larger one
+every set is compared with ``PIVOTS`` of them, and what all this links are the
+first candidate groups. A large bucket of one group then ends; if half of its
+sets or more are of one group, the others join that group, and it ends too. Else
+its sets are split again by one or two tokens sampled anew, the smallest of hash
+ranges that the path draws, and so on below. So a bucket of many copies ends
+where it is found, and one of a passage that many texts share falls apart.
+Buckets still large after ``DEPTH`` splits are compared whole, by blocks. Runs
+are repeated until ``recall`` of the pairs at the threshold are expected to be
+found, whatever the depth (``runs_for``).
+
+Comparisons within buckets are of sketches (smallest token of each of 128 hash
+ranges, one byte each); pairs that may reach the threshold link their nodes to
+candidate groups. Within each group every pair is then compared exactly. Large
+groups are cut to blocks, and each two blocks are compared by a task, so none is
+gathered whole, and a task returns a row for each node, not for each pair.
 
 Shingles are compared by 64-bit hashes. Equal texts are always one class.
 
@@ -39,6 +46,9 @@ from scriptorium.llm.common import written
 from scriptorium.llm.components import components
 
 DEPTH = 3
+PIVOTS = 3
+#: A bucket draws one range or, as often, two: unlike texts must meet less often from depth to depth.
+BRANCHES = (1, 2)
 BINS = 128
 #: An odd base and its inverse modulo 2 ** 64.
 _BASE = 0x9E3779B97F4A7C15
@@ -93,23 +103,26 @@ def sketch(tokens: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def _chosen(tokens: np.ndarray, path: int, rate: float) -> list[int]:
-    """Buckets below a bucket: keys of the tokens that a set samples there."""
-    if rate < 1:  # tokens are mixed well, so one multiplication deals them anew
-        tokens = tokens[tokens * np.uint64(path | 1) < np.uint64(min(rate * 2.0**64, 2.0**64 - 4096))]
-    return _mix(tokens ^ np.uint64(path)).tolist()
+def runs_for(recall: float, threshold: float) -> int:
+    """Runs that find a pair at the threshold with probability ``recall``, though all its buckets be split at every depth."""
+    survives = 1.0
+    for _ in range(DEPTH):  # a pair agrees in a range with a probability of the threshold
+        survives = sum(1 - (1 - threshold * survives) ** k for k in BRANCHES) / len(BRANCHES)
+    return math.ceil(-math.log(1 - recall) / survives)
 
 
-def paths(tokens: np.ndarray, runs: int, threshold: float) -> list[tuple[list[int], list[int]]]:
-    """Of each depth the buckets, and which bucket of the depth above (at first: which run) each is in."""
+def chosen(tokens: np.ndarray, runs: int, threshold: float) -> np.ndarray:
+    """Keys of the buckets a set goes to: of each run, those of the tokens that it samples there."""
     rate = 1 / (threshold * max(len(tokens), 1))
-    above = [(r * 0xD1342543DE82EF95 + 1) % (1 << 64) for r in range(runs)]
-    out = []
-    for _ in range(DEPTH):
-        level = [(k, i) for i, a in enumerate(above) for k in _chosen(tokens, a, rate)]
-        above = [k for k, _ in level]
-        out.append((np.array(above, np.uint64).view(np.int64).tolist(), [i for _, i in level]))
-    return out
+    paths = (np.arange(runs, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(1)) | np.uint64(1)
+    if rate >= 1:
+        return _mix(tokens[:, None] ^ paths).ravel().view(np.int64)
+    limit, out = np.uint64(min(rate * 2.0**64, 2.0**64 - 4096)), []
+    for at in range(0, len(tokens), 1 << 16):
+        some = tokens[at : at + (1 << 16), None]
+        token, run = np.nonzero(some * paths < limit)  # tokens are mixed well, so one multiplication deals them anew
+        out.append(_mix(some[token, 0] ^ paths[run]))
+    return np.concatenate(out).view(np.int64)
 
 
 def groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -161,15 +174,9 @@ def _dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key)
 
 
-def _level_columns() -> list[str]:
-    """Buckets of each depth and, below the first, places of the buckets above."""
-    return [f"level{d}" for d in range(DEPTH)] + [f"above{d}" for d in range(1, DEPTH)]
-
-
 def node_table(df: DataFrame, n: int, threshold: float, runs: int) -> DataFrame:
-    """A row for each document: doc_id, text_id, node (digest of its set), sketch, and buckets of each depth."""
-    kinds = ", ".join(f"{c} array<{'long' if c[0] == 'l' else 'int'}>" for c in _level_columns())
-    names = ["doc_id", "text_id", "node", "sketch", *_level_columns()]
+    """A row for each document: doc_id, text_id, node (digest of its set), sketch, and its first buckets."""
+    names = ["doc_id", "text_id", "node", "sketch", "buckets"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Shingler(n)
@@ -179,60 +186,133 @@ def node_table(df: DataFrame, n: int, threshold: float, runs: int) -> DataFrame:
                 for doc_id, text_id, text in zip(some["doc_id"], some["text_id"], some["text"]):
                     t = own.tokens(text)
                     node = hashlib.blake2b(t.tobytes(), digest_size=16).digest()
-                    levels = paths(t, runs, threshold)
-                    rows.append((doc_id, text_id, node, sketch(t), *(k for k, _ in levels), *(i for _, i in levels[1:])))
+                    rows.append((doc_id, text_id, node, sketch(t), chosen(t, runs, threshold)))
                 yield pd.DataFrame(rows, columns=names)
 
-    return df.mapInPandas(run, f"doc_id long, text_id string, node binary, sketch binary, {kinds}")
-
-
-def buckets(nodes: DataFrame, small: int) -> DataFrame:
-    """(bucket, node, n) of the buckets to compare: of at most ``small`` nodes, or as deep as paths go."""
-    rows = nodes.select("node", F.explode("level0").alias("bucket"))
-    out = None
-    for d in range(DEPTH):
-        sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        done = sizes if d == DEPTH - 1 else sizes.where(F.col("n") <= small)
-        found = rows.join(done, "bucket")
-        out = found if out is None else out.unionByName(found)
-        if d < DEPTH - 1:
-            large = sizes.where(F.col("n") > small).select(F.col("bucket").alias("p"))
-            below = F.arrays_zip(F.col(f"level{d + 1}").alias("k"), F.col(f"above{d + 1}").alias("i"))
-            rows = nodes.select("node", F.col(f"level{d}").alias("up"), F.explode(below).alias("x"))
-            rows = rows.select("node", F.get("up", F.col("x.i")).alias("p"), F.col("x.k").alias("bucket"))
-            rows = rows.join(large, "p", "left_semi").select("bucket", "node").distinct()
-    return out
+    return df.mapInPandas(run, "doc_id long, text_id string, node binary, sketch binary, buckets array<long>")
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Whether sketches agree in ``least`` of the ranges that either has a token in; both have BINS columns."""
+    same = ((a == b) & (a > 0)).sum(-1)
+    return same >= least * ((a | b) > 0).sum(-1)
 
 
-def candidate_edges(found: DataFrame, sketches: DataFrame, least: float, block: int) -> DataFrame:
-    """Edges (a, b) that join nodes whose sketches agree enough, within buckets."""
+def _sketches(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, BINS)
+
+
+def links_within(rows: DataFrame, key: str, least: float) -> DataFrame:
+    """Edges (a, b) between the alike of (key, node, sketch) that share a key, each to the smallest place it reaches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = [], []
-        for x in groups(batches, "task"):
+        for x in groups(batches, key):
             m = len(x)
             if m < 2:
                 continue
-            s = np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(m, BINS)
-            nodes, filled = x["node"].tolist(), s > 0
-            alike = np.zeros((m, m), bool)
+            s, nodes = _sketches(x["sketch"]), x["node"].to_numpy()
+            if m == 2:
+                if alike(s[0], s[1], least):
+                    a.append(nodes[1:])
+                    b.append(nodes[:1])
+                continue
+            near = np.zeros((m, m), bool)
             for i in range(m - 1):
-                rest = s[i + 1 :]
-                same = ((rest == s[i]) & filled[i]).sum(1)
-                either = (filled[i + 1 :] | filled[i]).sum(1)
-                alike[i, i + 1 :] = same >= least * either
-            if alike.any():
-                root = _roots(alike | alike.T)
-                for i in np.flatnonzero(root != np.arange(m)):
-                    a.append(nodes[i])
-                    b.append(nodes[root[i]])
+                near[i, i + 1 :] = alike(s[i], s[i + 1 :], least)
+            if near.any():
+                root = _roots(near | near.T)
+                some = np.flatnonzero(root != np.arange(m))
+                a.append(nodes[some])
+                b.append(nodes[root[some]])
                 if len(a) >= 5000:
-                    yield pd.DataFrame({"a": a, "b": b})
+                    yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
                     a, b = [], []
-        yield pd.DataFrame({"a": a, "b": b}, dtype=object)
+        if a:
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return _dealt(rows.select(key, "node", "sketch"), key).mapInPandas(run, "a long, b long")
 
-    rows = in_blocks(found, "bucket", "node", F.col("n"), block).join(sketches, "node")
-    return _dealt(rows.select("task", "node", "sketch"), "task").mapInPandas(run, "a binary, b binary").distinct()
+
+def links_to_pivots(rows: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) of (bucket, node, sketch, pivot) to the alike of its bucket's pivots, which are few; its rows may lie anywhere."""
+    nodes, bytes_ = F.transform("p", lambda x: x.node), F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x.sketch))
+    pivots = rows.where("pivot").groupBy("bucket").agg(F.collect_list(F.struct("node", "sketch")).alias("p"))
+    pivots = pivots.select("bucket", nodes.alias("nodes"), bytes_.alias("sketches"))
+    met = rows.select("bucket", "node", "sketch").join(pivots, "bucket").select("node", "sketch", "nodes", "sketches")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            for at in range(0, len(x), 2000):
+                some = x.iloc[at : at + 2000]
+                k = some["nodes"].map(len).to_numpy()
+                own, nodes = np.repeat(_sketches(some["sketch"]), k, axis=0), np.repeat(some["node"].to_numpy(), k)
+                other = np.concatenate(some["nodes"].tolist())
+                near = alike(own, _sketches(some["sketches"]), least) & (nodes != other)
+                yield pd.DataFrame({"a": nodes[near], "b": other[near]})
+
+    return met.mapInPandas(run, "a long, b long")
+
+
+def children(rows: DataFrame) -> DataFrame:
+    """(bucket, node, label, sketch) one depth below, by as many tokens as the bucket draws."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if len(x):
+                bucket = x["bucket"].to_numpy().view(np.uint64)
+                draws = np.array(BRANCHES)[_mix(bucket) % np.uint64(len(BRANCHES))]
+                for i in range(max(BRANCHES)):
+                    some = draws > i
+                    path = _mix(bucket[some] ^ np.uint64(0xD1342543DE82EF95 * (i + 1) % (1 << 64)))
+                    s = _sketches(x["sketch"][some])
+                    turned = (np.arange(BINS) + (path % np.uint64(BINS)).astype(np.int64)[:, None]) % BINS
+                    # The first range at or after the drawn one that the set has a token in.
+                    at = turned[np.arange(len(s)), np.take_along_axis(s > 0, turned, 1).argmax(1)]
+                    token = s[np.arange(len(s)), at].astype(np.uint64) | (at.astype(np.uint64) << np.uint64(8))
+                    yield x[some].assign(bucket=_mix(path ^ _mix(token)).view(np.int64))
+
+    return rows.select("bucket", "node", "label", "sketch").mapInPandas(run, "bucket long, node long, label long, sketch binary")
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """Rows of buckets of two groups or more, with n (rows of the bucket), others (of these not of its largest group), main (that group)."""
+    sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    most = F.max(F.struct("k", "label"))
+    sizes = sizes.groupBy("bucket").agg(F.sum("k").alias("n"), (F.sum("k") - most.k).alias("others"), most.label.alias("main"))
+    return rows.join(sizes.where("others > 0"), "bucket")
+
+
+def candidate_groups(nodes: DataFrame, least: float, small: int, block: int) -> DataFrame:
+    """(node, label) of the nodes (node, sketch, buckets) that are to be compared exactly, by group."""
+    rows = nodes.select(F.explode("buckets").alias("bucket"), "node")
+    drawn = [F.xxhash64("node", "bucket", F.lit(i)) for i in range(PIVOTS)]
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *[F.min(h).alias(f"least{i}") for i, h in enumerate(drawn)]).where("n > 1")
+    pivot = F.exists(F.array(*[h == F.col(f"least{i}") for i, h in enumerate(drawn)]), lambda x: x)
+    found = rows.join(sizes, "bucket").select("bucket", "node", "n", pivot.alias("pivot"))
+    found = written(found.join(nodes.select("node", "sketch"), "node"), "buckets")
+    large = found.where(F.col("n") > small)
+    edges = links_within(found.where(F.col("n") <= small), "bucket", least)
+    if large.isEmpty():
+        return components(edges)
+    labels = components(edges.unionByName(links_to_pivots(large, least)))
+    # Pivots have met all of their bucket.
+    rows = large.where("NOT pivot").select("bucket", "node", "sketch").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    few, one = F.col("n") <= small, 2 * F.col("others") <= F.col("n")
+    for depth in range(DEPTH + 1):
+        left = written(judged(rows), "mixed")
+        joins = left.where(~few & one & (F.col("label") != F.col("main")))
+        edges = edges.unionByName(links_within(left.where(few), "bucket", least))
+        edges = edges.unionByName(joins.select(F.col("label").alias("a"), F.col("main").alias("b")))
+        left = left.where(~few & ~one)
+        if left.isEmpty():
+            break
+        if depth < DEPTH:
+            rows = written(children(left), "children")
+        else:
+            edges = edges.unionByName(links_within(in_blocks(left, "bucket", "node", F.col("n"), block), "task", least))
+    return components(edges)
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -285,14 +365,14 @@ def exact_links(rows: DataFrame, threshold: float, block: int) -> DataFrame:
             yield pd.DataFrame({"node": nodes[some], "root": nodes[root[some]], "links": links})
 
     rows = in_blocks(rows, "label", "node", F.col("n"), block)
-    return _dealt(rows.select("task", "node", "side", "copies", "tokens"), "task").mapInPandas(run, "node binary, root binary, links long")
+    return _dealt(rows.select("task", "node", "side", "copies", "tokens"), "task").mapInPandas(run, "node long, root long, links long")
 
 
 def near_duplicates(
     df: DataFrame,
     n: int = 5,
     threshold: float = 0.8,
-    recall: float = 0.99999,
+    recall: float = 0.9999,
     small: int = 64,
     slack: float = 0.2,
     sketch_block: int = 2048,
@@ -304,16 +384,15 @@ def near_duplicates(
 
     Also text_id (digest of the text) and stays: whether a row is of its class's first id and, with it, first text.
     """
-    runs = math.ceil(-math.log(1 - recall))
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     docs = docs.withColumn("text_id", F.md5(F.coalesce("text", F.lit(""))))
-    rows = written(node_table(docs, n, threshold, runs), "sets")
+    rows = written(node_table(docs, n, threshold, runs_for(recall, threshold)), "sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_id")).alias("rep")
-    same = [F.first(c).alias(c) for c in ("sketch", *_level_columns())]
-    nodes = rows.groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), *same)
-    nodes = written(nodes, "nodes")
-    edges = candidate_edges(buckets(nodes, small), nodes.select("node", "sketch"), threshold - slack, sketch_block)
-    labels = components(edges)
+    same = [F.first(c).alias(c) for c in ("sketch", "buckets")]
+    nodes = rows.groupBy(F.col("node").alias("digest")).agg(first, F.count(F.lit(1)).alias("copies"), *same)
+    # The number that stands for a set from here on; it is drawn once, as the table is written.
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    labels = candidate_groups(nodes.select("node", "sketch", "buckets"), threshold - slack, small, sketch_block)
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     labels = written(labels.join(sizes, "label").join(nodes.select("node", "rep", "copies"), "node"), "labels")
 
@@ -329,15 +408,15 @@ def near_duplicates(
     wanted = labels.select("node", "label", "n", "copies", F.col("rep.doc_id").alias("d"), F.col("rep.text_id").alias("text_id"))
     texts = docs.join(wanted, (docs.text_id == wanted.text_id) & docs.doc_id.eqNullSafe(wanted.d))
     texts = texts.select("node", "label", "n", "copies", "text")
-    sets = texts.mapInPandas(tokens, "node binary, label binary, n long, copies long, tokens binary")
+    sets = texts.mapInPandas(tokens, "node long, label long, n long, copies long, tokens binary")
     links = written(exact_links(sets, threshold, block), "links")
     final = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
     known = final.join(counts, "node", "left").join(nodes.select("node", "rep"), "node")
     classes = known.groupBy("label").agg(F.min("rep").alias("first"))
     known = known.join(classes, "label").select("node", "first", "links")
-    out = nodes.select("node", "rep", "copies").join(known, "node", "left").withColumn("first", F.coalesce("first", "rep"))
-    out = rows.select("doc_id", "text_id", "node").join(out, "node")
+    out = nodes.select("node", "digest", "rep", "copies").join(known, "node", "left").withColumn("first", F.coalesce("first", "rep"))
+    out = rows.select("doc_id", "text_id", F.col("node").alias("digest")).join(out, "digest")
     own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_id") == F.col("first.text_id"))
     return out.select(
         "doc_id",

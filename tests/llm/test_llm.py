@@ -241,8 +241,10 @@ def test_sampling_rate():
     hits = []
     for _ in range(2000):
         t = np.unique(jaccard._mix(rng.integers(0, 2**63, 100).astype(np.uint64)))
-        hits.append(len(jaccard._chosen(t, int(rng.integers(1, 2**62)), 1 / (0.8 * len(t)))))
-    assert 1.1 < np.mean(hits) < 1.4
+        hits.append(len(jaccard.chosen(t, 4, 0.8)) / 4)
+    assert 1.15 < np.mean(hits) < 1.35
+    assert len(jaccard.chosen(t[:1], 7, 0.8)) == 7 and len(jaccard.chosen(t[:0], 7, 0.8)) == 0
+    assert jaccard.runs_for(0.9999, 0.8) == 13
 
 
 def test_components(spark):
