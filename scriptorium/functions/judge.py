@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scriptorium.functions import lexicons as L
 from scriptorium.functions.text import squeeze
@@ -97,15 +96,16 @@ def type_token_ratio(lemmas: Column) -> Column:
     return F.round(F.try_divide(F.size(F.array_distinct(lemmas)) * 1.0, F.size(lemmas)), 4)
 
 
-@F.udf(T.IntegerType(), useArrow=True)
-def tree_depth(heads):
-    """Longest way to a root in an array of head places; a root is its own head."""
-    if not heads:
-        return 0
-    most = 0
-    for i in range(len(heads)):
-        n, k = 0, i
-        while heads[k] != k and n <= len(heads):
-            k, n = heads[k], n + 1
-        most = max(most, n)
-    return most
+def tree_depth(heads: Column) -> Column:
+    """Longest way to a root in an array of head places; a root is its own head. Ways double in each round."""
+    steps = F.transform(heads, lambda h, i: F.when(h == i, 0).otherwise(1))
+    start = F.struct(heads.cast("array<int>").alias("at"), steps.cast("array<int>").alias("n"))
+
+    def double(acc: Column, _: Column) -> Column:
+        at = F.transform(acc.at, lambda k: F.get(acc.at, k))
+        n = F.transform(acc.n, lambda m, i: m + F.get(acc.n, F.get(acc.at, i)))
+        return F.struct(at.alias("at"), n.alias("n"))
+
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.size(heads) + 1)).cast("int"))
+    got = F.aggregate(rounds, start, double, lambda acc: F.least(F.array_max(acc.n), F.size(heads)))
+    return F.when(F.size(heads) > 0, got).otherwise(0)

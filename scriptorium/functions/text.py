@@ -30,8 +30,8 @@ def tokens(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """White space collapsed and cut off at both ends."""
-    return F.trim(F.regexp_replace(c, U + r"\s+", " "))
+    """White space collapsed and cut off at both ends; single spaces are no match and stay as they are."""
+    return F.trim(F.regexp_replace(c, U + r"[\s&&[^ ]]\s*| \s+", " "))
 
 
 @F.pandas_udf(T.StringType())
@@ -55,24 +55,21 @@ def sanitize(c: Column, normalize: bool = False) -> Column:
 
 def preprocess(c: Column) -> Column:
     """Structured headings dropped, signs spelled out, brackets tightened."""
-    return squeeze(
-        _each(
-            c,
-            ("(?i)" + "|".join(L.words(L.HEADINGS)), " "),
-            (U + r"\bABSTRACT\b:?", " "),
-            (U + r"(?i)^\s*Abstract\s*[:.]", " "),
-            (" = ", " equal to "),
-            (" < ", " less than "),
-            ("&lt;", " less than "),
-            (" > ", " greater than "),
-            ("&gt;", " greater than "),
-            (" & ", " and "),
-            ("&amp;", " and "),
-            (U + r"\s*±\s*|\s*\+/-+\s*", " plus or minus "),
-            (U + r"\(\s+", "("),
-            (U + r"\s+\)", ")"),
-        )
-    )
+    # All headings end with a colon.
+    c = F.when(F.contains(c, F.lit(":")), F.regexp_replace(c, "(?i)" + "|".join(L.words(L.HEADINGS)), " ")).otherwise(c)
+    # The word's start is looked at only where the word stands.
+    c = _each(c, (U + r"ABSTRACT(?<=\bABSTRACT)\b:?", " "), (U + r"(?i)^\s*Abstract\s*[:.]", " "))
+    for sign, name in (
+        (" = ", " equal to "),
+        (" < ", " less than "),
+        ("&lt;", " less than "),
+        (" > ", " greater than "),
+        ("&gt;", " greater than "),
+        (" & ", " and "),
+        ("&amp;", " and "),
+    ):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return squeeze(_each(c, (U + r"\s*(?:±|\+/-+)\s*", " plus or minus "), (U + r"\(\s+", "("), (U + r"\s+\)", ")")))
 
 
 def word_count(c: Column) -> Column:
@@ -80,20 +77,29 @@ def word_count(c: Column) -> Column:
 
 
 def hedging(c: Column) -> Column:
-    return count(F.lower(c), U + L.alternation(L.HEDGING))
+    return count(F.lower(c), U + L.branched(L.HEDGING))
 
 
 def signposting(c: Column) -> Column:
-    return count(F.lower(c), U + L.alternation(L.SIGNPOSTING))
+    return count(F.lower(c), U + L.branched(L.SIGNPOSTING))
 
 
 def has_narrator(c: Column) -> Column:
     return c.rlike(U + r"\b(?:We|we|Us|us)\b").cast("int")
 
 
-def hype(c: Column) -> dict[str, Column]:
-    low = F.lower(c)
-    return {f"hype_{k}": count(low, U + L.alternation(v)) for k, v in L.HYPE.items()}
+def hype_words(c: Column) -> Column:
+    """Every word of the nine categories, in one scan: no phrase of one category holds a word of another."""
+    return F.regexp_extract_all(F.lower(c), F.lit(U + L.branched(",".join(L.HYPE.values()))), F.lit(0))
+
+
+def hype(found: Column) -> dict[str, Column]:
+    """Counts by category of what hype_words() found; a word may be of two."""
+    def among(text: str) -> Column:
+        pattern = "^(?:" + "|".join(L.words(text)) + ")$"
+        return F.size(F.filter(found, lambda w: w.rlike(pattern))).cast("long")
+
+    return {f"hype_{k}": among(v) for k, v in L.HYPE.items()}
 
 
 def sentence_stops(c: Column) -> Column:

@@ -15,16 +15,31 @@ def average_rank(value: str, *keys: str) -> Column:
     return F.rank().over(w.orderBy(value)) + (ties - 1) / 2.0
 
 
-def pooled_rank(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
-    """Average rank over all rows: distinct values are counted, range-partitioned and offset, so no task sees them all."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    counts = written(counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id()), "ranks")
-    parts = counts.groupBy("_p").agg(F.sum("_n").alias("_m"))
-    parts = parts.select("_p", (F.sum("_m").over(Window.orderBy("_p")) - F.col("_m")).alias("_before"))
-    here = F.sum("_n").over(Window.partitionBy("_p").orderBy(value)) - F.col("_n")
-    ranks = counts.join(F.broadcast(parts), "_p")  # a row for each range partition
-    ranks = ranks.select(value, (F.col("_before") + here + (F.col("_n") + 1) / 2.0).alias(out))
-    return df.join(ranks, value, "left")
+def _offsets(df: DataFrame, n: Column, keys: list[str]) -> DataFrame:
+    """_p, keys, _before (sum of n in range partitions before _p) and _all (in all); a row for each partition and key in it."""
+    parts = df.groupBy("_p", *keys).agg(F.sum(n).alias("_m"))
+    w = Window.partitionBy(*keys)
+    return parts.select("_p", *keys, (F.sum("_m").over(w.orderBy("_p")) - F.col("_m")).alias("_before"), F.sum("_m").over(w).alias("_all"))
+
+
+def pooled_rank(df: DataFrame, value: str, out: str = "rank", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Average rank over all rows (of the same non-null keys): distinct values are counted, range-partitioned and offset, so
+    no task sees all rows of a key."""
+    by = [*keys, value]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    counts = written(counts.repartitionByRange(*by).withColumn("_p", F.spark_partition_id()), "ranks")
+    here = F.sum("_n").over(Window.partitionBy("_p", *keys).orderBy(value)) - F.col("_n")
+    ranks = counts.withColumn("_here", here).join(_offsets(counts, F.col("_n"), [*keys]), ["_p", *keys])
+    ranks = ranks.select(*by, (F.col("_before") + F.col("_here") + (F.col("_n") + 1) / 2.0).alias(out))
+    return df.join(ranks, by, "left")
+
+
+def ranked(df: DataFrame, order: list[str], keys: list[str]) -> DataFrame:
+    """df with rank (from 1, by the columns of order, within non-null keys) and n (rows of the key), by range partitions."""
+    at = written(df.repartitionByRange(*keys, *order).withColumn("_p", F.spark_partition_id()), "ranked")
+    here = F.row_number().over(Window.partitionBy("_p", *keys).orderBy(*order))
+    at = at.withColumn("_here", here).join(_offsets(at, F.lit(1), keys), ["_p", *keys])
+    return at.withColumns({"rank": F.col("_before") + F.col("_here"), "n": F.col("_all")}).select(*df.columns, "rank", "n")
 
 
 def percentile_rank(value: str, *keys: str) -> Column:
@@ -35,11 +50,11 @@ def percentile_rank(value: str, *keys: str) -> Column:
     return F.when(F.col(value).isNotNull(), share)
 
 
-def tercile(value: str, key: str, band: str) -> Column:
-    """0, 1 or 2 by quantile cuts of first-come ranks, ties by key; a band of fewer than 3 rows is all 1."""
-    w = Window.partitionBy(band)
-    r, n = F.row_number().over(w.orderBy(value, key)), F.count(F.lit(1)).over(w)
-    return F.when(n < 3, 1).when(3 * r < n + 2, 0).when(3 * r < 2 * n + 1, 1).otherwise(2)
+def terciles(df: DataFrame, value: str, key: str, band: str) -> DataFrame:
+    """df with tercile: 0, 1 or 2 by quantile cuts of first-come ranks, ties by key; a band of fewer than 3 rows is all 1."""
+    at, r, n = ranked(df, [value, key], [band]), F.col("rank"), F.col("n")
+    cut = F.when(n < 3, 1).when(3 * r < n + 2, 0).when(3 * r < 2 * n + 1, 1).otherwise(2)
+    return at.select(*df.columns, cut.alias("tercile"))
 
 
 def z_within(value: str, *keys: str) -> Column:

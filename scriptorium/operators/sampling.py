@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.ranks import ranked
+
+
+def seeded(key: str, seed: int) -> Column:
+    """A key's place in a draw: a digest that any engine can make."""
+    return F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(str(seed))))
+
 
 def allocate(sizes: DataFrame, target: int, *keys: str) -> DataFrame:
     """Largest-remainder allocation of target among strata (keys, n), none above its size; ties by key."""
@@ -21,8 +28,8 @@ def allocate(sizes: DataFrame, target: int, *keys: str) -> DataFrame:
 def stratified_draw(df: DataFrame, key: str, target: int, seed: int, strata: list[str], overdraw: float = 0.1) -> DataFrame:
     """Primary rows of each stratum and ordered replacements, by seeded hash of the key; order of input is no matter."""
     plan = allocate(df.groupBy(*strata).agg(F.count(F.lit(1)).alias("n")), target, *strata)
-    order = Window.partitionBy(*strata).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    at = df.withColumn("stratum_rank", F.row_number().over(order) - 1).join(F.broadcast(plan), strata)
+    at = ranked(df.withColumn("_drawn", seeded(key, seed)), ["_drawn", key], strata).drop("_drawn", "n")
+    at = at.withColumn("stratum_rank", F.col("rank") - 1).drop("rank").join(F.broadcast(plan), strata)  # strata are few
     extra = F.least(F.col("n") - F.col("n_primary"), F.ceil(F.col("n_primary") * overdraw))
     at = at.where(F.col("stratum_rank") < F.col("n_primary") + extra)
     return at.withColumn("is_replacement", F.col("stratum_rank") >= F.col("n_primary")).drop("n", "n_primary")
@@ -37,7 +44,7 @@ def promote(sample: DataFrame, ok: str, strata: list[str]) -> DataFrame:
 
 
 def seeded_draw(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return df.orderBy(seeded(key, seed), key).limit(n)
 
 
 def top_n(df: DataFrame, column: str, n: int) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scriptorium.operators.ranks import average_rank
+from scriptorium.operators.ranks import average_rank, pooled_rank
+from scriptorium.sources.scratch import written
 
 
 def _beta_cf(a: float, b: float, x: float) -> float:
@@ -55,10 +56,16 @@ def spearman_p(rho: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([one(r, k) for r, k in zip(rho, n)], dtype="float64")
 
 
-def spearman(df: DataFrame, x: str, y: str, keys: list[str], n_min: int = 10) -> DataFrame:
-    """keys, n, rho of complete pairs within keys; null under n_min pairs or with a constant side."""
+def spearman(df: DataFrame, x: str, y: str, keys: list[str], n_min: int = 10, large: bool = False) -> DataFrame:
+    """keys, n, rho of complete pairs within keys; null under n_min pairs or with a constant side.
+
+    Ranks are windows over a key's rows; if those are too many for a task (``large``), they are counted by range."""
     at = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    at = at.withColumns({"_x": average_rank(x, *keys), "_y": average_rank(y, *keys)})
+    if large:
+        at = written(at.select(*keys, x, y), "pairs")
+        at = pooled_rank(pooled_rank(at, x, "_x", tuple(keys)), y, "_y", tuple(keys))
+    else:
+        at = at.withColumns({"_x": average_rank(x, *keys), "_y": average_rank(y, *keys)})
     agg = at.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.corr("_x", "_y").alias("rho"),
@@ -170,6 +177,28 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def same_numbers(ref: DataFrame, built: DataFrame, keys: list[str], rtol: float = 0.0, atol: float = 0.0) -> DataFrame:
+    """ok, n_ref, n_built, n_off (values that differ, or rows that only one has), lacking (columns): whether a table is rebuilt.
+
+    Rows meet by their keys. Numbers may differ by atol + rtol * |reference|; nulls equal nulls and NaN equals NaN.
+    Columns that are not numbers are not compared; ``built`` may have more columns."""
+    lacking = [c for c in ref.columns if c not in built.columns]
+    numbers = [c for c, t in ref.dtypes if c not in keys + lacking and t.startswith(("double", "float", "int", "bigint", "smallint", "tinyint", "decimal"))]
+    a = ref.select(*keys, F.lit(1).alias("_a"), *[F.col(c).cast("double").alias(f"a_{c}") for c in numbers])
+    b = built.select(*keys, F.lit(1).alias("_b"), *[F.col(c).cast("double").alias(f"b_{c}") for c in numbers])
+    off = F.lit(0)
+    for c in numbers:
+        x, y = F.col(f"a_{c}"), F.col(f"b_{c}")
+        near = x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= atol + rtol * F.abs(x), F.lit(False))
+        off = off + F.when(near, 0).otherwise(1)
+    alone = F.col("_a").isNull() | F.col("_b").isNull()
+    got = a.join(b, keys, "full").agg(
+        F.count("_a").alias("n_ref"), F.count("_b").alias("n_built"), F.coalesce(F.sum(F.when(alone, 1).otherwise(off)), F.lit(0)).alias("n_off")
+    )
+    ok = (F.col("n_ref") == F.col("n_built")) & (F.col("n_off") == 0) & F.lit(not lacking)
+    return got.select(ok.alias("ok"), "n_ref", "n_built", "n_off", F.lit(",".join(lacking)).alias("lacking"))
+
+
 def series_z(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Mean, sample deviation and count over the rows of keys, rounded."""
     agg = [F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("std"), F.count(value).alias("n")]

@@ -41,9 +41,10 @@ def judge_matrix_mean(spark, sf_dir):
 FROM s GROUP BY GROUPING SETS ((year, model), (year, model, prompt))""")
 def judge_by_year_model(spark, sf_dir):
     """By year and judge, over all prompts and for each."""
-    scores(spark, sf_dir).createOrReplaceTempView("_scores")
-    return spark.sql("""SELECT year, model, prompt, round(avg(score) + 1e-9, 4) AS mean, round(stddev_samp(score) + 1e-9, 4) AS std, count(score) AS n
-        FROM _scores GROUP BY GROUPING SETS ((year, model), (year, model, prompt))""")
+    by = [F.col("year"), F.col("model"), F.col("prompt")]
+    sets = scores(spark, sf_dir).groupingSets([by[:2], by], *by)
+    value = [F.round(F.avg("score") + 1e-9, 4).alias("mean"), F.round(F.stddev_samp("score") + 1e-9, 4).alias("std"), F.count("score").alias("n")]
+    return sets.agg(*value)
 
 
 @query(f"""WITH s AS ({SCORES}), r AS (SELECT paper_id, prompt, model, count_if(score > 50) AS t, count(*) AS n FROM s GROUP BY ALL),
@@ -112,7 +113,7 @@ t AS (SELECT paper_id, year, year_band, CASE WHEN n < 3 THEN 1 WHEN 3 * r < n +
 
 def _strata(spark, sf_dir):
     o = outcomes(spark, sf_dir).withColumn("year_band", K.year_band(F.col("year"), L.YEAR_BANDS))
-    return o.select("paper_id", "year", "year_band", K.tercile("citations", "paper_id", "year_band").alias("tercile"))
+    return K.terciles(o, "citations", "paper_id", "year_band").select("paper_id", "year", "year_band", "tercile")
 
 
 @query(f"WITH {_STRATA} SELECT * FROM t")
@@ -130,14 +131,24 @@ def stratified_allocation(spark, sf_dir):
     return P.allocate(s, 1500, "year_band", "tercile")
 
 
-@query()
+_DRAWN = f"""WITH {_STRATA}, s AS (SELECT year_band, tercile, count(*) AS n FROM t GROUP BY ALL), e AS (SELECT *, sum(n) OVER () AS total, n * 1500.0 / sum(n) OVER () AS exact FROM s),
+b AS (SELECT *, least(floor(exact), n) AS base FROM e),
+k AS (SELECT *, 1500 - sum(base) OVER () AS short, row_number() OVER (ORDER BY (base >= n)::INT, round(exact - base, 9) DESC, year_band, tercile) AS i FROM b),
+a AS (SELECT year_band, tercile, n, CASE WHEN total <= 1500 THEN n ELSE base + (i <= short AND base < n)::INT END AS n_primary FROM k),
+d AS (SELECT t.*, row_number() OVER (PARTITION BY year_band, tercile ORDER BY md5(paper_id || '/20261008'), paper_id) - 1 AS stratum_rank FROM t),
+j AS (SELECT d.*, stratum_rank >= n_primary AS is_replacement, paper_id % 10 <> 3 AS ok FROM d JOIN a USING (year_band, tercile) WHERE stratum_rank < n_primary + least(n - n_primary, ceil(n_primary * 0.1)))
+SELECT paper_id, year, year_band, tercile, stratum_rank, is_replacement, ok,
+  is_replacement AND ok AND count_if(is_replacement AND ok) OVER (PARTITION BY year_band, tercile ORDER BY stratum_rank) <= count_if(NOT is_replacement AND NOT ok) OVER (PARTITION BY year_band, tercile) AS promoted FROM j"""
+
+
+@query(_DRAWN)
 def stratified_sample(spark, sf_dir):
     """The draw with replacements, and which of these stand in for rows that failed."""
     drawn = P.stratified_draw(_strata(spark, sf_dir), "paper_id", 1500, 20261008, ["year_band", "tercile"])
     return P.promote(drawn.withColumn("ok", F.col("paper_id") % 10 != 3), "ok", ["year_band", "tercile"])
 
 
-@query()
+@query("SELECT doc_id, source FROM documents ORDER BY md5(doc_id || '/20261008'), doc_id LIMIT 100")
 def seeded_draw(spark, sf_dir):
     """100 documents by seeded hash: a sampling operator."""
     return P.seeded_draw(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 100, 20261008)
@@ -202,13 +213,13 @@ def resume_runs(spark, sf_dir):
     return M.pending_runs(s.select("paper_id").distinct(), ["0", "1", "2", "3"], 3, done)
 
 
-@query("""WITH a AS (SELECT year(o_orderdate)::INT AS year, round(avg(o_totalprice), 4) AS order_mean, count(*) AS order_count FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY ALL),
+@query("""WITH a AS (SELECT year(o_orderdate)::INT AS year, round(avg(o_totalprice), 4) AS order_mean, count(*) AS order_count FROM orders GROUP BY ALL),
 b AS (SELECT year(l_shipdate)::INT AS year, round(avg(l_quantity), 4) AS item_mean, count(*) AS item_count FROM lineitem GROUP BY ALL)
 SELECT year, order_mean, order_count, item_mean, item_count FROM a FULL JOIN b USING (year)""")
 def full_outer_yearly(spark, sf_dir):
     """Yearly aggregates of two sources side by side."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    a = o.where("o_orderkey % 5 <> 0").groupBy(F.year("o_orderdate").alias("year")).agg(F.round(F.avg("o_totalprice"), 4).alias("order_mean"), F.count(F.lit(1)).alias("order_count"))
+    a = o.groupBy(F.year("o_orderdate").alias("year")).agg(F.round(F.avg("o_totalprice"), 4).alias("order_mean"), F.count(F.lit(1)).alias("order_count"))
     b = li.groupBy(F.year("l_shipdate").alias("year")).agg(F.round(F.avg("l_quantity"), 4).alias("item_mean"), F.count(F.lit(1)).alias("item_count"))
     return a.join(b, "year", "full_outer")
 
@@ -221,7 +232,7 @@ def spearman_by_band(spark, sf_dir):
     """Rank correlation of price and number of items, by band and over all."""
     j = _priced(spark, sf_dir)
     both = j.unionByName(j.withColumn("band", F.lit("all")))
-    return S.spearman(both, "citations", "n_items", ["band"]).select("band", "n", F.round("rho", 6).alias("rho"))
+    return S.spearman(both, "citations", "n_items", ["band"], large=True).select("band", "n", F.round("rho", 6).alias("rho"))
 
 
 def _priced(spark, sf_dir):

@@ -32,7 +32,15 @@ for _p, _n, _f in (
 ):
     PRE = f"regexp_replace({PRE}, {text_sql(_p)}, {text_sql(_n)}, '{_f}')"
 PRE = f"trim({PRE})"
-ROWS = f"""WITH p AS ({PAPERS}), c AS (SELECT paper_id, venue, year, text, {PRE} AS clean FROM p),
+#: The texts are invented and hold no cue words, so most get a sentence that does; the rest stay as they are.
+CUED = """CASE paper_id % 7
+  WHEN 0 THEN 'However, we may possibly need further  studies of this novel, robust and user-friendly result. '
+  WHEN 1 THEN 'Firstly, it seems critical. We believe that such extremely important, unprecedented work is ( perhaps ) next. '
+  WHEN 2 THEN 'RESULTS: They show us a long standing multi-disciplinary & critical problem: gains of 12% < 40 points. '
+  WHEN 3 THEN 'Methods: n = 40 samples, 3 × 4 GB, accuracy +/- 2 percent, likely a rapidly growing, vast and ideal field. '
+  WHEN 4 THEN 'ABSTRACT: moreover, in theory, largely critical; nevertheless it could be outstanding, alarming and exceptional. '
+  ELSE '' END || text"""
+ROWS = f"""WITH p AS (SELECT paper_id, venue, year, {CUED} AS text FROM ({PAPERS})), c AS (SELECT paper_id, venue, year, text, {PRE} AS clean FROM p),
 l AS (SELECT *, {plain_letters('clean')} AS letters, {plain_letters('lower(clean)')} AS low,
   {count_sql('clean', '[\\p{L}\\p{M}\\p{N}_]+')} AS n_words FROM c)"""
 
@@ -42,7 +50,8 @@ def _per_100(n: str, words: str = "n_words") -> str:
 
 
 def _rows(spark, sf_dir):
-    at = papers(spark, sf_dir).withColumn("clean", T.preprocess(F.col("text")))
+    at = papers(spark, sf_dir).withColumn("text", F.expr(CUED))
+    at = at.withColumn("clean", T.preprocess(F.col("text")))
     return at.withColumn("n_words", T.word_count(F.col("clean")))
 
 
@@ -83,7 +92,8 @@ t AS (SELECT *, {' + '.join(_HYPE)} AS hype_total FROM h)
 SELECT *, {', '.join(f'round({k} * 100.0 / greatest(n_words, 1), 4) AS {k}_per_100' for k in (*_HYPE, 'hype_total'))} FROM t""")
 def hype_rows(spark, sf_dir):
     """Nine categories of sensational words, their total, and each per 100 words."""
-    at = _rows(spark, sf_dir).select("paper_id", "n_words", *[n.alias(k) for k, n in T.hype(F.col("clean")).items()])
+    at = _rows(spark, sf_dir).withColumn("found", T.hype_words(F.col("clean")))
+    at = at.select("paper_id", "n_words", *[n.alias(k) for k, n in T.hype(F.col("found")).items()])
     at = at.withColumn("hype_total", sum((F.col(k) for k in list(_HYPE)[1:]), F.col(list(_HYPE)[0])))
     one = F.greatest(F.col("n_words"), F.lit(1))
     return at.select("*", *[F.round(F.col(k) * 100.0 / one, 4).alias(f"{k}_per_100") for k in (*_HYPE, "hype_total")])
@@ -150,11 +160,14 @@ _N = L.NUMBER
 _UNITS_SQL = L.UNITS.replace("[BMK]\\b", "[BMK]\\b")
 
 
-@query(rf"""SELECT doc_id, (regexp_matches(text, {text_sql(f'(?i){_N}' + chr(92) + f's*(?:{_UNITS_SQL})(?:[^a-z]|$)')})
+@query(rf"""WITH t AS (SELECT paper_id, {CUED} AS text FROM ({PAPERS}))
+SELECT paper_id, (regexp_matches(text, {text_sql(f'(?i){_N}' + chr(92) + f's*(?:{_UNITS_SQL})(?:[^a-z]|$)')})
   OR regexp_matches(text, '(?i)n\s*=\s*\d+') OR regexp_matches(text, '\d\s*[×x]\s') OR regexp_matches(text, '[×]\s*\d')) AS concrete
-FROM documents""")
+FROM t""")
 def concrete_number(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", B.concrete_number(F.col("text")).alias("concrete"))
+    """Whether a text names a number with a unit; some texts get such a sentence before them."""
+    at = papers(spark, sf_dir).withColumn("text", F.expr(CUED))
+    return at.select("paper_id", B.concrete_number(F.col("text")).alias("concrete"))
 
 
 _CLAIMS = {k: count_sql("x", "(?i)" + L.cues(v)) for k, v in L.CLAIMS.items()}
@@ -273,13 +286,19 @@ def judge_verdicts(spark, sf_dir):
     return at.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n"), n.alias("n_votes"), yes.alias("n_true"), J.majority(yes, n).alias("verdict"))
 
 
-@query(r"""WITH b AS (SELECT item_id, text AS span FROM benchmark)
-SELECT item_id, count(*) AS n_docs FROM b JOIN documents d ON contains(lower(trim(regexp_replace(d.text, '\s+', ' ', 'g'))), lower(trim(regexp_replace(span, '\s+', ' ', 'g')))) WHERE doc_id % 4 = item_id % 4 GROUP BY item_id""")
+@query(r"""WITH s AS (SELECT doc_id, 'last' AS feature, replace(split_part(text, chr(10), -1), ' ', '  ') AS span FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents
+  UNION ALL SELECT doc_id, 'lang', upper(lang) FROM documents UNION ALL SELECT doc_id, 'quality', 'quality ' || quality FROM labels),
+c AS (SELECT doc_id, feature, lower(trim(regexp_replace(coalesce(span, ''), '\s+', ' ', 'g'))) AS span FROM s)
+SELECT doc_id, feature, span <> '' AND contains(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), span) AS verified FROM c JOIN documents d USING (doc_id)""")
 def verify_evidence(spark, sf_dir):
-    """Benchmark items as evidence spans, verified in the documents paired with them."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("span"), (F.col("item_id") % 4).alias("k"))
-    d = table(spark, sf_dir, "documents").select("text", (F.col("doc_id") % 4).alias("k"))
-    return d.join(b, "k").where(J.verify_evidence(F.col("text"), F.col("span"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    """Evidence spans of several features, each looked for in its own document: an equi-join on the document, then a search."""
+    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    spans = {"last": F.replace(F.element_at(F.split("text", "\n"), -1), F.lit(" "), F.lit("  ")), "source": F.col("source"), "lang": F.upper("lang")}
+    one = F.array(*[F.struct(F.lit(k).alias("feature"), c.alias("span")) for k, c in spans.items()])
+    s = d.select("doc_id", F.inline(one))
+    s = s.unionByName(lab.select("doc_id", F.lit("quality").alias("feature"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("span")))
+    at = s.join(d.select("doc_id", "text"), "doc_id")
+    return at.select("doc_id", "feature", J.verify_evidence(F.col("text"), F.col("span")).alias("verified"))
 
 
 def _section_sql(c: str) -> str:

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame
 def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:  # no cluster has named one, as in tests
+    if base is None:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         base = tempfile.mkdtemp(prefix="scriptorium-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

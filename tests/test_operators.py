@@ -18,7 +18,7 @@ from scriptorium.sources import fulltext, html, tables
 def test_terciles_match_quantile_cuts(spark):
     rows = [(n, i, float(i * 7919 % 101)) for n in (2, 3, 8, 10, 31) for i in range(n)]
     df = spark.createDataFrame(rows, "band int, id int, v double")
-    got = df.withColumn("t", K.tercile("v", "id", "band")).toPandas()
+    got = K.terciles(df, "v", "id", "band").withColumnRenamed("tercile", "t").toPandas()
     for n, x in got.groupby("band"):
         x = x.sort_values(["v", "id"])
         want = [1] * n if n < 3 else pd.qcut(pd.Series(range(1, n + 1)), 3, labels=False).tolist()
