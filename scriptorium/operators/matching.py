@@ -72,6 +72,13 @@ def incomplete_years(papers: DataFrame, rows: DataFrame) -> DataFrame:
     return a.join(b, "year", "left").select("year", "n_papers", n.alias("n_rows"), (n >= F.col("n_papers")).alias("complete"))
 
 
-def prefer(new: Column, old: Column, least_words: int) -> Column:
-    """A patched text where it has enough words."""
-    return F.when(F.size(F.split(F.trim(new), r"\s+")) >= least_words, new).otherwise(old)
+def patched(papers: DataFrame, cache: DataFrame, more: DataFrame, key: str, text: str, order: str, least: int = 5, short: int = 30) -> DataFrame:
+    """key, text, patched: texts replaced by those of the cache (key, new) with ``least`` words or more; one that is still of
+    fewer than ``short`` words by the first, by ``order``, of the fallbacks (key, order, new) that has as many."""
+    words = lambda c: F.size(F.filter(F.split(F.coalesce(F.col(c), F.lit("")), r"\s+"), lambda w: w != ""))
+    cache = cache.where(words("new") >= least).groupBy(key).agg(F.first("new").alias("new"))
+    more = more.where(words("new") >= short).groupBy(key).agg(F.min_by("new", order).alias("more"))
+    at = papers.select(key, text).join(cache, key, "left")
+    at = at.select(key, F.coalesce("new", text).alias(text), F.col("new").isNotNull().alias("patched")).join(more, key, "left")
+    use = F.col("more").isNotNull() & (words(text) < short)
+    return at.select(key, F.when(use, F.col("more")).otherwise(F.col(text)).alias(text), (F.col("patched") | use).alias("patched"))
