@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 BOILER, MAIN, OTHER = 0, 1, 2
 #: Importance that a node has by lying inside article or main.
 PRIOR = 0.25
+SALTS = 64
 _DROP = frozenset(
     "head script style noscript template iframe object embed svg math canvas audio video map nav footer aside form "
     "button select option textarea input label fieldset dialog menu header".split()
@@ -56,6 +57,9 @@ _NAMES = frozenset(
     "masthead breadcrumb breadcrumbs share sharing social newsletter subscribe subscription related popup modal login "
     "signup search widget toolbar pagination disqus respond replies".split()
 )
+#: Of these, what an article or main element may be.
+_CARDS = frozenset("comment comments ad ads related sponsored".split())
+_TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -81,8 +85,26 @@ _TOKEN = re.compile(
     r"|<(?P<close2>/?)(?P<tag2>[A-Za-z][^\s/>]*+)(?P<rest2>[^>]*+)(?:>|\Z)",
     re.S,
 )
-_ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_SPLIT = re.compile(r"[\s_\-:./]+")
+#: One attribute after another, each with its whole value.
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_READ = frozenset("class id role hidden aria-hidden".split())
+_SPLIT = re.compile(r"[_\-:./]+")
+#: Pieces of a name that say where or how a part stands, not what it is.
+_PLAIN = frozenset("area bar block bottom box container content group inner left links list main outer panel right section top wrap wrapper".split())
+
+
+def _attributes(rest: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(rest):
+        if (name := m[1].lower()) in _READ:
+            out.setdefault(name, (m[2] or "").strip("\"'"))
+    return out
+
+
+def _tells(name: str, telling: frozenset[str]) -> bool:
+    """Whether a class or id says so as a whole: ``cookie-notice`` and ``ad-box`` do, ``related-work`` and ``side-by-side`` do not."""
+    pieces = set(_SPLIT.split(name)) - {""}
+    return not pieces.isdisjoint(telling) and pieces <= telling | _PLAIN
 
 
 def _zone(tag: str, attrs: dict[str, str], above: int) -> int:
@@ -93,10 +115,11 @@ def _zone(tag: str, attrs: dict[str, str], above: int) -> int:
     if attrs:
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "") in _ROLES:
             return BOILER
-        names = _SPLIT.split(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
-        if tag not in ("html", "body", "article", "main") and not _NAMES.isdisjoint(names):
-            return BOILER
-        if tag in ("article", "main") and not {"comment", "comments", "ad", "ads", "related", "sponsored"}.isdisjoint(names):
+        names = attrs.get("class", "").lower().split()
+        if not (above == MAIN and tag in _TITLED):  # their ids are slugs of what they say
+            names += attrs.get("id", "").lower().split()
+        telling = _CARDS if tag in ("article", "main") else _NAMES
+        if tag not in ("html", "body") and any(_tells(n, telling) for n in names):
             return BOILER
     if tag in ("article", "main") or attrs.get("role") in ("main", "article"):
         return MAIN
@@ -145,7 +168,7 @@ class Page:
                     break
         attrs = {}
         if rest.strip("/ "):
-            attrs = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(rest)}
+            attrs = _attributes(rest)
         _, above, path = stack[-1]
         zone = _zone(tag, attrs, above)
         if zone != BOILER and tag in _BLOCK:
@@ -294,5 +317,8 @@ def extract(
             texts = [Page(h).main_text(g, k) for h, g, k in zip(x["html"], gone, kept)]
             yield pd.DataFrame({"page_id": x["page_id"], "url": x["url"], "text": texts})
 
-    rows = pages.join(judged, "host", "left").select("page_id", "url", "html", "removed", "content")
+    # A host may have a third of all pages, so its few branches are copied, and its pages dealt to as many places.
+    judged = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    rows = pages.join(judged, ["host", "salt"], "left").select("page_id", "url", "html", "removed", "content")
     return rows.mapInPandas(run, f"page_id {kind}, url string, text string")

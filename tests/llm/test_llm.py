@@ -338,6 +338,10 @@ def test_main_text():
     <article><header><h1>Title &amp; more</h1></header><p>One <b>two<br>three</p><p>Four\n  five&nbsp;six<div class="comments">Nice!</div><aside>Side</aside><form>Mail <input></form></article>
     <section class="comments"><article class="comment">Hi</article></section><footer>&copy; me</footer></body></html>"""
     assert html.Page(page).main_text(frozenset()) == "Title & more One two three Four five six"
+    kept = """<article><h2 id="related-work">Related</h2><section id="search-algorithms">Search</section><p style="overflow:hidden">Over</p>
+    <p title="A hidden gem, 5 > 4">Gem</p><div data-id="promo-1" class="side-by-side">Pair</div><p class="no-ads-here">None</p>
+    <div class="ad-box">Buy</div><div id="comment-list">Nice</div><p hidden>Gone</p><h2 class="ad">Ad</h2></article>"""
+    assert html.Page(kept).main_text(frozenset()) == "Related Search Over Gem Pair None"
     for odd in (None, "", "   ", "<", "<p", "<a href='x", "a < b && c", "<!-- open", "<script>x"):
         html.Page(odd).main_text(frozenset())
     assert html.Page("plain &lt;text&gt;").main_text(frozenset()) == "plain <text>"
