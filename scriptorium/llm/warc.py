@@ -34,7 +34,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import new_path, written
@@ -79,18 +79,29 @@ def member(data: bytes) -> bytes:
 
 
 class Damaged(Exception):
-    pass
+    """A check that failed; end is where the record would end by its own length, if it names one."""
+
+    def __init__(self, reason: str, end: int | None = None):
+        super().__init__(reason)
+        self.end = end
+
+
+_VERSION = re.compile(rb"WARC/\d\.\d\r?\n")
+_NEXT = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r?\n")
+_BLANK = re.compile(rb"\r?\n\r?\n")
+_CLOSE = re.compile(rb"\r\n\r\n|\n\n")
+SUSPECT = "inside the range that a damaged record names"
 
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
-    """The record that starts at a version line, and where it ends; Damaged if any check fails."""
-    if not re.compile(rb"WARC/\d\.\d\r\n").match(data, at):
+    """The record that starts at a version line, and where it ends; Damaged if any check fails. Lines may end by LF alone."""
+    if not _VERSION.match(data, at):
         raise Damaged("no version line")
-    cut = data.find(b"\r\n\r\n", at)
-    if cut < 0:
+    cut = _BLANK.search(data, at)
+    if cut is None:
         raise Damaged("headers have no end")
     head = {}
-    for line in data[at:cut].split(b"\r\n")[1:]:
+    for line in data[at : cut.start()].split(b"\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header without a colon")
@@ -99,92 +110,138 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict, int]:
         length = int(head["content-length"])
     except (KeyError, ValueError):
         raise Damaged("no content length") from None
-    block = data[cut + 4 : cut + 4 + length]
-    end = cut + 4 + length
-    if len(block) < length or length < 0 or data[end : end + 4] != b"\r\n\r\n":
+    if length < 0:
+        raise Damaged("length is negative")
+    end = cut.end() + length
+    block, close = data[cut.end() : end], _CLOSE.match(data, end)
+    if len(block) < length or close is None:
         raise Damaged("length does not fit")
     want = head.get("warc-block-digest", "")
     if want.startswith("sha1:") and digest32(block) != want[5:]:
-        raise Damaged("block digest differs")
+        raise Damaged("block digest differs", close.end())
     http, payload = block, b""
-    if head.get("content-type", "").startswith("application/http"):
-        http, _, payload = block.partition(b"\r\n\r\n")
+    if head.get("content-type", "").startswith("application/http") and (gap := _BLANK.search(block)):
+        http, payload = block[: gap.start()], block[gap.end() :]
     want = head.get("warc-payload-digest", "")
     if head.get("warc-type") == "response" and want.startswith("sha1:") and digest32(payload) != want[5:]:
-        raise Damaged("payload digest differs")
+        raise Damaged("payload digest differs", close.end())
     m = re.search(rb"(?im)^content-length:\s*(\d+)", http)
     full = int(m[1]) if m else len(payload)
-    return {"head": head, "payload": payload, "payload_bytes": full, "http": http}, end + 4
+    return {"head": head, "payload": payload, "payload_bytes": full, "http": http, "suspect": False}, close.end()
 
 
-def _member_at(data: bytes, at: int) -> tuple[bytes, int]:
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the member at a place inflates to, as far as it does, where it ends, and what is wrong with it, if anything."""
     z, out, view = zlib.decompressobj(31), [], memoryview(data)
-    try:
-        while not z.eof:
-            if at >= len(data):
-                raise Damaged("gzip: member is cut short")
-            out.append(z.decompress(view[at : at + _CHUNK]))
-            at += len(view[at : at + _CHUNK])
-    except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
-    return b"".join(out), at - len(z.unused_data)
-
-
-def _read_at(data: bytes, at: int) -> tuple[list[dict], int]:
-    """Records of the member or the one plain record at a place, and where it ends."""
-    if data[at : at + 2] != b"\x1f\x8b":
-        got, end = parse_record(data, at)
-        return [got], end
-    inside, end = _member_at(data, at)
-    found, k = [], 0
-    while k < len(inside):
-        got, k = parse_record(inside, k)
-        found.append(got)
-    if not found:
-        raise Damaged("empty member")
-    return found, end
-
-
-_NEXT = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d\r\n")
+    for step in (_CHUNK, 256, 1):  # a step that fails is tried again by smaller ones, to keep what stands before the fault
+        while not z.eof and at < len(data):
+            before = z.copy()
+            try:
+                out.append(z.decompress(view[at : at + step]))
+            except zlib.error as e:
+                z, reason = before, f"gzip: {e}"
+                break
+            at = min(at + step, len(data))
+        else:
+            whole = z.eof
+            return b"".join(out), at - len(z.unused_data), "" if whole else "gzip: member is cut short"
+    return b"".join(out), at, reason
+
+
+def _lines(data: bytes) -> Iterator[tuple[str, int, int, object]]:
+    """As salvage(), for plain bytes."""
+    at, named = 0, 0
+    while at < len(data):
+        try:
+            found, end = parse_record(data, at)
+            found["suspect"] = at < named
+            yield "record", at, end, found
+            at = end
+        except Damaged as e:
+            start, reason = at, str(e)
+            if e.end is not None and (e.end == len(data) or _NEXT.match(data, e.end)):
+                at = e.end  # its own length leads to a place where a record may start
+            else:
+                named = max(named, _claimed_end(data, at))
+                m = _VERSION.search(data, at + 1)
+                while m is not None:
+                    try:
+                        parse_record(data, m.start())
+                        break
+                    except Damaged:
+                        m = _VERSION.search(data, m.start() + 1)
+                at = len(data) if m is None else m.start()
+            yield "gap", start, at, reason
+
+
+def _claimed_end(data: bytes, at: int) -> int:
+    """Where the record at a place would end by the length in its headers; its start if it names none."""
+    cut = _BLANK.search(data, at)
+    m = re.search(rb"(?im)^content-length:[ \t]*(\d{1,18})\s*$", data[at : cut.start()]) if cut and _VERSION.match(data, at) else None
+    return cut.end() + int(m[1]) if m else at
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
-    """("record", start, end, record) and ("gap", start, end, reason) that together cover the archive."""
+    """("record", start, end, record) and ("gap", start, end, reason) that together cover the archive.
+
+    Records of a gzip member, and gaps between them, have the place of the member. What a damaged member still inflates
+    to is read as well; its gap then ends where the next member or version line that can be read starts. A record found
+    inside the range that a damaged one names may be a quotation of its payload: it is ``suspect``."""
     at = 0
     while at < len(data):
-        try:
-            found, end = _read_at(data, at)
-        except Damaged as e:
-            reason, start, found = str(e), at, None
-            for m in _NEXT.finditer(data, at + 1):
-                try:
-                    found, end = _read_at(data, m.start())
-                    at = m.start()
-                    break
-                except Damaged:
-                    continue
-            if found is None:
-                yield "gap", start, len(data), reason
-                return
-            yield "gap", start, at, reason
-        for r in found:
-            yield "record", at, end, r
+        if data[at : at + 3] == b"\x1f\x8b\x08":
+            inside, end, wrong = _inflate(data, at)
+            events = list(_lines(inside))
+            read = [(kind, at, end, x if kind == "record" else f"in the member at {a} to {b}: {x}") for kind, a, b, x in events]
+            whole = not wrong and any(kind == "record" for kind, *_ in events)
+            if whole:
+                yield from read
+                at = end
+                continue
+            end = _next_start(data, at)
+            yield from ((kind, at, end, x) for kind, _, _, x in read if kind == "record")
+            yield "gap", at, end, wrong or (events[0][3] if events else "empty member")
+            at = end
+            continue
+        # Plain bytes up to the next member that can be read.
+        end = next((m.start() for m in re.finditer(rb"\x1f\x8b\x08", data[at:]) if _opens(data, at + m.start())), None)
+        end = len(data) if end is None else at + end
+        yield from ((kind, at + a, at + b, x) for kind, a, b, x in _lines(data[at:end]))
         at = end
 
 
+def _opens(data: bytes, at: int) -> bool:
+    """Whether a member at a place inflates to what starts with a version line."""
+    try:
+        return _VERSION.match(zlib.decompressobj(31).decompress(data[at : at + 512], 64)) is not None
+    except zlib.error:
+        return False
+
+
+def _next_start(data: bytes, at: int) -> int:
+    for m in _NEXT.finditer(data, at + 1):
+        if data[m.start()] != 0x1F or _opens(data, m.start()):
+            return m.start()
+    return len(data)
+
+
 def plan_records(df: DataFrame, id_col: str, url_col: str, payload_col: str, min_dedup_bytes: int) -> DataFrame:
     """page_id, url, payload, digest, kind, refers_to: what is to be written, dealt out by digest and salt."""
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "uid": F.monotonically_increasing_id()})
+    rows = rows.withColumn("digest", F.sha1("payload"))
     counted = rows.where(F.length("payload") >= min_dedup_bytes).groupBy("digest")
-    least = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "uid")).alias("first")
+    least = F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id", "url")).alias("first")
     again = counted.agg(least, F.count(F.lit(1)).alias("n")).where("n > 1")
     # Small rows, once for each salt: payloads that many share are then written by many tasks.
     again = again.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
+    # All that decides is of the row itself, so a task that runs again decides alike; of equal rows one is as good as another.
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     rows = rows.join(again, ["digest", "salt"], "left")
-    revisit = F.col("first").isNotNull() & (F.col("uid") != F.col("first.uid"))
+    is_first = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
+    place = F.row_number().over(Window.partitionBy("digest", "salt", "page_id", "url").orderBy(F.lit(1)))
+    rows = rows.withColumn("place", place)
+    revisit = F.col("first").isNotNull() & ~(is_first & (F.col("place") == 1))
     return rows.select(
         "page_id",
         "url",
@@ -260,7 +317,7 @@ def read_warc(spark: SparkSession, files: DataFrame) -> DataFrame:
                         h = r["head"]
                         numbers = [int(v) if (v := h.get(k, "")).lstrip("-").isdigit() else None for k in ("warc-page-id", "warc-refers-to-page-id")]
                         digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
-                        rows.append((path, "record", a, b, None, numbers[0], h.get("warc-target-uri"), h.get("warc-type"), r["payload"], r["payload_bytes"], digest, numbers[1]))
+                        rows.append((path, "record", a, b, SUSPECT if r["suspect"] else None, numbers[0], h.get("warc-target-uri"), h.get("warc-type"), r["payload"], r["payload_bytes"], digest, numbers[1]))
                     if len(rows) >= 500:
                         yield pd.DataFrame(rows, columns=names, dtype=object)
                         rows = []
