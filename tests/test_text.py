@@ -30,7 +30,7 @@ def test_counts(spark):
     assert one(spark, T.signposting, "However, in turn, after that. Beforehand next") == [5]
     assert one(spark, T.has_narrator, "We show", "US law", "thus", "Us too") == [1, 0, 0, 1]
     assert one(spark, T.sentence_stops, "One. Two. Three.", "none", "") == [3, 1, 1]
-    assert one(spark, lambda c: T.hype(c)["hype_scale"], "multi-disciplinary and multidisciplinary, vast") == [3]
+    assert one(spark, lambda c: T.hype(T.hype_words(c))["hype_scale"], "multi-disciplinary and multidisciplinary, vast") == [3]
 
 
 def test_clean_ocr(spark):
