@@ -22,7 +22,9 @@ Comparisons within buckets are of sketches (smallest token of each of 128 hash
 ranges, one byte each); pairs that may reach the threshold link their nodes to
 candidate groups. Within each group every pair is then compared exactly. Large
 groups are cut to blocks, and each two blocks are compared by a task, so none is
-gathered whole, and a task returns a row for each node, not for each pair.
+gathered whole, and a task returns a row for each node, not for each pair. A
+bitmap of ``2 ** filter_bits`` bits keeps most texts that no group needs out of
+the shuffle; the join behind it is exact.
 
 Shingles are compared by 64-bit hashes. Equal texts are always one class.
 
@@ -315,6 +317,30 @@ def candidate_groups(nodes: DataFrame, least: float, small: int, block: int) ->
     return components(edges)
 
 
+def perhaps_in(keys: DataFrame, bits: int):
+    """A function of a 64-bit hash column: false only for hashes that ``keys`` (column ``h``) lacks.
+
+    A bitmap of 2 ** bits bits, whatever the number of keys, and two bits a key; with far more keys than bits all hashes pass.
+    """
+    places = F.array(*[F.shiftrightunsigned("h", i * bits).bitwiseAND((1 << bits) - 1) for i in range(2)])
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    words = keys.select(F.explode(places).alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(F.bit_or(bit).alias("word"))
+    bitmap = np.zeros(max(1, 1 << bits >> 6), np.uint64)
+    for at, word in words.collect():
+        bitmap[at] = word % (1 << 64)
+    held = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def run(h: pd.Series) -> pd.Series:
+        own, h, found = held.value, h.to_numpy().view(np.uint64), True
+        for i in range(2):
+            place = (h >> np.uint64(i * bits)) & np.uint64((1 << bits) - 1)
+            found &= own[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1) > 0
+        return pd.Series(found)
+
+    return run
+
+
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of each two sets."""
     m, sizes = len(sets), [len(s) for s in sets]
@@ -377,6 +403,7 @@ def near_duplicates(
     slack: float = 0.2,
     sketch_block: int = 2048,
     block: int = 512,
+    filter_bits: int = 24,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -406,6 +433,9 @@ def near_duplicates(
                 yield out
 
     wanted = labels.select("node", "label", "n", "copies", F.col("rep.doc_id").alias("d"), F.col("rep.text_id").alias("text_id"))
+    key = F.xxhash64(F.col("doc_id"), F.col("text_id"))
+    perhaps = perhaps_in(labels.select(F.xxhash64("rep.doc_id", "rep.text_id").alias("h")), filter_bits)
+    docs = docs.where(perhaps(key))  # so that only texts to be compared are shuffled
     texts = docs.join(wanted, (docs.text_id == wanted.text_id) & docs.doc_id.eqNullSafe(wanted.d))
     texts = texts.select("node", "label", "n", "copies", "text")
     sets = texts.mapInPandas(tokens, "node long, label long, n long, copies long, tokens binary")

@@ -214,10 +214,10 @@ def copies(seed=9):
     return rows + [[700 + i, t, None, None, None] for i, t in enumerate([None, "", " ", "a b", "A B", "a b c"])]
 
 
-@pytest.mark.parametrize("small, block", [(64, 512), (8, 16)])
-def test_near_duplicates(spark, small, block):
+@pytest.mark.parametrize("small, block, bits", [(64, 512, 24), (8, 16, 24), (64, 512, 7)])
+def test_near_duplicates(spark, small, block, bits):
     rows = copies()
-    got = jaccard.near_duplicates(spark.createDataFrame([tuple(r) for r in rows], DOCS), small=small, block=block, sketch_block=4 * block).collect()
+    got = jaccard.near_duplicates(spark.createDataFrame([tuple(r) for r in rows], DOCS), small=small, block=block, sketch_block=4 * block, filter_bits=bits).collect()
     classes, links = brute_classes(rows)
     first = {}
     for c, r in zip(classes, rows):
