@@ -461,7 +461,7 @@ def near_duplicates(
 def keep_one(df: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row of df of each near-duplicate class."""
     found = near_duplicates(df, n, threshold).where("stays").select("doc_id", "text_id").distinct()
+    key = F.concat_ws("/", F.col("doc_id").cast("long").cast("string"), "text_id")  # a null id gives no slash
     rows = df.select(F.struct(*df.columns).alias("whole"), "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_id"))
-    same = (F.col("r.text_id") == F.col("k.text_id")) & F.col("r.doc_id").eqNullSafe(F.col("k.doc_id"))
-    rows = rows.alias("r").join(found.alias("k"), same, "left_semi")
-    return rows.dropDuplicates(["doc_id", "text_id"]).select("whole.*")
+    rows = rows.select("whole", key.alias("key")).join(found.select(key.alias("key")), "key", "left_semi")
+    return rows.dropDuplicates(["key"]).select("whole.*")
