@@ -9,9 +9,8 @@ margins. The score multiplies, over both steps, the logistic of the winner's
 smallest margin.
 
 The model is fitted on the driver on a bounded sample of labelled rows:
-``max_rows`` vectors, as many of each language as there are languages to share
-them (at most ``max_langs``, the most frequent), taken by hash of id and text.
-Every row is then predicted, by text alone.
+``max_rows`` vectors, shared evenly among all languages and taken by hash of id
+and text. Every row is then predicted, by text alone.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is any
 text if nothing could be learned; repeated rows get equal results; very long
@@ -133,16 +132,17 @@ class Model:
         return langs, scores
 
 
-def fit(df: DataFrame, dims: int = 2048, max_rows: int = 6000, max_langs: int = 64) -> Model | None:
+def fit(df: DataFrame, dims: int = 2048, max_rows: int = 6000) -> Model | None:
     """A model of the rows of (doc_id, text, lang) with a lang, from at most ``max_rows`` of them."""
     known = df.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    # A model holds a row of each language at least, so more languages than rows cannot be learned.
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows).collect()
     if not counts:
         return None
     each, scale = max_rows // len(counts), 1 << 30
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(scale, int(each / r["count"] * scale) + 1)).otherwise(share)
+    shares = [(r["lang"], min(scale, int(each / r["count"] * scale) + 1)) for r in counts]
+    names, parts = (F.lit(list(x)) for x in zip(*shares))
+    share = F.element_at(F.map_from_arrays(names, parts), F.col("lang"))
     drawn = known.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(scale)) < share)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

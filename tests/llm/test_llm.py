@@ -167,6 +167,16 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in langid.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_many_languages(spark):
+    """Each language can be predicted, however many there are; a frequent one does not crowd out the rest."""
+    rows = [(i, " ".join(chr(0x4E00 + 3 * lang + j) for j in range(3)) + " ab", f"x{lang:02}", "s", 0)
+            for i, lang in enumerate([k % 70 for k in range(420)] + [0] * 300)]
+    model = langid.fit(spark.createDataFrame(rows, DOCS).select("doc_id", "text", "lang"), dims=512, max_rows=350)
+    langs, _ = model.predict([r[1] for r in rows[:70]])
+    assert set(model.within[0].classes) == {r[2] for r in rows[:70]}
+    assert np.mean([a == r[2] for a, r in zip(langs, rows)]) > 0.9
+
+
 def test_vector_in_pieces(monkeypatch):
     text = "abcdé " * 50
     whole = langid.vector(text, 512)
