@@ -32,14 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import worker_cache, written
 
 SALTS = 64
-#: Text pieces whose ids a worker remembers in each of two generations.
-REMEMBERED = 300_000
+#: Text pieces whose ids a worker remembers in each of two generations: some 35 MB each.
+REMEMBERED = 150_000
+#: Texts of an Arrow batch that are Python strings at one time.
+SOME = 500
 #: Letters of ASCII and Latin-1, then signs: tokenizers that part letters from signs encode the two alone.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 _LATIN = [chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)]
@@ -113,26 +116,28 @@ def pieces(
 ) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (and ids) of each piece."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * keep_ids
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = worker_cache()
         own = cache.get(("encoder", tokenizer)) or cache.setdefault(("encoder", tokenizer), Encoder(tokenizer))
+        out = pa.schema([(c, pa.int64()) for c in names] + [("ids", pa.list_(pa.int64()))] * keep_ids)
         for x in batches:
-            for at in range(0, len(x), 1000):
-                some, rows = x.iloc[at : at + 1000], []
-                for doc_id, ids in zip(some["doc_id"], own.encode(["" if t is None else t for t in some["text"]])):
+            for at in range(0, len(x), SOME):
+                some, rows = x.slice(at, SOME).to_pydict(), []
+                for doc_id, ids in zip(some["doc_id"], own.encode([t or "" for t in some["text"]])):
                     ids += end
                     n = len(ids) // 4
                     for a in range(0, n, max_len):
                         part = ids[4 * a : 4 * (a + max_len)]
                         row = (doc_id, a, len(part) // 4, zlib.crc32(part), n)
                         rows.append((*row, np.frombuffer(part, "<u4").tolist()) if keep_ids else row)
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
-                yield pd.DataFrame(rows, columns=names)
+                columns = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def best_pattern(value: np.ndarray, units: int) -> tuple[float, np.ndarray]:
