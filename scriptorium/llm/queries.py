@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import brown, chat, decontam, html, jaccard, langid, license, packing, quality, warc
+from scriptorium.llm import brown, chat, crosstok, decontam, html, jaccard, langid, license, packing, quality, warc
 from scriptorium.llm.common import table
 
 QUERIES: dict = {}
@@ -168,3 +168,17 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_html_extraction"] = op5_html_extraction
+
+
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' ids in every document, with how common its links are."""
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    got = crosstok.align(table(spark, sf_dir, "documents"), *paths)
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    got = got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "links")
+    return crosstok.link_statistics(got)
+
+
+QUERIES["op11_cross_tokenizer_alignment"] = op11_cross_tokenizer_alignment
