@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import brown, chat, crosstok, decontam, html, jaccard, langid, license, packing, quality, warc
+from scriptorium.llm import brown, chat, crosstok, decontam, html, jaccard, langid, license, packing, quality, warc, whitening
 from scriptorium.llm.common import table
 
 QUERIES: dict = {}
@@ -182,3 +182,11 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES["op11_cross_tokenizer_alignment"] = op11_cross_tokenizer_alignment
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op13_embedding_whitening"] = op13_embedding_whitening
