@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import brown, chat, crosstok, decontam, html, jaccard, langid, license, packing, quality, warc, whitening
+from scriptorium.llm import boosting, brown, chat, crosstok, decontam, html, jaccard, langid, license, packing, quality, warc, whitening
 from scriptorium.llm.common import table
 
 QUERIES: dict = {}
@@ -190,3 +190,11 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op13_embedding_whitening"] = op13_embedding_whitening
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return boosting.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op12_quality_classifier"] = op12_quality_classifier
