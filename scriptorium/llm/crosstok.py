@@ -28,8 +28,10 @@ the two named are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,13 +43,16 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import worker_cache, written
 
 #: Pieces that a worker remembers in each of two generations, and the longest of them.
-REMEMBERED, SHORT = 60_000, 64
+REMEMBERED, SHORT = 120_000, 64
 #: Texts, and characters of their listings, that go to Spark at one time.
 SOME, MUCH = 400, 8_000_000
 #: A pair that has this share of all rows, or more, is looked up in a broadcast table.
 HOT = 1e-5
 #: A space between two characters that no pattern takes for white space.
 _CUT = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
+#: A piece that begins and ends with no white space, so that others may stand before and after it.
+_WHOLE = re.compile(r"[^\s\u180e](?:.*[^\s\u180e])?", re.DOTALL)
+_OVER = re.compile(r"[^\s\u180e] ")
 _LABELS = bytes.maketrans(b"\x00\x01\x02\x03", b".abx")
 _GROUP = re.compile(rb"[^x]*x")
 
@@ -65,13 +70,6 @@ def labels(ends_a: np.ndarray, ends_b: np.ndarray, n_bytes: int) -> bytes:
     return out.tobytes().translate(_LABELS)
 
 
-def groups(line: bytes) -> Iterator[tuple[int, int]]:
-    """Number of A and of B tokens of each span up to an ``x``."""
-    for m in _GROUP.finditer(line):
-        span = m[0]
-        yield span.count(b"a") + 1, span.count(b"b") + 1
-
-
 def signs_to_bytes() -> dict[str, int]:
     """Byte-level sign of each byte, by rule: printable Latin-1 stands for itself, the others follow from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -80,20 +78,22 @@ def signs_to_bytes() -> dict[str, int]:
 
 
 class Aligned:
-    """What is kept of a piece: listing of its groups, counts, and its links with how often each occurs."""
+    """What is kept of a piece: listing of its groups, counts, and its links, each as eight bytes."""
+
+    __slots__ = ("listing", "n_a", "n_b", "n_groups", "pairs")
 
-    __slots__ = ("listing", "n_a", "n_b", "n_groups", "n_links", "pairs")
+    def __init__(self, listing: list[str], n_a: int, n_b: int, pairs: list[int]):
+        self.listing, self.n_a, self.n_b, self.n_groups, self.pairs = ";".join(listing), n_a, n_b, len(listing), array("q", pairs).tobytes()
 
-    def __init__(self, ids_a: list[int], ids_b: list[int], spans: list[tuple[int, int]]):
-        i = j = self.n_links = 0
-        parts, pairs = [], []
-        for p, q in spans:
-            a, b = ids_a[i : i + p], ids_b[j : j + q]
-            i, j, self.n_links = i + p, j + q, self.n_links + p * q
-            parts.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
-            pairs += [x << 32 | y for x in a for y in b]
-        self.listing, self.n_a, self.n_b, self.n_groups = ";".join(parts), i, j, len(spans)
-        self.pairs = pairs
+
+class Sizes(dict):
+    """Number of A and of B tokens of a group by its span of labels."""
+
+    def __missing__(self, span: bytes) -> tuple[int, int]:
+        got = span.count(b"a") + 1, span.count(b"b") + 1
+        if len(span) < 40:
+            self[span] = got
+        return got
 
 
 class Aligner:
@@ -118,28 +118,44 @@ class Aligner:
         ]
         self.len_a = np.array([len(x) for x in self.bytes_a])
         self.len_b = np.array([len(x) for x in self.bytes_b])
-        #: Whether no entry goes on over a space, as cutting takes for granted.
-        inner = any("▁" in p.lstrip("▁") for p in names)
-        self.cuts = not inner and not any(b" " in x.lstrip(b" ") for x in self.bytes_a if x.strip(b" "))
+        #: Whether no entry goes on over a space that follows a sign, as cutting takes for granted.
+        entries = [x.decode("utf-8", "replace") for x in self.bytes_a + self.bytes_b]
+        self.cuts = not any(_OVER.search(x) for x in entries)
+        self.sizes = Sizes()
         self.known: dict[str, Aligned | None] = {}
         self.before: dict[str, Aligned | None] = {}
 
     def _encode(self, pieces: list[str]) -> list[Aligned | None]:
-        """Each piece with a space before it; None for one that does not give back its bytes."""
-        got_a = self.a.encode_batch([" " + p for p in pieces], add_special_tokens=False)
-        got_a, got_b = [e.ids for e in got_a], self.b.encode(pieces, num_threads=1)
+        """Each piece with a space before it; None for one that does not give back its bytes. Several must be parted by cuts."""
+        text = " ".join(pieces)
+        ids_a, ids_b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        raw = (" " + text).encode()
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
+            half = len(pieces) // 2
+            return self._encode(pieces[:half]) + self._encode(pieces[half:]) if half else [None]
+        line = labels(self.len_a[ids_a].cumsum(), self.len_b[ids_b].cumsum(), len(raw))
         out: list[Aligned | None] = []
-        for piece, ids_a, ids_b in zip(pieces, got_a, got_b):
-            raw = b" " + piece.encode()
-            if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
-                out.append(None)
-                continue
-            line = labels(self.len_a[ids_a].cumsum(), self.len_b[ids_b].cumsum(), len(raw))
-            out.append(Aligned(ids_a, ids_b, list(groups(line))))
+        ends = itertools.accumulate(len(p.encode()) + 1 for p in pieces)
+        end, at, i, j, i0, j0 = next(ends), 0, 0, 0, 0, 0
+        listing, pairs = [], []
+        for span in _GROUP.findall(line):
+            p, q = self.sizes[span]
+            if p == q == 1:
+                a, b = ids_a[i], ids_b[j]
+                listing.append(f"{a}|{b}")
+                pairs.append(a << 32 | b)
+            else:
+                some_a, some_b = ids_a[i : i + p], ids_b[j : j + q]
+                listing.append(",".join(map(str, some_a)) + "|" + ",".join(map(str, some_b)))
+                pairs += [x << 32 | y for x in some_a for y in some_b]
+            i, j, at = i + p, j + q, at + len(span)
+            if at == end:
+                out.append(Aligned(listing, i - i0, j - j0, pairs))
+                end, i0, j0, listing, pairs = next(ends, 0), i, j, [], []
         return out
 
     def _learn(self, parts: list[str]) -> dict[str, Aligned | None]:
-        """The pieces by name; short ones are remembered."""
+        """The new pieces by name; short ones are remembered."""
         new = {p for p in parts if p not in self.known}
         short = {p for p in new if len(p) <= SHORT}
         if len(self.known) + len(short) > REMEMBERED:
@@ -148,7 +164,10 @@ class Aligner:
         for p in short & self.before.keys():
             self.known[p] = self.before[p]
         todo = [p for p in new if p not in self.known]
-        got = dict(zip(todo, self._encode(todo)))
+        joined = [p for p in todo if _WHOLE.fullmatch(p)]
+        alone = [p for p in todo if not _WHOLE.fullmatch(p)]
+        got = dict(zip(joined, self._encode(joined))) if joined else {}
+        got |= {p: self._encode([p])[0] for p in alone}
         self.known.update((p, v) for p, v in got.items() if len(p) <= SHORT)
         return got
 
@@ -171,13 +190,14 @@ class Aligner:
 def _row(doc_id: int | None, got: list[Aligned] | None) -> tuple:
     if got is None:
         return doc_id, 0, 0, 0, 0, "", ()
-    n_a = n_b = n_groups = n_links = 0
-    held: list[int] = []
+    n_a = n_b = n_groups = 0
+    held: list[bytes] = []
     for piece, n in Counter(got).items():
-        n_a, n_b, n_groups, n_links = n_a + n * piece.n_a, n_b + n * piece.n_b, n_groups + n * piece.n_groups, n_links + n * piece.n_links
-        held += piece.pairs if n == 1 else piece.pairs * n
-    keys, counts = np.unique(np.array(held, np.int64), return_counts=True)
-    return doc_id, n_a, n_b, n_groups, n_links, ";".join([g.listing for g in got]), (keys, counts)
+        n_a, n_b, n_groups = n_a + n * piece.n_a, n_b + n * piece.n_b, n_groups + n * piece.n_groups
+        held.append(piece.pairs * n)
+    links = np.frombuffer(b"".join(held), np.int64)
+    keys, counts = np.unique(links, return_counts=True)
+    return doc_id, n_a, n_b, n_groups, len(links), ";".join([g.listing for g in got]), (keys, counts)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
