@@ -417,20 +417,43 @@ def ari_contingency(spark, sf_dir):
     return adjusted_rand(at, "label", "cluster").select(F.round("ari", 6).alias("ari"))
 
 
+def _topics(spark, sf_dir):
+    from scriptorium.operators.topics import topics
+
+    return topics(papers(spark, sf_dir).select("paper_id", "text"), 15, 20261008)
+
+
 @query()
 def topics_kmeans(spark, sf_dir):
     """A topic for each document."""
-    from scriptorium.operators.topics import topics
-
-    return topics(papers(spark, sf_dir).select("paper_id", "text"), 15, 20261008)[0]
+    return _topics(spark, sf_dir)[0]
 
 
 @query()
 def topic_terms(spark, sf_dir):
     """The eight terms of most weight of each topic."""
-    from scriptorium.operators.topics import topics
+    return _topics(spark, sf_dir)[1]
+
+
+@query("SELECT lang, count(*) AS n, true AS apart FROM documents GROUP BY lang")
+def topic_languages(spark, sf_dir):
+    """Whether three quarters or more of a language's documents lie in topics where it is the most frequent: the texts share
+    no words between languages, so topics must tell them apart."""
+    at = _topics(spark, sf_dir)[0].join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), "lang"), "paper_id")
+    cells = at.groupBy("topic", "lang").agg(F.count(F.lit(1)).alias("n"))
+    main = cells.groupBy("topic").agg(F.max_by("lang", F.struct("n", "lang")).alias("main"))
+    got = cells.join(main, "topic").groupBy("lang").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("lang") == F.col("main"), F.col("n")).otherwise(0)).alias("own"))
+    return got.select("lang", "n", (F.col("own") >= 0.75 * F.col("n")).alias("apart"))
+
+
+@query("SELECT count(*) FILTER (('0x' || substr(md5(doc_id::VARCHAR), 1, 6))::INT % 3 = 2) AS held_out_n, true AS stable, true AS informed FROM documents")
+def topic_stability(spark, sf_dir):
+    """Whether models of two thirds of the documents agree on the last: adjusted Rand index and mutual information over 0.5.
+    With four topics, as there are four languages, the two models must find the same ones."""
+    from scriptorium.operators.topics import embedded, stability
 
-    return topics(papers(spark, sf_dir).select("paper_id", "text"), 15, 20261008)[1]
+    low = embedded(papers(spark, sf_dir).select("paper_id", "text"))[0]
+    return stability(low, 4, 20261008).select("held_out_n", (F.col("ari") > 0.5).alias("stable"), (F.col("ami") > 0.5).alias("informed"))
 
 
 @query("""SELECT user_id, count(*) AS n_events, max(value) AS most, arg_max(event_type, (value, -event_id)) AS best_type FROM events GROUP BY user_id""")

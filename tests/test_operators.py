@@ -123,6 +123,20 @@ def test_topics_are_pure(spark):
     assert purity >= 0.8 and terms.count() == 24
 
 
+def test_topic_stability(spark):
+    from scriptorium.operators.topics import embedded, stability, third
+
+    rng = random.Random(6)
+    words = [[f"{c}word{i}" for i in range(20)] for c in "abc"]
+    rows = [(i, " ".join(rng.choices(words[i % 3], k=30))) for i in range(150)] + [(900, ""), (901, None)]
+    df = spark.createDataFrame(rows, "paper_id int, text string")
+    low, cells, values = embedded(df, 20)
+    assert low.count() == 152 and {len(r.low) for r in low.collect()} == {20} and cells.where("paper_id >= 900").count() == 0
+    assert list(values) == sorted(values, reverse=True) and sum(values**2) <= 150
+    got = stability(low, 3, 5).first()
+    assert got.ari > 0.9 and got.ami > 0.9 and got.held_out_n == df.where(third("paper_id") == 2).count()
+
+
 def test_proceedings_pages(spark):
     old = '<div class="container-fluid">x</div><div class="container-fluid"><ul><li><a href="/paper/1990/hash/abc-Abstract.html">t</a></li><li><a href="/other">o</a></li></ul>'
     new = '<ul class="paper-list"><li><a title="paper title" href="/paper/2021/hash/def-Abstract.html">t</a><a href="/x">y</a></li></ul>'
