@@ -70,3 +70,13 @@ def scores(n_min: int = 10) -> dict[str, Column]:
     }
     enough = (F.col("n_split") >= n_min) & (F.size("words") > 0)
     return {k: F.when(enough, F.round(v + 1e-9, 3)) for k, v in out.items()}
+
+
+def listed_scores(words: Column, sentences: Column, difficult: Column) -> dict[str, Column]:
+    """The two formulas that need a list of easy words, of counts; null without words."""
+    pct, length = F.try_divide(100.0 * difficult, words), F.when(words > 0, words / sentences)
+    out = {
+        "dale_chall": 0.1579 * pct + 0.0496 * length + F.when(pct > 5, 3.6365).otherwise(0.0),
+        "spache": 0.141 * length + 0.086 * pct + 0.839,
+    }
+    return {k: F.round(v + 1e-9, 3) for k, v in out.items()}

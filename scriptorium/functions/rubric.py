@@ -86,6 +86,12 @@ def template_distance(codes: Column, template: str = "SGCEI") -> Column:
     return F.levenshtein(collapse(codes), F.lit(template))
 
 
+def jargon_words(c: Column) -> tuple[Column, Column]:
+    """Words of two letters or more, and those of them that are no acronyms."""
+    words = F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[A-Za-z][A-Za-z\-]*"), F.lit(0)), lambda w: F.length(w) > 1)
+    return words, F.filter(words, lambda w: ~is_acronym(w))
+
+
 def jargon_density(c: Column, english: list[str]) -> Column:
     """Share of words (two letters or more) that are no acronyms and have no part in the English list."""
     words = F.filter(F.regexp_extract_all(c, F.lit(r"[A-Za-z][A-Za-z\-]*"), F.lit(0)), lambda w: F.length(w) > 1)

@@ -254,6 +254,58 @@ def readability_rows(spark, sf_dir):
     return at.select("doc_id", *[c.alias(k) for k, c in R.scores().items()])
 
 
+#: Words of ASCII letters that stand in two documents or more: the list that the two queries below read.
+LISTED = "SELECT word FROM (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS word FROM documents) GROUP BY word HAVING count(*) >= 2"
+
+
+def _word_list(spark, sf_dir):
+    """The list as a table of lines, read back as any word list is, comments and all."""
+    from scriptorium.sources.scratch import new_path
+    from scriptorium.sources.tables import read_word_list
+
+    d = table(spark, sf_dir, "documents")
+    words = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), F.lower))).alias("word"))
+    words = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(F.col("word").alias("value"))
+    path = new_path(spark, "word-list")
+    words.unionByName(spark.sql("VALUES ('# a comment'), ('') AS t(value)")).write.text(path)
+    return read_word_list(spark, path)
+
+
+@query(rf"""WITH e AS ({LISTED}),
+w AS (SELECT doc_id, regexp_extract_all(text, '\p{{L}}+(?:[''\-]\p{{L}}+)*') AS words, greatest(1, len(regexp_extract_all(text, '[.!?]+(?:\s|$)'))) * 1.0 AS s FROM documents),
+u AS (SELECT doc_id, lower(unnest(words)) AS word FROM w), k AS (SELECT doc_id, count(*) AS n_listed FROM u SEMI JOIN e USING (word) GROUP BY doc_id),
+c AS (SELECT doc_id, len(words) * 1.0 AS n, s, coalesce(n_listed, 0) AS n_listed FROM w LEFT JOIN k USING (doc_id)),
+p AS (SELECT *, CASE WHEN n > 0 THEN 100.0 * (n - n_listed) / n END AS pct FROM c)
+SELECT doc_id, n::BIGINT AS n_words, n_listed::BIGINT AS n_listed, round(0.1579 * pct + 0.0496 * n / s + CASE WHEN pct > 5 THEN 3.6365 ELSE 0.0 END + 1e-9, 3) AS dale_chall,
+  round(0.141 * n / s + 0.086 * pct + 0.839 + 1e-9, 3) AS spache FROM p""")
+def dictionary_readability(spark, sf_dir):
+    """Dale-Chall and Spache with a list of thousands of easy words, which is a table."""
+    from scriptorium.operators.dictionary import with_listed
+
+    d = table(spark, sf_dir, "documents")
+    c = R.counts(F.col("text"))
+    at = with_listed(d, "doc_id", c["words"], _word_list(spark, sf_dir), {"n_words": F.size(c["words"]).cast("long"), "s": c["sentences"]})
+    out = R.listed_scores(F.col("n_words"), F.col("s"), F.col("n_words") - F.col("n_listed"))
+    return at.select("doc_id", "n_words", "n_listed", *[x.alias(k) for k, x in out.items()])
+
+
+@query(rf"""WITH e AS ({LISTED}), w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z][A-Za-z\-]*'), lambda x: length(x) > 1) AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS i FROM w),
+o AS (SELECT * FROM t WHERE NOT (length(regexp_replace(t, '[^A-Z]', '', 'g')) >= length(regexp_replace(t, '[^a-z]', '', 'g')) AND length(regexp_replace(t, '[^A-Z]', '', 'g')) >= 2)),
+p AS (SELECT doc_id, i, unnest(string_split(lower(t), '-')) AS word FROM o), k AS (SELECT doc_id, count(DISTINCT i) AS known FROM p SEMI JOIN e USING (word) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS odd FROM o GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_tokens, round(CASE WHEN len(w) = 0 THEN 0.0 ELSE (coalesce(odd, 0) - coalesce(known, 0)) * 1.0 / len(w) END, 4) AS jargon_density
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""")
+def dictionary_jargon(spark, sf_dir):
+    """Jargon density with a list of thousands of words, which is a table."""
+    from scriptorium.operators.dictionary import with_listed
+
+    words, plain = B.jargon_words(F.col("text"))
+    at = with_listed(table(spark, sf_dir, "documents"), "doc_id", plain, _word_list(spark, sf_dir), {"n_tokens": F.size(words).cast("long"), "n_plain": F.size(plain)}, parts=True)
+    share = F.try_divide((F.col("n_plain") - F.col("n_listed")) * 1.0, F.col("n_tokens"))
+    return at.select("doc_id", "n_tokens", F.round(F.coalesce(share, F.lit(0.0)), 4).alias("jargon_density"))
+
+
 _ANSWER = "CASE event_id % 5 WHEN 0 THEN 'Score: ' || k WHEN 1 THEN 'I would say ' || k || ' of 5.' WHEN 2 THEN 'score: 4.5 or so' WHEN 3 THEN 'no idea' ELSE 'Claims: ' || k || ', ' || (k + 1) END"
 
 
