@@ -6,6 +6,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import jaccard
+from scriptorium.sources.scratch import written
+
+
+#: From so many titles on, a token's candidates are dealt over SALTS tasks.
+COMMON, SALTS = 10_000, 16
+
+
+def rare_first(df: DataFrame, key: str, norm: str, counts: DataFrame) -> DataFrame:
+    """(key, tokens): the distinct tokens of a title as (n, t), the rarest by ``counts`` (t, n) first; titles without any go."""
+    at = df.select(key, F.explode(F.array_distinct(F.split(norm, " "))).alias("t")).where("t <> ''")
+    return at.join(counts, "t").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("tokens"))
+
+
+def title_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """paper_id, work_id, score of titles (paper_id, year, norm) and (work_id, wyear, wnorm) within a year of one another
+    whose token sets overlap by ``least`` or more.
+
+    Tokens are ordered by how many titles hold them, rarest first; a pair that overlaps that much must share one of the
+    first few of each side. A shared token counts only if the titles' lengths, and what is left behind it on both sides,
+    still allow the overlap. Tokens of COMMON titles or more, which lead only titles of common words, are dealt over SALTS."""
+    left, right = left.where("norm <> ''"), right.where("wnorm <> ''")
+    words = left.select(F.explode(F.array_distinct(F.split("norm", " "))).alias("t")).unionByName(right.select(F.explode(F.array_distinct(F.split("wnorm", " "))).alias("t")))
+    counts = written(words.groupBy("t").agg(F.count(F.lit(1)).alias("n")), "tokens")
+
+    def prefix(df: DataFrame, key: str, norm: str, year: str, tokens: str, at: str) -> DataFrame:
+        df = rare_first(df, key, norm, counts).join(df.select(key, F.col(year).alias("y")), key)
+        size = F.size("tokens")
+        head = F.slice("tokens", F.lit(1), (size - F.ceil(size * least - 1e-9) + 1).cast("int"))
+        df = df.select(key, "y", F.transform("tokens", lambda x: x.t).alias(tokens), F.posexplode(head).alias(at, "x"))
+        return df.select(key, "y", tokens, at, "x.t", "x.n")
+
+    a = prefix(left, "paper_id", "norm", "year", "a", "i").withColumn("y", F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)))
+    b = prefix(right, "work_id", "wnorm", "wyear", "b", "k").drop("n")
+    common = F.lit(SALTS - 1)
+    a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") >= COMMON, common).otherwise(0)))).drop("n")
+    b = b.join(counts, "t").withColumn("salt", F.when(F.col("n") >= COMMON, F.pmod(F.xxhash64("work_id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("n")
+    pairs = a.join(b, ["t", "y", "salt"])
+    na, nb = F.size("a"), F.size("b")
+    need = (na + nb) * (least / (1 + least)) - 1e-9  # an overlap of ``least`` is so many shared tokens
+    pairs = pairs.where((F.least(na, nb) >= least * F.greatest(na, nb) - 1e-9) & (F.least(na - F.col("i"), nb - F.col("k")) >= need))
+    pairs = pairs.dropDuplicates(["paper_id", "work_id"])
+    return pairs.select("paper_id", "work_id", jaccard(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= least)
 
 
 def pick_match(papers: DataFrame, works: DataFrame, least: float = 0.9, lead: float = 0.05) -> DataFrame:
@@ -13,9 +55,8 @@ def pick_match(papers: DataFrame, works: DataFrame, least: float = 0.9, lead: fl
 
     Candidates lie within a year. Equal titles win by year distance, then
     citations; if the best two tie, nothing is taken. Otherwise the best token
-    overlap must reach ``least`` and lead the next by ``lead``. Fuzzy candidates
-    share one of their first sorted tokens at least (a pair that overlaps that
-    much must, by the prefix filter), so no pair of strangers is formed.
+    overlap must reach ``least`` and lead the next by ``lead``; see title_pairs
+    for how pairs of strangers are avoided.
     """
     at = papers.withColumn("y", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)))
     same = at.join(works, (F.col("norm") == F.col("wnorm")) & (F.col("y") == F.col("wyear")) & (F.col("norm") != ""))
@@ -26,16 +67,7 @@ def pick_match(papers: DataFrame, works: DataFrame, least: float = 0.9, lead: fl
     same = same.withColumns({"rn": F.row_number().over(order), "tied": F.coalesce(tied, F.lit(False))}).where("rn = 1")
     exact = same.select("paper_id", F.when(~F.col("tied"), F.col("work_id")).alias("work_id"), F.when(F.col("tied"), "ambiguous").otherwise("exact").alias("match_method"))
 
-    def prefixed(df: DataFrame, norm: str, tokens: str) -> DataFrame:
-        df = df.withColumn(tokens, F.array_sort(F.array_distinct(F.split(norm, " "))))
-        size = F.size(tokens)
-        return df.withColumn("t", F.explode(F.slice(tokens, F.lit(1), (size - F.ceil(size * least) + 1).cast("int"))))
-
-    left = papers.join(exact.select("paper_id"), "paper_id", "left_anti").where("norm <> ''")
-    left = prefixed(left, "norm", "a").withColumn("y", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)))
-    right = prefixed(works.where("wnorm <> ''"), "wnorm", "b").withColumnRenamed("wyear", "y")
-    pairs = left.join(right, ["t", "y"]).dropDuplicates(["paper_id", "work_id"])
-    pairs = pairs.withColumn("score", jaccard(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    pairs = title_pairs(papers.join(exact.select("paper_id"), "paper_id", "left_anti"), works, least)
     order = Window.partitionBy("paper_id").orderBy(F.desc("score"), "work_id")
     best = pairs.withColumns({"rn": F.row_number().over(order), "next": F.lead("score").over(order)}).where("rn = 1")
     clear = F.col("next").isNull() | (F.col("score") - F.col("next") >= lead - 1e-12)

@@ -174,6 +174,33 @@ def title_match(spark, sf_dir):
     return M.pick_match(left, right)
 
 
+_LONG = "lower(p_name || ' ' || p_type || ' ' || p_brand) || ' n' || p_partkey || ' s' || p_size || ' m' || p_partkey % 97 || ' k' || p_partkey % 89 || ' j' || p_partkey % 83 || ' h' || p_partkey % 79"
+
+
+@query(rf"""WITH t AS (SELECT *, trim(regexp_replace({_LONG}, '[^a-z0-9]+', ' ', 'g')) AS norm FROM part), p AS (SELECT p_partkey AS paper_id, 2000 + p_partkey % 3 AS year, norm FROM t),
+w AS (SELECT p_partkey + 1000000 AS work_id, 2000 + p_partkey % 3 + (p_partkey // 3) % 3 - 1 AS wyear, CASE p_partkey % 6 WHEN 1 THEN norm || ' extra' WHEN 2 THEN 'some other ' || norm || ' title' ELSE norm END AS wnorm, p_size AS cites FROM t WHERE p_partkey % 6 < 5),
+v AS (FROM w UNION ALL SELECT work_id + 1000000, wyear, wnorm || CASE WHEN work_id % 2 = 0 THEN ' appendix' ELSE '' END, cites FROM w WHERE work_id % 5 = 0),
+x AS (SELECT paper_id, work_id, abs(wyear - year) AS gap, -cites AS less FROM p JOIN v ON norm = wnorm AND abs(wyear - year) <= 1),
+r AS (SELECT *, row_number() OVER o AS rn, coalesce(lead(gap) OVER o = gap AND lead(less) OVER o = less, false) AS tied FROM x WINDOW o AS (PARTITION BY paper_id ORDER BY gap, less, work_id)),
+e AS (SELECT paper_id, CASE WHEN NOT tied THEN work_id END AS work_id, CASE WHEN tied THEN 'ambiguous' ELSE 'exact' END AS match_method FROM r WHERE rn = 1),
+a AS (SELECT paper_id, year, list_distinct(string_split(norm, ' ')) AS a FROM p WHERE paper_id NOT IN (SELECT paper_id FROM e)), b AS (SELECT work_id, wyear, list_distinct(string_split(wnorm, ' ')) AS b FROM v),
+f AS (SELECT paper_id, work_id, len(list_intersect(a, b)) * 1.0 / len(list_distinct(list_concat(a, b))) AS score FROM a JOIN b ON abs(wyear - year) <= 1),
+g AS (SELECT *, row_number() OVER o AS rn, lead(score) OVER o AS next FROM f WHERE score >= 0.9 WINDOW o AS (PARTITION BY paper_id ORDER BY score DESC, work_id)),
+z AS (SELECT paper_id, CASE WHEN next IS NULL OR score - next >= 0.05 - 1e-12 THEN work_id END AS work_id, CASE WHEN next IS NULL OR score - next >= 0.05 - 1e-12 THEN 'fuzzy' ELSE 'ambiguous' END AS match_method FROM g WHERE rn = 1)
+SELECT p.paper_id, m.work_id, coalesce(m.match_method, 'none') AS match_method FROM p LEFT JOIN (FROM e UNION ALL FROM z) m USING (paper_id)""")
+def fuzzy_title_match(spark, sf_dir):
+    """Parts with long names as papers and works: some equal, some with a word more, some with too many, some twice."""
+    t = table(spark, sf_dir, "part").withColumn("norm", T.normalize_title(F.expr(_LONG), ascii_only=True))
+    left = t.select(F.col("p_partkey").alias("paper_id"), (2000 + F.col("p_partkey") % 3).alias("year"), "norm")
+    k = F.col("p_partkey") % 6
+    name = F.when(k == 1, F.concat("norm", F.lit(" extra"))).when(k == 2, F.concat(F.lit("some other "), "norm", F.lit(" title"))).otherwise(F.col("norm"))
+    year = 2000 + F.col("p_partkey") % 3 + F.floor(F.col("p_partkey") / 3) % 3 - 1
+    works = t.where(k < 5).select((F.col("p_partkey") + 1000000).alias("work_id"), year.alias("wyear"), name.alias("wnorm"), F.col("p_size").alias("cites"))
+    again = F.concat("wnorm", F.when(F.col("work_id") % 2 == 0, " appendix").otherwise(""))
+    twice = works.where("work_id % 5 = 0").select((F.col("work_id") + 1000000).alias("work_id"), "wyear", again.alias("wnorm"), "cites")
+    return M.pick_match(left, works.unionByName(twice))
+
+
 @query("""SELECT p_type AS value, count(*) AS n FROM part GROUP BY p_type ORDER BY n DESC, value LIMIT 10""")
 def top_categories(spark, sf_dir):
     """The ten most frequent values: a top-k report."""

@@ -68,6 +68,28 @@ def test_match(spark):
     assert got == {1: (11, "exact"), 2: (None, "ambiguous"), 3: (14, "fuzzy"), 4: (None, "none")}
 
 
+@pytest.mark.parametrize("common", [10_000, 2])
+def test_title_pairs(spark, monkeypatch, common):
+    monkeypatch.setattr(M, "COMMON", common)
+    rng = random.Random(8)
+    pool = ["the", "of"] * 6 + [f"w{i}" for i in range(30)]
+    titles = [" ".join(rng.choices(pool, k=rng.randint(1, 14))) for _ in range(60)]
+    left = [(i, 2000 + i % 3, t) for i, t in enumerate(titles)] + [(900, 2000, ""), (901, None, "the of"), (902, 2000, None)]
+    near = [" ".join(t.split()[1:] if i % 3 else [*t.split(), "more"]) for i, t in enumerate(titles)]
+    right = [(i, 2000 + i % 4, t) for i, t in enumerate(near + titles[:20])] + [(500, 2000, ""), (501, None, "the of")]
+    one = spark.createDataFrame(left, "paper_id int, year int, norm string")
+    two = spark.createDataFrame(right, "work_id int, wyear int, wnorm string")
+    for least in (0.5, 0.9):
+        want = {}
+        for p, y, a in left:
+            for w, z, b in right:
+                s, t = set((a or "").split()), set((b or "").split())
+                if s and t and y and z and abs(y - z) <= 1 and len(s & t) / len(s | t) >= least:
+                    want[p, w] = len(s & t) / len(s | t)
+        got = {(r.paper_id, r.work_id): r.score for r in M.title_pairs(one, two, least).collect()}
+        assert got == pytest.approx(want) and len(want) > 15
+
+
 def test_spearman_and_p(spark):
     rng = random.Random(2)
     rows = [(float(i), i + rng.gauss(0, 20)) for i in range(60)]
