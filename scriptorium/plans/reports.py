@@ -243,3 +243,82 @@ def tier1_rows(spark, sf_dir):
     at = at.withColumn("sentences", B.split_sentences(F.col("text")))
     at = at.select("paper_id", "venue", "year", B.concrete_number(F.col("text")).alias("concrete_number"), B.claim_strength(B.claim_counts(F.col("text"))).alias("claim_strength"), B.label_roles(F.col("sentences")).alias("roles"))
     return at.withColumns({"claim_strength_ord": B.claim_ordinal(F.col("claim_strength")), "role_sequence_dist": B.template_distance(F.col("roles"))})
+
+
+_RAW = """CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE 'Paper ' || doc_id END AS title, CASE WHEN doc_id % 11 = 0 THEN 'only four words here' ELSE text END AS abstract,
+  CASE WHEN doc_id % 13 = 0 THEN '' ELSE source END AS authors"""
+
+
+def _ingested(spark, sf_dir):
+    from scriptorium.sources import stages
+
+    d = table(spark, sf_dir, "documents")
+    title = F.when(F.col("doc_id") % 17 == 0, " ").otherwise(F.concat(F.lit("Paper "), F.col("doc_id")))
+    abstract = F.when(F.col("doc_id") % 11 == 0, "only four words here").otherwise(F.col("text"))
+    authors = T.parse_authors(F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("source")))
+    raw = d.select((1987 + F.col("doc_id") % 39).cast("int").alias("year"), F.col("doc_id").cast("string").alias("id"), title.alias("title"), abstract.alias("_a"), authors.alias("_b"), F.lit(None).cast("string").alias("source_id"), "lang")
+    return stages.ingest_counted(raw, "neurips", F.col("_a"), F.col("_b"), {"category": F.when(F.col("lang") == "en", "").otherwise(F.col("lang"))})
+
+
+@query(rf"""WITH r AS (SELECT doc_id, {_RAW} FROM documents),
+w AS (SELECT CASE WHEN trim(title) = '' THEN 'no_title' WHEN len(list_filter(regexp_split_to_array(abstract, '\s+'), lambda x: x <> '')) < 5 THEN 'short_abstract' WHEN authors = '' THEN 'no_authors' END AS why FROM r)
+SELECT count(*) AS n_read, count(*) FILTER (why IS NULL) AS n_kept, count(*) FILTER (why = 'no_title') AS no_title, count(*) FILTER (why = 'short_abstract') AS short_abstract,
+  count(*) FILTER (why = 'no_authors') AS no_authors FROM w""")
+def ingest_report(spark, sf_dir):
+    """What an ingest read, kept and skipped, counted in the pass that wrote it and read back from its report."""
+    from scriptorium.sources import stages
+    from scriptorium.sources.scratch import new_path
+
+    kept, seen = _ingested(spark, sf_dir)
+    report = new_path(spark, "ingest-report")
+    stages.written_with_report(kept, seen, new_path(spark, "ingested"), report)
+    names = ("n_read", "n_kept", *stages.REASONS)
+    return spark.read.schema(", ".join(f"{c} long" for c in names)).json(report)
+
+
+_VENUES = [*(f"src{i}" for i in range(1, 8)), "none"]
+
+
+@query(r"""WITH p AS (SELECT doc_id, (1987 + doc_id % 39)::INT AS year, source AS venue, length(text) AS n FROM documents WHERE source IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'none')),
+k AS (SELECT doc_id FROM labels WHERE quality = 0 AND (1987 + doc_id % 39) >= 2015)
+SELECT year || '_' || doc_id AS paper_id, year, venue, n FROM p SEMI JOIN k USING (doc_id)""")
+def keyed_papers(spark, sf_dir):
+    """Papers of seven venues by their keys, from a table in folders by venue and year; keys name years from 2015 on."""
+    from scriptorium.sources import stages
+    from scriptorium.sources.scratch import new_path
+    from scriptorium.sources.tables import write_partitioned
+
+    key = lambda c: F.concat_ws("_", (1987 + F.col(c) % 39).cast("string"), F.col(c).cast("string")).alias("paper_id")
+    path = new_path(spark, "papers")
+    write_partitioned(papers(spark, sf_dir).select(key("paper_id"), "venue", "year", F.length("text").alias("n")).where(F.col("venue").isin(_VENUES)).repartition("venue", "year"), path)
+    keys = table(spark, sf_dir, "labels").where("quality = 0 AND (1987 + doc_id % 39) >= 2015").select(key("doc_id"))
+    return stages.find_all(spark, path, keys).where(F.col("venue").isin(_VENUES)).select("paper_id", "year", "venue", "n")
+
+
+def _last_letter(text: str) -> str:
+    """Fails on an empty text."""
+    return text[-1]
+
+
+def _vowels(text: str) -> int:
+    if text.startswith("T"):
+        raise ValueError("starts with T")
+    return sum(map(text.count, "aeiou"))
+
+
+@query(r"""SELECT doc_id, length(text) AS n_chars_, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n_words,
+  CASE WHEN NOT starts_with(text, 'T') THEN length(regexp_replace(text, '[^aeiou]', '', 'g')) END AS vowels, right(text, 1) AS last_letter,
+  CASE WHEN starts_with(text, 'T') THEN 'vowels: ValueError: starts with T' ELSE '' END AS failed FROM documents""")
+def metric_rows(spark, sf_dir):
+    """Two metrics that are expressions and two that are functions, in one scan; one of these fails on some texts."""
+    from scriptorium.functions.metrics import Metric, apply
+
+    metrics = [
+        Metric("n_chars_", lambda c: F.length(c).cast("long")),
+        Metric("n_words", lambda c: F.size(T.tokens(c)).cast("long")),
+        Metric("vowels", function=_vowels, kind="long"),
+        Metric("last_letter", function=_last_letter, kind="string"),
+    ]
+    at = apply(table(spark, sf_dir, "documents"), "text", metrics, ["doc_id"])
+    failed = F.array_join(F.transform("errors", lambda e: F.concat(e.metric, F.lit(": "), e.error)), "; ")
+    return at.select("doc_id", *[m.name for m in metrics], failed.alias("failed"))
