@@ -92,68 +92,94 @@ def weak_p(p: Column) -> Column:
     return (p > 0.005) & (p < 0.05)
 
 
-def _moments(df: DataFrame, group: str, names: list[str]) -> pd.DataFrame:
-    """Per group: n, and sums and cross products of the columns; a row for each group."""
+def group_moments(df: DataFrame, group: str, names: list[str]) -> DataFrame:
+    """Per group: n, sums (s_i) and cross products (q_i_j, j at most i) of the columns; a table, as groups have no bound."""
     sums = [F.sum(c).alias(f"s_{i}") for i, c in enumerate(names)]
     cross = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"q_{i}_{j}") for i in range(len(names)) for j in range(i + 1)]
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *sums, *cross).toPandas()
+    return written(df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *sums, *cross), "moments")
 
 
-def _unpack(m: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, s = m["n"].to_numpy(float), m[[f"s_{i}" for i in range(k)]].to_numpy(float)
-    q = np.zeros((len(m), k, k))
+def _square(row, name: str, k: int) -> np.ndarray:
+    """A symmetric matrix from a row's columns name_i_j."""
+    out = np.zeros((k, k))
     for i in range(k):
         for j in range(i + 1):
-            q[:, i, j] = q[:, j, i] = m[f"q_{i}_{j}"].to_numpy(float)
-    return n, s, q
+            out[i, j] = out[j, i] = row[f"{name}_{i}_{j}"] or 0.0
+    return out
+
+
+def _lower(k: int, name: str, cell) -> list[Column]:
+    return [F.sum(cell(i, j)).alias(f"{name}_{i}_{j}") for i in range(k) for j in range(i + 1)]
+
+
+def _within(i: int, j: int) -> Column:
+    """Cross product of two columns about the group's means."""
+    a, b = max(i, j), min(i, j)
+    return F.col(f"q_{a}_{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("n")
 
 
 def ols_fe_cluster(df: DataFrame, y: str, xs: list[str], group: str) -> pd.DataFrame:
-    """OLS with fixed effects of the group absorbed and errors clustered by it; from one aggregate row per group."""
-    names = [y, *xs]
-    n, s, q = _unpack(_moments(df.dropna(subset=[*names, group]), group, names), len(names))
-    within = q - s[:, :, None] * s[:, None, :] / n[:, None, None]
-    total = within.sum(0)
+    """OLS with fixed effects of the group absorbed and errors clustered by it. Two aggregates over the groups' moments: cross
+    products within groups, then, with the coefficients, those of the groups' scores; the driver gets one row of each."""
+    names, p = [y, *xs], len(xs)
+    at = group_moments(df.dropna(subset=[*names, group]), group, names)
+    one = at.agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("obs"), *_lower(p + 1, "w", _within)).first()
+    total = _square(one, "w", p + 1)
     bread = np.linalg.inv(total[1:, 1:])
     coef = bread @ total[1:, 0]
-    scores = within[:, 1:, 0] - within[:, 1:, 1:] @ coef  # sum of x * e of each group
-    g, obs, k = len(n), n.sum(), len(xs) + len(n)
-    meat = scores.T @ scores * (g / (g - 1)) * ((obs - 1) / (obs - k))
+    # Sum of x * e of each group, for each x.
+    score = [_within(i, 0) - sum(F.lit(float(c)) * _within(i, j + 1) for j, c in enumerate(coef)) for i in range(1, p + 1)]
+    scores = at.select(*[c.alias(f"u_{i}") for i, c in enumerate(score)])
+    meat = _square(scores.agg(*_lower(p, "m", lambda i, j: F.col(f"u_{i}") * F.col(f"u_{j}"))).first(), "m", p)
+    g, obs, k = one.g, one.obs, p + one.g
+    meat = meat * (g / (g - 1)) * ((obs - 1) / (obs - k))
     se = np.sqrt(np.diag(bread @ meat @ bread))
-    p = [t_two_sided(b / e, g - 1) for b, e in zip(coef, se)]
-    return pd.DataFrame({"term": xs, "coef": coef, "se": se, "p": p, "n_obs": int(obs), "n_groups": g})
+    values = [t_two_sided(b / e, g - 1) for b, e in zip(coef, se)]
+    return pd.DataFrame({"term": xs, "coef": coef, "se": se, "p": values, "n_obs": int(obs), "n_groups": g})
+
+
+#: Ratios that one pass over the groups tries, and passes; each narrows the logarithm of the ratio to a tenth.
+TRIED, PASSES = 21, 8
 
 
 def mixed_lm(df: DataFrame, y: str, xs: list[str], group: str) -> pd.DataFrame:
-    """Random intercept per group by REML: the variance ratio is searched over aggregates of each group."""
+    """Random intercept per group by REML. A pass over the groups' moments tries TRIED ratios of the variances at once and
+    gives one row for each of them; the next pass looks between the neighbours of the best."""
     names = ["_one", *xs, y]
-    at = df.dropna(subset=[y, *xs, group]).withColumn("_one", F.lit(1.0))
-    n, s, q = _unpack(_moments(at, group, names), len(names))
-    k, obs = len(xs) + 1, n.sum()
+    k = len(xs) + 1
+    at = group_moments(df.dropna(subset=[y, *xs, group]).withColumn("_one", F.lit(1.0)), group, names)
+    one = at.agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("obs"), *_lower(k + 1, "q", lambda i, j: F.col(f"q_{i}_{j}"))).first()
+    whole, obs = _square(one, "q", k + 1), one.obs
 
-    def solve(ratio: float):
-        w = ratio / (1 + ratio * n)
-        m = (q - w[:, None, None] * s[:, :, None] * s[:, None, :]).sum(0)
+    def solve(m: np.ndarray, logs: float):
         xx, xy, yy = m[:k, :k], m[:k, k], m[k, k]
         beta = np.linalg.solve(xx, xy)
         sigma2 = max(yy - xy @ beta, 1e-300) / (obs - k)
-        value = (obs - k) * math.log(sigma2) + np.log1p(ratio * n).sum() + np.linalg.slogdet(xx)[1]
-        return value, beta, sigma2, xx
-
-    grid = np.concatenate([[0.0], np.exp(np.linspace(-12, 8, 81))])
-    best = int(np.argmin([solve(r)[0] for r in grid]))
-    low, high = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
-    golden = (math.sqrt(5) - 1) / 2
-    for _ in range(80):
-        a, b = high - golden * (high - low), low + golden * (high - low)
-        low, high = (low, b) if solve(a)[0] < solve(b)[0] else (a, high)
-    ratio = min((low + high) / 2, low, high, key=lambda r: solve(r)[0])
-    _, beta, sigma2, xx = solve(ratio)
+        return (obs - k) * math.log(sigma2) + logs + np.linalg.slogdet(xx)[1], beta, sigma2, xx
+
+    def tried(ratios: list[float]) -> list[tuple]:
+        """(ratio, value, beta, sigma2, xx) of each."""
+        rows = at.withColumn("r", F.explode(F.array(*map(F.lit, ratios))))
+        w = F.col("r") / (1 + F.col("r") * F.col("n"))
+        cells = _lower(k + 1, "m", lambda i, j: w * F.col(f"s_{i}") * F.col(f"s_{j}"))
+        got = rows.groupBy("r").agg(F.sum(F.log1p(F.col("r") * F.col("n"))).alias("logs"), *cells).collect()
+        return sorted((r.r, *solve(whole - _square(r, "m", k + 1), r.logs)) for r in got)
+
+    steps = np.linspace(-12.0, 8.0, TRIED)
+    found = [(0.0, *solve(whole, 0.0)), *tried(np.exp(steps).tolist())]
+    for _ in range(PASSES):
+        best = min(found, key=lambda f: f[1])
+        if best[0] == 0.0:
+            break
+        width = (steps[1] - steps[0]) if len(steps) > 1 else 0.0
+        steps = np.linspace(math.log(best[0]) - width, math.log(best[0]) + width, TRIED)
+        found = [found[0], *tried(np.exp(steps).tolist())]
+    ratio, _, beta, sigma2, xx = min(found, key=lambda f: f[1])
     se = np.sqrt(np.diag(np.linalg.inv(xx)) * sigma2)
     p = [math.erfc(abs(b / e) / math.sqrt(2)) for b, e in zip(beta, se)]
     out = pd.DataFrame({"term": ["intercept", *xs], "coef": beta, "se": se, "p": p})
     out["ci_low"], out["ci_high"] = out.coef - 1.959963984540054 * out.se, out.coef + 1.959963984540054 * out.se
-    return out.assign(n_obs=int(obs), group_var=ratio * sigma2, resid_var=sigma2)
+    return out.assign(n_obs=int(obs), n_groups=one.g, group_var=ratio * sigma2, resid_var=sigma2)
 
 
 def standardized(df: DataFrame, columns: list[str]) -> DataFrame:

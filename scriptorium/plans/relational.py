@@ -271,7 +271,7 @@ def _priced(spark, sf_dir):
 @query()
 def spearman_p_values(spark, sf_dir):
     """Correlations by band with their p-values, and whether these are weak."""
-    r = S.spearman(_priced(spark, sf_dir), "citations", "n_items", ["band", "subfield"])
+    r = S.spearman(_priced(spark, sf_dir), "citations", "n_items", ["band", "subfield"], large=True)
     r = r.withColumn("p", S.spearman_p("rho", "n"))
     return r.withColumn("weak", S.weak_p(F.col("p")))
 
@@ -376,8 +376,8 @@ def validate_labels(spark, sf_dir):
     return at.withColumn("error", F.col("value").isNull())
 
 
-@query(f"""WITH o AS ({OUTCOMES}), l AS (SELECT l_orderkey AS paper_id, count(*) AS n_items FROM lineitem GROUP BY ALL), j AS (SELECT * FROM o JOIN l USING (paper_id) WHERE subfield IS NOT NULL),
-k AS (SELECT * FROM j WHERE year <= (SELECT max(year) - 1 FROM j)), m AS (SELECT avg(ln(1 + citations)) AS a, stddev_samp(ln(1 + citations)) AS b, avg(n_items) AS c, stddev_samp(n_items) AS d FROM k)
+@query(f"""WITH o AS ({OUTCOMES}), l AS (SELECT l_orderkey AS paper_id, count(*) AS n_items FROM lineitem GROUP BY ALL), j AS (SELECT paper_id, year, citations, n_items, CASE WHEN year < 2001 AND paper_id % 50 <> 0 THEN subfield END AS subfield FROM o JOIN l USING (paper_id)),
+k AS (SELECT * FROM j WHERE year <= (SELECT max(year) - 1 FROM j) AND subfield IS NOT NULL), m AS (SELECT avg(ln(1 + citations)) AS a, stddev_samp(ln(1 + citations)) AS b, avg(n_items) AS c, stddev_samp(n_items) AS d FROM k)
 SELECT paper_id, year, round((ln(1 + citations) - a) / b, 6) AS y, round((n_items - c) / d, 6) AS n_items, (subfield = 'BUILDING')::INT AS is_building, CASE WHEN n_items > 0 THEN round(ln(n_items), 6) END AS log_items FROM k, m""")
 def design_matrix(spark, sf_dir):
     """Standardised design: complete cases, year cap, dummies, logs."""
@@ -387,9 +387,10 @@ def design_matrix(spark, sf_dir):
 
 
 def _design(spark, sf_dir):
-    j = _priced(spark, sf_dir).dropna(subset=["subfield"])
+    """The year cap comes from all rows, complete or not: those of the last year, and some others, have no subfield here."""
+    j = _priced(spark, sf_dir).withColumn("subfield", F.when((F.col("year") < 2001) & (F.col("paper_id") % 50 != 0), F.col("subfield")))
     last = j.agg(F.max("year").alias("last"))
-    return j.join(F.broadcast(last), F.col("year") <= F.col("last") - 1)  # one row
+    return j.join(F.broadcast(last), F.col("year") <= F.col("last") - 1).drop("last").dropna(subset=["subfield"])  # one row
 
 
 @query()
@@ -399,6 +400,39 @@ def ols_fe_cluster(spark, sf_dir):
     return spark.createDataFrame(S.ols_fe_cluster(at, "y", ["n_items", "building"], "year"))
 
 
+_DESIGN = f"""o AS ({OUTCOMES}), l AS (SELECT l_orderkey AS paper_id, count(*) AS n_items FROM lineitem GROUP BY ALL),
+j AS (SELECT paper_id, year, citations, n_items, CASE WHEN year < 2001 AND paper_id % 50 <> 0 THEN subfield END AS subfield FROM o JOIN l USING (paper_id)),
+k AS (SELECT year, ln(1 + citations) AS y, n_items::DOUBLE AS a, (subfield = 'BUILDING')::INT::DOUBLE AS b FROM j WHERE year <= (SELECT max(year) - 1 FROM j) AND subfield IS NOT NULL)"""
+
+
+@query(f"""WITH {_DESIGN}, c AS (SELECT year, y - avg(y) OVER w AS y, a - avg(a) OVER w AS a, b - avg(b) OVER w AS b FROM k WINDOW w AS (PARTITION BY year)),
+t AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS bee, count(*) AS n, count(DISTINCT year) AS g FROM c),
+f AS (SELECT *, aa * bb - ab * ab AS det, (bb * ay - ab * bee) / (aa * bb - ab * ab) AS ca, (aa * bee - ab * ay) / (aa * bb - ab * ab) AS cb FROM t),
+u AS (SELECT year, sum(a * (y - ca * a - cb * b)) AS ua, sum(b * (y - ca * a - cb * b)) AS ub FROM c, f GROUP BY year),
+m AS (SELECT sum(ua * ua) AS maa, sum(ua * ub) AS mab, sum(ub * ub) AS mbb FROM u),
+v AS (SELECT *, g * 1.0 / (g - 1) * (n - 1) / (n - 2 - g) AS scale FROM f, m)
+SELECT 'n_items' AS term, round(ca, 8) AS coef, round(sqrt(scale * (bb * bb * maa - 2 * bb * ab * mab + ab * ab * mbb)) / det, 8) AS se, n AS n_obs, g AS n_groups FROM v
+UNION ALL SELECT 'building', round(cb, 8), round(sqrt(scale * (ab * ab * maa - 2 * aa * ab * mab + aa * aa * mbb)) / det, 8), n, g FROM v""")
+def ols_fe_coefficients(spark, sf_dir):
+    """Coefficients and clustered errors of ols_fe_cluster, rounded, without p-values."""
+    got = ols_fe_cluster(spark, sf_dir)
+    return got.select("term", F.round("coef", 8).alias("coef"), F.round("se", 8).alias("se"), "n_obs", "n_groups")
+
+
+@query("""WITH l AS (SELECT l_orderkey, count(*) AS n_items FROM lineitem GROUP BY ALL), j AS (SELECT o_custkey FROM orders JOIN l ON l_orderkey = o_orderkey)
+SELECT count(*) AS n_obs, count(DISTINCT o_custkey) AS n_groups, true AS slope_found, true AS intercepts_differ FROM j""")
+def mixed_lm_customers(spark, sf_dir):
+    """A random intercept for each customer: price on items, with an effect of 0.5 an item and one of each customer (variance
+    0.16, from the key's remainder) put into the price. Groups go with the data; their number has no bound."""
+    n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_items"))
+    j = table(spark, sf_dir, "orders").join(n, F.col("l_orderkey") == F.col("o_orderkey"))
+    effect = (F.col("o_custkey") % 5 - 2) * (0.4 / 2**0.5)
+    noise = (F.pmod(F.xxhash64("o_orderkey"), F.lit(1000)) / 1000.0 - 0.5) * 2
+    at = j.select("o_custkey", (0.5 * F.col("n_items") + effect + noise).alias("y"), F.col("n_items").cast("double").alias("n_items"))
+    got = spark.createDataFrame(S.mixed_lm(at, "y", ["n_items"], "o_custkey")).where("term = 'n_items'")
+    return got.select("n_obs", "n_groups", F.col("coef").between(0.48, 0.52).alias("slope_found"), F.col("group_var").between(0.12, 0.2).alias("intercepts_differ"))
+
+
 @query()
 def mixed_lm(spark, sf_dir):
     """The same with a random intercept for each year."""

@@ -126,6 +126,30 @@ def test_mixed_model(spark):
     assert 0.25 < got.coef["x"] < 0.35 and 0.9 < got.resid_var["x"] < 1.1 and 0.3 < got.group_var["x"] < 2.5
 
 
+def test_many_groups(spark):
+    """Twenty thousand groups, three rows each: the driver gets a row for each ratio tried, not for each group."""
+    rng = np.random.default_rng(9)
+    g = np.repeat(np.arange(20_000), 3)
+    x = rng.normal(size=len(g))
+    y = 2 + 0.3 * x + rng.normal(size=20_000)[g] * 0.7 + rng.normal(size=len(g))
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "x": x, "y": y}))
+    got = S.mixed_lm(df, "y", ["x"], "g").set_index("term")
+    # REML of balanced groups has a closed form for the variances: mean squares within and between groups.
+    e = (y - got.coef["intercept"] - got.coef["x"] * x).reshape(-1, 3)
+    within = ((e - e.mean(1, keepdims=True)) ** 2).sum() / (2 * 20_000)
+    between = 3 * (e.mean(1) ** 2).sum() / 20_000
+    assert got.resid_var["x"] == pytest.approx(within, rel=2e-3) and got.group_var["x"] == pytest.approx((between - within) / 3, rel=2e-2)
+    assert got.coef["x"] == pytest.approx(0.3, abs=0.02) and got.n_groups["x"] == 20_000
+    fe = S.ols_fe_cluster(df, "y", ["x"], "g").iloc[0]
+    a, b = x.reshape(-1, 3), y.reshape(-1, 3)
+    a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+    coef = (a * b).sum() / (a * a).sum()
+    u = (a * (b - coef * a)).sum(1)
+    n, k = len(g), 20_001
+    want = np.sqrt((u @ u) * (20_000 / 19_999) * ((n - 1) / (n - k))) / (a * a).sum()
+    assert (fe.coef, fe.se) == (pytest.approx(coef), pytest.approx(want))
+
+
 def test_mutual_information():
     from scriptorium.operators.topics import adjusted_mutual_information
 
