@@ -9,8 +9,10 @@ margins. The score multiplies, over both steps, the logistic of the winner's
 smallest margin.
 
 The model is fitted on the driver on a bounded sample of labelled rows:
-``max_rows`` vectors, shared evenly among all languages and taken by hash of id
-and text. Every row is then predicted, by text alone.
+``max_rows`` vectors, shared evenly among all languages: of each, the first texts
+by hash of id and text, and one at least, so with more languages than
+``max_rows`` it is one vector a language. Every row is then predicted, by text
+alone.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; so is any
 text if nothing could be learned; repeated rows get equal results; very long
@@ -26,10 +28,13 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptorium.llm.common import written
+
 UND = "und"
+SALTS = 16
 #: Families of languages by code; others form one family.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
@@ -133,26 +138,30 @@ class Model:
 
 
 def fit(df: DataFrame, dims: int = 2048, max_rows: int = 6000) -> Model | None:
-    """A model of the rows of (doc_id, text, lang) with a lang, from at most ``max_rows`` of them."""
-    known = df.where("lang IS NOT NULL AND text IS NOT NULL")
-    # A model holds a row of each language at least, so more languages than rows cannot be learned.
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_rows).collect()
-    if not counts:
+    """A model of the rows of (doc_id, text, lang) with a lang and a letter, from at most ``max_rows`` of them, or one of each
+    language if there are more languages. Equal rows count once."""
+    known = df.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("doc_id", "text"))
+    # Two rounds of the first rows by hash, without texts: within salts of a language, then of all of it.
+    first = known.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):
+        first = first.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("rn") <= max_rows)
+    first = written(first.select("lang", "h", "rn"), "first-rows")
+    langs = first.select("lang").distinct().count()
+    if not langs:
         return None
-    each, scale = max_rows // len(counts), 1 << 30
-    shares = [(r["lang"], min(scale, int(each / r["count"] * scale) + 1)) for r in counts]
-    names, parts = (F.lit(list(x)) for x in zip(*shares))
-    share = F.element_at(F.map_from_arrays(names, parts), F.col("lang"))
-    drawn = known.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(scale)) < share)
+    each = max(1, max_rows // langs)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
+            x = x.drop_duplicates(["lang", "h"])
             x = x[[has_letter(t) for t in x["text"]]]
             packed = [vector(t, dims).astype(np.float16).tobytes() for t in x["text"]]
             yield pd.DataFrame({"lang": x["lang"], "h": x["h"], "v": packed})
 
+    # At most max_rows rows, or one for each language.
+    drawn = known.join(F.broadcast(first.where(F.col("rn") <= each).select("lang", "h")), ["lang", "h"], "left_semi")
     got = drawn.select("text", "lang", "h").mapInPandas(vectors, "lang string, h long, v binary")
-    rows = got.orderBy("h", "lang").limit(max_rows).collect()
+    rows = got.groupBy("lang", "h").agg(F.min("v").alias("v")).orderBy("h", "lang").collect()
     if not rows:
         return None
     x = np.stack([np.frombuffer(r.v, np.float16) for r in rows]).astype(np.float32)

@@ -6,7 +6,8 @@ words stand consecutively. For the notices, each notice that may have ``k``
 errors is split into ``k + 1`` pieces: a copy with at most ``k`` errors must hold
 one piece unchanged (pigeonhole). Each piece is searched for;
 around each hit the text is cut to where the notice can lie, and the regex
-library's bounded-error matching verifies it and gives span and errors.
+library's bounded-error matching verifies it and gives the best span there and
+its errors. Of overlapping spans of a notice the one with fewest errors stays.
 
 Cases: a null or empty text has no word, no label and score 0; very long texts
 are scanned whole, only windows around hits are matched fuzzily; repeated rows
@@ -17,6 +18,7 @@ words are ASCII; a word that holds other letters counts as differing bytes.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -83,39 +85,40 @@ class Scanner:
         return len(words), base, self._notices(joined) if words else []
 
     def _notices(self, joined: bytes) -> list[tuple[str, int, int, int, float]]:
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
         for piece, uses in self.seeds:
             hit = joined.find(piece)
             while hit >= 0:
                 for k, offset in uses:
                     _, notice, errors = self.notices[k]
                     a, b = hit - offset - errors - 1, hit - offset + len(notice) + errors + 1
-                    windows.setdefault(k, []).append([max(0, a), min(len(joined), b)])
+                    windows.setdefault(k, set()).add((max(0, a), min(len(joined), b)))
                 hit = joined.find(piece, hit + 1)
         out = []
         for k, held in windows.items():
             label, notice, _ = self.notices[k]
             grams, need = self.grams[k]
-            for a, b in self._merged(held):
+            spans = set()
+            for a, b in held:  # each by itself, so that a better copy beside it hides none
                 window = joined[a:b]
-                if sum(g in window for g in grams) < need:
-                    continue
-                for m in self.fuzzy[k].finditer(joined, a, b):
-                    n = sum(m.fuzzy_counts)
-                    first = joined.count(b" ", 0, m.start()) - 1
-                    out.append((label, first, m[0].count(b" ") + 1, n, 1 - n / len(notice)))
+                if sum(g in window for g in grams) >= need and (m := self.fuzzy[k].search(joined, a, b)):
+                    spans.add((sum(m.fuzzy_counts), m.start(), m.end()))
+            for n, start, end in self._apart(spans):
+                first = joined.count(b" ", 0, start) - 1
+                out.append((label, first, joined.count(b" ", start, end) + 1, n, 1 - n / len(notice)))
         return sorted(out, key=lambda x: (x[1], x[0]))
 
     @staticmethod
-    def _merged(held: list[list[int]]) -> list[list[int]]:
-        """Windows merged where they overlap."""
-        held.sort()
-        out: list[list[int]] = []
-        for a, b in held:
-            if out and a <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], b)
-            else:
-                out.append([a, b])
+    def _apart(spans: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Of spans that overlap, those with the fewest errors, then the first."""
+        out: list[tuple[int, int, int]] = []
+        starts: list[int] = []
+        for span in sorted(spans):
+            at = bisect_left(starts, span[1])
+            before, after = (out[at - 1] if at else None), (out[at] if at < len(out) else None)
+            if (not before or before[2] <= span[1]) and (not after or span[2] <= after[1]):
+                starts.insert(at, span[1])
+                out.insert(at, span)
         return out
 
 

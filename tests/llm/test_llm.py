@@ -152,6 +152,46 @@ def test_license_pigeonhole_finds_what_the_regex_finds():
         assert not plain or found
 
 
+def test_license_beside_a_better_copy():
+    found = license.Scanner().scan("All rights reservd all rights reserved; x all rihgts reserved all rights reserved")[2]
+    assert [(n[0], n[1], n[2], n[3]) for n in found] == [("reserved", 0, 3, 1), ("reserved", 3, 3, 0), ("reserved", 7, 3, 2), ("reserved", 10, 3, 0)]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def test_license_notices_both_ways():
+    """Every span found is one by its edits, and every span of words within the bound meets one found with no more errors."""
+    rng = random.Random(12)
+    notices = (("a", "all rights reserved", 2), ("b", "licensed under cc by 4 0", 2), ("c", "subject to the terms", 3))
+    s = license.Scanner(notices=notices)
+    for _ in range(40):
+        words = []
+        for _ in range(rng.randint(1, 5)):
+            t = list(rng.choice(notices)[1])
+            for _ in range(rng.choice([0, 1, 2, 4])):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randint(0, 1)] = rng.choice(["q", "", " ", "s"])
+            words += "".join(t).split() + ["w"] * rng.randint(0, 2)
+        found = s.scan(" ".join(words))[2]
+        for label, first, n, errors, _ in found:
+            notice = next(x for x in notices if x[0] == label)
+            assert edits(" ".join(words[first : first + n]), notice[1]) == errors <= notice[2]
+        for label, notice, k in notices:
+            own = [(f, f + n, e) for x, f, n, e, _ in found if x == label]
+            assert all(a[1] <= b[0] for a, b in zip(own, own[1:]))
+            for i in range(len(words)):
+                for j in range(i + 1, min(len(words), i + 9) + 1):
+                    n = edits(" ".join(words[i:j]), notice)
+                    assert n > k or any(a < j and i < b and e <= n for a, b, e in own), (words, label, i, j, n, own)
+
+
 # Language
 
 
@@ -167,6 +207,15 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in langid.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_no_language_is_lost(spark):
+    """As many rows as languages: a model holds each; so do copies and rows without letters not take a language's place."""
+    rows = [(i, f"{chr(0x4E00 + 5 * lang)} text{i // 249 % 30}", f"x{lang:03}", "s", 0) for i, lang in enumerate([k % 249 for k in range(249 * 4)] + [0] * 500)]
+    rows += [(i + 10_000, "12 34", f"n{i:03}", "s", 0) for i in range(51)]
+    for most in (300, 100):
+        model = langid.fit(spark.createDataFrame(rows, DOCS).select("doc_id", "text", "lang"), dims=256, max_rows=most)
+        assert sum(len(d.classes) for d in model.within) == 249
+
+
 def test_many_languages(spark):
     """Each language can be predicted, however many there are; a frequent one does not crowd out the rest."""
     rows = [(i, " ".join(chr(0x4E00 + 3 * lang + j) for j in range(3)) + " ab", f"x{lang:02}", "s", 0)
