@@ -15,8 +15,8 @@ Only the histogram reaches the driver: at most ``max_len / unit`` rows. Ranks
 are counted in ``SALTS`` shares of each class, so no class meets in one task.
 
 Tokens are those of the whole text. No token crosses a space or line break, so
-text is cut there and each different piece is encoded once per worker while it
-is remembered; ids are kept as bytes.
+text is cut there and each different piece is encoded once per task while it is
+remembered; ids are kept as bytes.
 
 Cases: a null or empty text is its end id alone; documents of any length are
 cut; repeated rows and ids are packed one by one; other columns are not read; an
@@ -123,18 +123,22 @@ def pieces(
         cache = worker_cache()
         own = cache.get(("encoder", tokenizer)) or cache.setdefault(("encoder", tokenizer), Encoder(tokenizer))
         out = pa.schema([(c, pa.int64()) for c in names] + [("ids", pa.list_(pa.int64()))] * keep_ids)
-        for x in batches:
-            for at in range(0, len(x), SOME):
-                some, rows = x.slice(at, SOME).to_pydict(), []
-                for doc_id, ids in zip(some["doc_id"], own.encode([t or "" for t in some["text"]])):
-                    ids += end
-                    n = len(ids) // 4
-                    for a in range(0, n, max_len):
-                        part = ids[4 * a : 4 * (a + max_len)]
-                        row = (doc_id, a, len(part) // 4, zlib.crc32(part), n)
-                        rows.append((*row, np.frombuffer(part, "<u4").tolist()) if keep_ids else row)
-                columns = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+        try:
+            for x in batches:
+                for at in range(0, len(x), SOME):
+                    some, rows = x.slice(at, SOME).to_pydict(), []
+                    for doc_id, ids in zip(some["doc_id"], own.encode([t or "" for t in some["text"]])):
+                        ids += end
+                        n = len(ids) // 4
+                        for a in range(0, n, max_len):
+                            part = ids[4 * a : 4 * (a + max_len)]
+                            row = (doc_id, a, len(part) // 4, zlib.crc32(part), n)
+                            rows.append((*row, np.frombuffer(part, "<u4").tolist()) if keep_ids else row)
+                    columns = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
+        finally:
+            # Spark keeps workers and gives them tasks in turn; what idle ones remember would add up.
+            own.known, own.before = {}, {}
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return docs.mapInArrow(run, schema)
