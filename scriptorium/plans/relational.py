@@ -297,7 +297,7 @@ def pairwise_models(spark, sf_dir):
     a = m.select("paper_id", "prompt", F.col("model").alias("a"), F.col("med").alias("x"))
     b = m.select("paper_id", "prompt", F.col("model").alias("b"), F.col("med").alias("y"))
     j = a.join(b, ["paper_id", "prompt"]).where("a < b")
-    r = S.spearman(j, "x", "y", ["a", "b", "prompt"], n_min=1)
+    r = S.spearman(j, "x", "y", ["a", "b", "prompt"], n_min=1, large=True)
     return r.select(F.lit("judge-judge").alias("kind"), "a", "b", "prompt", F.round("rho", 6).alias("value"), "n")
 
 

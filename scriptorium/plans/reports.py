@@ -137,7 +137,7 @@ def validity_table(spark, sf_dir):
     jj = one.join(two, "paper_id").where("a < b").select(F.lit("judge-judge").alias("kind"), "a", "b", "x", "y")
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.length("text").cast("double").alias("y"))
     jt = one.join(d, "paper_id").select(F.lit("judge-tier1").alias("kind"), "a", F.lit("n_chars").alias("b"), "x", "y")
-    ranked = S.spearman(jj.unionByName(jt), "x", "y", ["kind", "a", "b"], n_min=2)
+    ranked = S.spearman(jj.unionByName(jt), "x", "y", ["kind", "a", "b"], n_min=2, large=True)
     ranked = ranked.select("kind", "a", "b", F.lit("spearman").alias("stat"), F.round("rho", 6).alias("value"), "n")
     h = m.join(table(spark, sf_dir, "labels"), F.col("paper_id") == F.col("doc_id")).where("vote IS NOT NULL AND quality IS NOT NULL")
     h = h.select("model", F.col("vote").cast("int").alias("v"), F.col("quality").alias("q"))
