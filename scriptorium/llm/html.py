@@ -6,23 +6,31 @@ sequences of children (presentation) and which texts (content). A node's
 presentation importance is the entropy of its child sequences over the pages,
 its content importance one less the mean normalised entropy of its texts over
 the pages: a text found on each page tells nothing, one found on one page tells
-all. A branch has the mean importance of the nodes in it, weighted by
+all. Outside ``article`` and ``main`` it is multiplied by the share of the node's
+signs that stand in no link, so that a menu of ever new words tells nothing too.
+A branch has the mean importance of the nodes in it, weighted by
 ``decay ** distance``. A branch is noise, and removed from every page of the
-host, if ``min_pages`` pages have it and its importance and that of each text in
-it are below ``least``.
-
-Entropy alone takes menus and adverts whose words are drawn anew for each page
-for content, and mirrored articles for boilerplate. So elements that HTML itself
-names as no content (navigation, header, footer, aside, form, script and the
-like, and classes, ids or roles that name such parts) are dropped by name. The
-tree of all pages decides all other branches. ``article`` and ``main`` are a
-prior there: inside them a node's importance is ``PRIOR`` and the rest by
-entropy, so only what nearly every page repeats is removed; on a page that has
-one, text outside is kept only where the tree has found its branch to be
-content. A page of which nothing is left so keeps its ``article`` whole.
+host, if its importance and that of each text in it are below ``least``; this
+needs ``min_pages`` pages that have it.
+
+Entropy alone takes adverts and notices whose words are drawn anew for each page
+for content, and mirrored articles for boilerplate. Two priors of a node stand
+against that. A node that HTML or its author names as no content (navigation,
+header, footer, aside, form, and classes, ids or roles that name such parts) has
+the prior ``NAMED``, by which the importance of its branch is multiplied, unless
+the branch holds ``HOLDS`` of all text of the pages that have it: a wrapper of
+whole pages is not what it is called. A named node of fewer pages has its prior
+for importance, as nothing else is known of it. Inside ``article`` and ``main`` a
+node's importance is ``PRIOR`` and the rest by entropy, so only what nearly every
+page repeats is removed; on a page that has one, text outside is kept only where
+the tree has found its branch to be content. A page of which nothing is left so
+keeps its ``article``, but for named branches. Only what a browser does not show
+(head, scripts, hidden elements, ...) stays out of the tree. Numbers in classes
+and ids are taken as one, so that ``comment-12`` and ``comment-13`` are one node.
 
 Nodes of the tree are counted by grouping, never gathered; what a page needs of
-its host is the list of removed branches and that of content outside ``article``.
+its host is the list of its removed branches (the uppermost only) and that of
+content outside ``article``.
 
 Cases: a null or empty page has the empty text; unclosed, misnested and cut
 markup is read as far as it goes; a page whose url has no host, or a null one,
@@ -37,20 +45,24 @@ import html as entities
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BOILER, MAIN, OTHER = 0, 1, 2
+UNSHOWN, MAIN, OTHER = 0, 1, 2
 #: Importance that a node has by lying inside article or main.
 PRIOR = 0.25
+#: Importance of a branch named as no content, as a share of that by entropy.
+NAMED = 0.25
+#: Share of the text of its pages from which on the name of a branch says nothing.
+HOLDS = 0.8
 SALTS = 64
-_DROP = frozenset(
-    "head script style noscript template iframe object embed svg math canvas audio video map nav footer aside form "
-    "button select option textarea input label fieldset dialog menu header".split()
+_UNSHOWN = frozenset(
+    "head script style noscript template iframe object embed svg math canvas audio video map select option textarea".split()
 )
+_ASIDE = frozenset("nav footer aside form button label fieldset dialog menu header".split())
 _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion comment comments "
     "cookie cookies consent notice notices notification sidebar side menu menubar nav navbar navigation footer header "
@@ -88,6 +100,9 @@ _TOKEN = re.compile(
 #: One attribute after another, each with its whole value.
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _READ = frozenset("class id role hidden aria-hidden".split())
+_DIGITS = re.compile(r"[0-9]+")
+#: Elements beyond which an unclosed link is not followed.
+_ENDS_LINK = frozenset("article main section nav aside footer ul ol table body".split())
 _SPLIT = re.compile(r"[_\-:./]+")
 #: Pieces of a name that say where or how a part stands, not what it is.
 _PLAIN = frozenset("area bar block bottom box container content group inner left links list main outer panel right section top wrap wrapper".split())
@@ -108,43 +123,51 @@ def _tells(name: str, telling: frozenset[str]) -> bool:
 
 
 def _zone(tag: str, attrs: dict[str, str], above: int) -> int:
-    if above == BOILER:
-        return BOILER
-    if tag in _DROP and not (tag == "header" and above == MAIN):
-        return BOILER
-    if attrs:
-        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "") in _ROLES:
-            return BOILER
-        names = attrs.get("class", "").lower().split()
-        if not (above == MAIN and tag in _TITLED):  # their ids are slugs of what they say
-            names += attrs.get("id", "").lower().split()
-        telling = _CARDS if tag in ("article", "main") else _NAMES
-        if tag not in ("html", "body") and any(_tells(n, telling) for n in names):
-            return BOILER
+    if above == UNSHOWN or tag in _UNSHOWN or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+        return UNSHOWN
     if tag in ("article", "main") or attrs.get("role") in ("main", "article"):
         return MAIN
     return above
 
 
+def _named(tag: str, attrs: dict[str, str], above: int) -> bool:
+    """Whether an element's tag, role, class or id names it as no content."""
+    if tag in _ASIDE and not (tag == "header" and above == MAIN):
+        return True
+    if not attrs:
+        return False
+    if attrs.get("role", "") in _ROLES:
+        return True
+    names = attrs.get("class", "").lower().split()
+    if not (above == MAIN and tag in _TITLED):  # their ids are slugs of what they say
+        names += attrs.get("id", "").lower().split()
+    telling = _CARDS if tag in ("article", "main") else _NAMES
+    return tag not in ("html", "body") and any(_tells(n, telling) for n in names)
+
+
 class Page:
-    """blocks: (zone, text, path of the branch down to the block); children: tags below each path outside boilerplate."""
+    """blocks: (zone, text, path of the branch down to the block, signs in links), of what is shown; children: tags
+    below each path; mains and named: the paths inside article or main, and those named as no content."""
 
     def __init__(self, source: str | None):
-        self.blocks: list[tuple[int, str, tuple[int, ...]]] = []
+        self.blocks: list[tuple[int, str, tuple[int, ...], int]] = []
         self.children: dict[tuple[int, ...], list[str]] = {}
         self.mains: set[int] = set()
+        self.named: set[int] = set()
         self._text: list[str] = []
-        self._stack: list[tuple[str, int, tuple[int, ...]]] = [("", OTHER, ())]
+        self._linked = 0
+        # Tag, zone, path, whether an inline element around it is named, which the next node takes over, and whether in a link.
+        self._stack: list[tuple[str, int, tuple[int, ...], bool, bool]] = [("", OTHER, (), False, False)]
         self._read(source or "")
         self._flush()
 
     def _flush(self) -> None:
         if self._text:
             text = " ".join(entities.unescape("".join(self._text)).split())
-            self._text = []
-            if text:
-                _, zone, path = self._stack[-1]
-                self.blocks.append((zone, text, path))
+            if text and self._stack[-1][1] != UNSHOWN:
+                _, zone, path, *_ = self._stack[-1]
+                self.blocks.append((zone, text, path, min(self._linked, len(text))))
+            self._text, self._linked = [], 0
 
     def _open(self, tag: str, rest: str) -> None:
         if tag in _BLOCK:
@@ -169,39 +192,48 @@ class Page:
         attrs = {}
         if rest.strip("/ "):
             attrs = _attributes(rest)
-        _, above, path = stack[-1]
+        _, above, path, inherited, linked = stack[-1]
         zone = _zone(tag, attrs, above)
-        if zone != BOILER and tag in _BLOCK:
+        named = inherited or (zone != UNSHOWN and _named(tag, attrs, above))
+        if zone != UNSHOWN and tag in _BLOCK:
             self.children.setdefault(path, []).append(tag)
-            name = f"{path[-1] if path else 0}>{tag}.{attrs.get('class', '')}#{attrs.get('id', '')}"
-            name += "+" if zone == MAIN else ""
+            names = _DIGITS.sub("0", f"{attrs.get('class', '')}#{attrs.get('id', '')}")
+            name = f"{path[-1] if path else 0}>{tag}.{names}{'+' if zone == MAIN else ''}{'!' if named else ''}"
             path = (*path, zlib.crc32(name.encode("utf-8", "replace")))
             self.children.setdefault(path, [])
             if zone == MAIN:
                 self.mains.add(path[-1])
-        stack.append((tag, zone, path))
+            if named:
+                self.named.add(path[-1])
+            named = False
+        stack.append((tag, zone, path, named, tag == "a" or (linked and tag not in _ENDS_LINK)))
 
     def _close(self, tag: str) -> None:
         if tag in _BLOCK:
             self._flush()
         for i in range(len(self._stack) - 1, 0, -1):
             if self._stack[i][0] == tag:
-                if self._text and any(t in _BLOCK for t, _, _ in self._stack[i:]):
+                if self._text and any(t in _BLOCK for t, *_ in self._stack[i:]):
                     self._flush()
                 del self._stack[i:]
                 return
             if self._stack[i][0] in ("article", "main", "body", "html", "td", "th") and tag not in ("body", "html", "article", "main"):
                 return
 
+    def _add(self, text: str) -> None:
+        self._text.append(text)
+        if self._stack[-1][4]:
+            self._linked += len(" ".join(entities.unescape(text).split()))
+
     def _read(self, s: str) -> None:
         at, n = 0, len(s)
         while at < n:
             m = _TOKEN.search(s, at)
             if m is None:
-                self._text.append(s[at:])
+                self._add(s[at:])
                 return
             if m.start() > at:
-                self._text.append(s[at : m.start()])
+                self._add(s[at : m.start()])
             at = m.end()
             tag = m["tag"] or m["tag2"]
             if not tag:
@@ -213,18 +245,19 @@ class Page:
             self._open(tag, m["rest"] or m["rest2"] or "")
             if tag in _RAW:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(s, at)
-                if tag == "title" and self._stack[-1][1] != BOILER:
+                if tag == "title" and self._stack[-1][1] != UNSHOWN:
                     self._text.append(s[at : end.start() if end else n])
                 at = end.start() if end else n
 
-    def main_text(self, removed: frozenset[int], content: frozenset[int] = frozenset()) -> str:
-        main = [t for z, t, _ in self.blocks if z == MAIN]
+    def main_text(self, removed: Set[int], content: Set[int] = frozenset()) -> str:
+        gone = self.named & removed
+        main = [b for b in self.blocks if b[0] == MAIN and gone.isdisjoint(b[2])]
         kept = [
             t
-            for z, t, p in self.blocks
-            if z != BOILER and removed.isdisjoint(p) and (z == MAIN or not main or (p and p[-1] in content))
+            for z, t, p, _ in self.blocks
+            if removed.isdisjoint(p) and (z == MAIN or not main or (p and p[-1] in content))
         ]
-        return " ".join(kept or main)
+        return " ".join(kept or [b[1] for b in main])
 
 
 def _host() -> Column:
@@ -232,68 +265,100 @@ def _host() -> Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, kind (p: child sequence, c: text), feature, main (inside article or main), above (paths up to the root,
-    with child sequences only), k: pages that have it."""
-    schema = "host string, path long, kind string, feature long, main boolean, above array<long>, k long"
+    """host, path, kind (p: child sequence, c: text), feature, k: pages that have it; and with child sequences only, main
+    (inside article or main), named, above (paths up to the root), chars, links (of these in links), page (signs of the
+    pages that have it)."""
+    schema = (
+        "host string, path long, kind string, feature long, main boolean, named boolean, above array<long>, k long, "
+        "chars long, links long, page long"
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in schema.split(", ")]
         for x in batches:
             for at in range(0, len(x), 500):
-                rows: Counter = Counter()
-                paths, mains = {}, set()
+                texts: Counter = Counter()
+                nodes: dict = {}
                 some = x.iloc[at : at + 500]
                 for host, source in zip(some["host"], some["html"]):
                     page = Page(source)
-                    mains |= page.mains
+                    chars, links = Counter(), Counter()
                     mine = set()
+                    for _, text, path, linked in page.blocks:
+                        if path:
+                            chars[path[-1]] += len(text)
+                            links[path[-1]] += linked
+                            mine.add((host, path[-1], zlib.crc32(text.encode("utf-8", "replace"))))
+                    texts.update(mine)
+                    total = sum(chars.values())
                     for path, tags in page.children.items():
                         if path:
-                            paths[path[-1]] = list(path)
-                            mine.add((host, path[-1], "p", zlib.crc32(" ".join(tags).encode())))
-                    for zone, text, path in page.blocks:
-                        if zone != BOILER and path:
-                            mine.add((host, path[-1], "c", zlib.crc32(text.encode("utf-8", "replace"))))
-                    rows.update(mine)
-                yield pd.DataFrame([(h, p, k, f, p in mains, paths[p] if k == "p" else None, n) for (h, p, k, f), n in rows.items()], columns=names)
+                            p = path[-1]
+                            key = (host, p, zlib.crc32(" ".join(tags).encode()))
+                            row = nodes.setdefault(key, [p in page.mains, p in page.named, list(path), 0, 0, 0, 0])
+                            row[3:] = (a + b for a, b in zip(row[3:], (1, chars[p], links[p], total)))
+                rows = [(h, p, "p", f, *row) for (h, p, f), row in nodes.items()]
+                rows += [(h, p, "c", f, None, None, None, n, None, None, None) for (h, p, f), n in texts.items()]
+                yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("chars", "links", "page")})
 
     got = pages.select("host", "html").mapInPandas(run, schema)
-    return got.groupBy("host", "path", "kind", "feature").agg(F.first("main").alias("main"), F.first("above").alias("above"), F.sum("k").alias("k"))
+    first = lambda *names: [F.first(c, ignorenulls=True).alias(c) for c in names]
+    return got.groupBy("host", "path", "kind", "feature").agg(
+        *first("main", "named", "above"), *(F.sum(c).alias(c) for c in ("k", "chars", "links", "page"))
+    )
 
 
-def branches(tree: DataFrame, least: float, min_pages: int, decay: float) -> DataFrame:
-    """host, removed: its branches of low importance; content: its other branches with text outside article and main."""
+def judged_branches(tree: DataFrame, least: float, min_pages: int, decay: float) -> DataFrame:
+    """host, path, above, low (noise), outside (has text, outside article and main) of each branch that is judged."""
     log = F.log(F.col("k").cast("double"))
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
     # A page has one child sequence for a path, so the counts of these sum to its pages. All but the logarithm of that
     # sum is summed feature by feature.
     nodes = tree.groupBy("host", "path").agg(
-        F.first("above", ignorenulls=True).alias("above"),
-        F.first("main").alias("main"),
+        *(F.first(c, ignorenulls=True).alias(c) for c in ("above", "main", "named")),
+        *(F.sum(c).alias(c) for c in ("chars", "links", "page")),
         of("p", F.col("k")).alias("m"),
         of("p", F.col("k") * log).alias("p_logs"),
         of("c", log).alias("c_logs"),
         of("c", F.lit(1)).alias("texts"),
     )
-    base = F.log(F.col("m").cast("double"))
-    # A node with text counts by its text, one without by its presentation.
-    entropy = F.coalesce(1 - F.col("c_logs") / F.col("texts") / base, 1 - F.col("p_logs") / F.col("m") / base)
-    importance = F.when(F.col("main"), PRIOR + (1 - PRIOR) * entropy).otherwise(entropy)
-    nodes = nodes.where((F.col("m") >= min_pages) & (F.col("m") > 1)).withColumn("importance", importance)
-    text = F.col("texts").isNotNull()
-    up = nodes.select("host", "path", "main", "importance", text.alias("text"), F.posexplode("above"), F.size("above").alias("n"))
-    weight = F.pow(F.lit(decay), F.col("n") - 1 - F.col("pos")) * F.when(F.col("text"), 1.0).otherwise(0.1)
-    branch = up.groupBy("host", F.col("col").alias("path")).agg(
+    seen = (F.col("m") >= min_pages) & (F.col("m") > 1)
+    base = F.when(seen, F.log(F.col("m").cast("double")))
+    # A node with text counts by its text, one without by its presentation; a named one of few pages by its name.
+    entropy = F.coalesce(1 - F.col("c_logs") / F.col("texts") / base, 1 - F.col("p_logs") / F.col("m") / base, F.lit(1.0))
+    plain = 1 - F.coalesce(F.try_divide("links", "chars"), F.lit(0.0))
+    importance = F.when(F.col("main"), PRIOR + (1 - PRIOR) * entropy).otherwise(entropy * plain)
+    nodes = nodes.where(seen | F.col("named")).withColumn("importance", importance).withColumn("text", F.col("texts").isNotNull())
+    up = nodes.select("*", F.posexplode("above").alias("at", "branch"), F.size("above").alias("n"))
+    weight = F.pow(F.lit(decay), F.col("n") - 1 - F.col("at")) * F.when(F.col("text"), 1.0).otherwise(0.1)
+    own = lambda c: F.max(F.when(F.col("path") == F.col("branch"), c))
+    branch = up.groupBy("host", "branch").agg(
         (F.sum(weight * F.col("importance")) / F.sum(weight)).alias("importance"),
         F.max(F.when(F.col("text"), F.col("importance"))).alias("most"),
-        F.bool_or((F.col("path") == F.col("col")) & F.col("text") & ~F.col("main")).alias("outside"),
+        F.sum("chars").alias("chars"),
+        own(F.col("page")).alias("page"),
+        own(F.col("named") & ~seen).alias("alone"),
+        own(F.col("named")).alias("named"),
+        own(F.col("above")).alias("above"),
+        own(F.col("text") & ~F.col("main")).alias("outside"),
     )
-    low = (F.col("importance") < least) & (F.coalesce("most", F.lit(0.0)) < least)
-    return (
-        branch.where(low | F.col("outside"))
-        .groupBy("host")
-        .agg(F.collect_set(F.when(low, F.col("path"))).alias("removed"), F.collect_set(F.when(~low, F.col("path"))).alias("content"))
+    holds = ~F.col("alone") & (F.col("chars") >= HOLDS * F.col("page"))
+    prior = F.when(F.col("named") & ~holds, NAMED).otherwise(1.0)
+    low = (prior * F.col("importance") < least) & (prior * F.coalesce("most", F.lit(0.0)) < least)
+    # A branch that is itself on too few pages, with named nodes in it, is not judged.
+    return branch.where(F.col("named").isNotNull()).select("host", F.col("branch").alias("path"), "above", low.alias("low"), "outside")
+
+
+def branches(tree: DataFrame, least: float, min_pages: int, decay: float) -> DataFrame:
+    """host, removed: its uppermost branches of low importance; content: its other branches with text outside article and main."""
+    judged = judged_branches(tree, least, min_pages, decay).where("low OR outside")
+    got = judged.groupBy("host").agg(
+        F.collect_list(F.when(F.col("low"), F.struct("path", "above"))).alias("lows"),
+        F.collect_list(F.when(~F.col("low"), F.col("path"))).alias("content"),
     )
+    under = lambda b: F.arrays_overlap(F.slice(b.above, 1, F.size(b.above) - 1), "lows.path")
+    top = F.transform(F.filter("lows", lambda b: ~under(b)), lambda b: b.path)
+    return got.select("host", top.alias("removed"), "content")
 
 
 def extract(

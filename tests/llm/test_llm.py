@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import statistics
 import zlib
 
 import numpy as np
@@ -430,11 +431,13 @@ def test_main_text():
     <nav><ul><li><a href="/x">Menu</a><li>Two</ul></nav><!-- ad --><div class="top ad">Buy</div><div id=cookie-notice>We use</div>
     <article><header><h1>Title &amp; more</h1></header><p>One <b>two<br>three</p><p>Four\n  five&nbsp;six<div class="comments">Nice!</div><aside>Side</aside><form>Mail <input></form></article>
     <section class="comments"><article class="comment">Hi</article></section><footer>&copy; me</footer></body></html>"""
-    assert html.Page(page).main_text(frozenset()) == "Title & more One two three Four five six"
+    read = html.Page(page)
+    assert read.main_text(read.named) == "Title & more One two three Four five six"
     kept = """<article><h2 id="related-work">Related</h2><section id="search-algorithms">Search</section><p style="overflow:hidden">Over</p>
     <p title="A hidden gem, 5 > 4">Gem</p><div data-id="promo-1" class="side-by-side">Pair</div><p class="no-ads-here">None</p>
     <div class="ad-box">Buy</div><div id="comment-list">Nice</div><p hidden>Gone</p><h2 class="ad">Ad</h2></article>"""
-    assert html.Page(kept).main_text(frozenset()) == "Related Search Over Gem Pair None"
+    read = html.Page(kept)
+    assert read.main_text(read.named) == "Related Search Over Gem Pair None"
     for odd in (None, "", "   ", "<", "<p", "<a href='x", "a < b && c", "<!-- open", "<script>x"):
         html.Page(odd).main_text(frozenset())
     assert html.Page("plain &lt;text&gt;").main_text(frozenset()) == "plain <text>"
@@ -467,6 +470,80 @@ def test_style_tree_judges_inside_and_outside_articles(spark):
     assert got[60] == "Title x Story x here Tell your friends"
 
 
+def _plain_branches(pages, least=0.3, min_pages=4, decay=0.9):
+    """removed of each host by plain loops over all pages, as the docstring of the module says."""
+    hosts = collections.defaultdict(list)
+    for host, source in pages:
+        hosts[host].append(html.Page(source))
+    out = {}
+    for host, read in hosts.items():
+        m, seqs, texts = collections.Counter(), collections.defaultdict(list), collections.defaultdict(lambda: collections.defaultdict(set))
+        chars, links, shown, above = (collections.Counter() for _ in range(4))
+        main, named = set(), set()
+        for n, page in enumerate(read):
+            total = sum(len(t) for _, t, p, _ in page.blocks if p)
+            for path, tags in page.children.items():
+                if path:
+                    m[path[-1]] += 1
+                    seqs[path[-1]].append(tuple(tags))
+                    shown[path[-1]] += total
+                    above[path[-1]] = path
+            for _, t, p, linked in page.blocks:
+                if p:
+                    chars[p[-1]] += len(t)
+                    links[p[-1]] += linked
+                    texts[p[-1]][t].add(n)
+            main |= page.mains
+            named |= page.named
+        importance = {}
+        for p in m:
+            if m[p] < max(min_pages, 2):
+                entropy = 1.0
+            elif p in texts:
+                entropy = 1 - statistics.mean(math.log(len(who)) / math.log(m[p]) for who in texts[p].values())
+            else:
+                entropy = -sum(k / m[p] * math.log(k / m[p], m[p]) for k in collections.Counter(seqs[p]).values())
+            plain = 1 - (links[p] / chars[p] if chars[p] else 0)
+            if m[p] >= max(min_pages, 2) or p in named:
+                importance[p] = html.PRIOR + (1 - html.PRIOR) * entropy if p in main else entropy * plain
+        low = set()
+        for b in importance:
+            inside = [p for p in importance if b in above[p]]
+            weights = [decay ** (len(above[p]) - 1 - above[p].index(b)) * (1.0 if p in texts else 0.1) for p in inside]
+            mean = sum(w * importance[p] for w, p in zip(weights, inside)) / sum(weights)
+            most = max([importance[p] for p in inside if p in texts], default=0.0)
+            holds = m[b] >= max(min_pages, 2) and sum(chars[p] for p in inside) >= html.HOLDS * shown[b]
+            prior = html.NAMED if b in named and not holds else 1.0
+            if prior * mean < least and prior * most < least:
+                low.add(b)
+        out[host] = {b for b in low if low.isdisjoint(above[b][:-1])}
+    return out
+
+
+def test_style_tree_equals_plain_loops(spark):
+    page = (
+        "<html><body class=page{x}><nav><ul><li><a href=/{i}>w{i}</a><li><a href=/>Home</a></ul></nav><div class=m{x}><a href=/>all {i}</a></div>"
+        "<article><h1>T {i}</h1><p>Story {i}<p>of {x}<div class=comments id=c-{i}><article><p>Me {i}</p></article></div></article>"
+        "<div class=more><p>Also {x}</div><footer>By us {i}</footer></body></html>"
+    )
+    rows = [(i, f"http://host{i % 3}/{i}", page.format(i=i, x=i % 5)) for i in range(60)]
+    rows += [(100 + i, f"http://few/{i}", page.format(i=i, x=0)) for i in range(3)]
+    rows += [(200 + i, f"http://wrap/{i}", f"<body><div class=sidebar><article><p>The words {i} are all here and more</article></div><footer>Us</footer>") for i in range(5)]
+    rows += [(300, None, None), (301, None, "<p>t"), (302, "x", "<div>" * 50 + "deep " * 100000)] + [(303, "http://again/", page.format(i=1, x=1))] * 6
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = df.withColumn("host", html._host())
+    got = {r.host: set(r.removed) for r in html.branches(html.style_tree(pages), 0.3, 4, 0.9).collect()}
+    want = _plain_branches([(r.host, r.html) for r in pages.collect()])
+    assert {h: b for h, b in got.items() if b} == {h: b for h, b in want.items() if b}
+    texts = collections.defaultdict(set)
+    for r in html.extract(df.withColumn("removed", F.lit(1)).withColumn("salt", F.lit(2))).collect():
+        texts[r.page_id].add(r.text)
+    assert all(texts[i] == {f"T {i} Story {i} of {i % 5}" + (" Also %d" % (i % 5) if "Also" in min(texts[i]) else "")} for i in range(60))
+    assert all(texts[100 + i] == {f"T {i} Story {i} of 0"} for i in range(3))
+    assert all(texts[200 + i] == {f"The words {i} are all here and more"} for i in range(5))
+    assert len(texts[302].pop()) == 499_999 and texts[300] == {""}
+
+
 # Language model
 
 
