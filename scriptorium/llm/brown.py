@@ -381,8 +381,9 @@ def score(
                 yield one
                 yield two
 
-    # The key of a document's own row is no word, and differs from row to row, so it meets nothing in the join.
-    rows = docs.withColumn("uid", F.monotonically_increasing_id()).mapInPandas(run, schema)
+    # The key of a document's own row is no word, and differs from row to row, so it meets nothing in the join. Rows are written
+    # before they are shuffled: a task that runs again then finds the same uid.
+    rows = written(docs.withColumn("uid", F.monotonically_increasing_id()).mapInPandas(run, schema), "scored-heads")
     tail = counts.where(F.col("n") < limit).withColumnRenamed("n", "c")
     rows = rows.join(tail, "word", "left")
     logs = F.col("k") * F.coalesce(F.log10(F.col("c") + 1), F.lit(0.0))

@@ -580,6 +580,43 @@ def test_brown_score_is_a_probability(spark, docs):
     assert np.all(emitted <= 1 + 1e-6) and np.allclose((10**model.step).sum(1), 1)
 
 
+@pytest.mark.parametrize("n_head", [50, 10**6])
+def test_brown_rescored_by_hand(spark, docs, n_head):
+    size = dict(n_head=n_head, n_types=20, n_signatures=8, n_classes=6, rounds=4)
+    hold = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    some = docs.withColumns({"word": F.lit("x"), "uid": F.lit(7), "k": F.lit(None), "n": F.lit(1), "c": F.lit("c"), "types": F.lit(0)})
+    rows = [(r.doc_id, brown.tokens(r.text)) for r in some.select("doc_id", "text").collect()]
+    train = [t for i, t in rows if not hold(i)]
+    model, _, _ = brown.fit(some.where(~brown.is_held_out(F.col("doc_id"))), **size)
+
+    def of(word):
+        return int(model.classes[model.types.of([word])[1][0]])
+
+    words_n, class_n, steps, before = (collections.Counter() for _ in range(4))
+    for t in train:
+        for a, b in zip([brown.END, *t], t):
+            words_n[b] += 1
+            class_n[of(b)] += 1
+            steps[of(a), of(b)] += 1
+            before[of(a)] += 1
+    distinct = collections.Counter(of(w) for w in words_n)
+
+    def by_hand(t):
+        total = 0.0
+        for a, b in zip([brown.END, *t], t):
+            total += math.log10((steps[of(a), of(b)] + 1) / (before[of(a)] + size["n_classes"] + 1))
+            if b != brown.END:
+                total += math.log10((words_n[b] + 1) / (class_n[of(b)] + distinct[of(b)] + 1))
+        return total
+
+    got = collections.defaultdict(list)
+    for r in brown.score(some, **size).collect():
+        got[r.doc_id].append(r.score)
+    assert sum(map(len, got.values())) == len(rows)
+    for i, t in rows:
+        assert got[i][0] == pytest.approx(by_hand(t), rel=1e-9), i
+
+
 def test_brown_clusters_words_beyond_the_first_types(spark):
     rng = np.random.default_rng(2)
     a, b = [f"a{i}x{i * 7919}" for i in range(40)], [f"b{i}x{i * 104729}" for i in range(40)]
