@@ -190,6 +190,16 @@ def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.drop(*[c for c in columns if c not in out]).withColumns(out)
 
 
+def varied(df: DataFrame, columns: list[str]) -> list[str]:
+    """The columns with two values or more, nulls and NaN aside; one pass without distinct counts."""
+    if not columns:
+        return []
+    number = {c for c, t in df.dtypes if t in ("double", "float")}
+    value = {c: F.nanvl(F.col(c), F.lit(None)) if c in number else F.col(c) for c in columns}
+    r = df.agg(*[(F.min(v) < F.max(v)).alias(c) for c, v in value.items()]).first()
+    return [c for c in columns if r[c]]
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """n_a, n_b, missing, extra: whether two tables hold the same rows, whatever their order."""
     cols = sorted(a.columns)

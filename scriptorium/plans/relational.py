@@ -101,7 +101,7 @@ def outcomes_finalize(spark, sf_dir):
     o = outcomes(spark, sf_dir)
     o = o.withColumns({"c": F.when(F.col("paper_id") % 7 != 0, F.col("citations")), "subfield": F.when(F.col("paper_id") % 11 != 0, F.col("subfield"))})
     o = o.withColumn("cpy", F.col("c") / F.greatest(2026 - F.col("year"), F.lit(1)))
-    o = o.withColumn("pct", K.percentile_rank("cpy", "subfield", "year"))
+    o = K.percentiles(o, "cpy", "pct", "subfield", "year")
     return o.select("paper_id", "year", "subfield", F.round("cpy", 6).alias("cites_per_year"), F.round(F.log1p("c"), 6).alias("log1p_citations"), F.round("pct", 6).alias("percentile"))
 
 
@@ -284,7 +284,8 @@ def pooled_ranks(spark, sf_dir):
 
 @query(f"""WITH o AS ({OUTCOMES}) SELECT paper_id, year, round((citations - avg(citations) OVER w) / nullif(stddev_samp(citations) OVER w, 0), 6) AS z FROM o WINDOW w AS (PARTITION BY year, subfield)""")
 def within_group_z(spark, sf_dir):
-    return outcomes(spark, sf_dir).select("paper_id", "year", F.round(K.z_within("citations", "year", "subfield"), 6).alias("z"))
+    o = outcomes(spark, sf_dir).select("paper_id", "year", "subfield", "citations")
+    return K.z_by_group(o, {"z": "citations"}, "year", "subfield").select("paper_id", "year", F.round("z", 6).alias("z"))
 
 
 @query(f"""WITH s AS ({SCORES}), m AS (SELECT paper_id, prompt, model, median(score) AS med FROM s GROUP BY ALL),
@@ -376,8 +377,11 @@ def validate_labels(spark, sf_dir):
     return at.withColumn("error", F.col("value").isNull())
 
 
-@query(f"""WITH o AS ({OUTCOMES}), l AS (SELECT l_orderkey AS paper_id, count(*) AS n_items FROM lineitem GROUP BY ALL), j AS (SELECT paper_id, year, citations, n_items, CASE WHEN year < 2001 AND paper_id % 50 <> 0 THEN subfield END AS subfield FROM o JOIN l USING (paper_id)),
-k AS (SELECT * FROM j WHERE year <= (SELECT max(year) - 1 FROM j) AND subfield IS NOT NULL), m AS (SELECT avg(ln(1 + citations)) AS a, stddev_samp(ln(1 + citations)) AS b, avg(n_items) AS c, stddev_samp(n_items) AS d FROM k)
+_CASES = f"""o AS ({OUTCOMES}), l AS (SELECT l_orderkey AS paper_id, count(*) AS n_items FROM lineitem GROUP BY ALL), j AS (SELECT paper_id, year, citations, n_items, CASE WHEN year < 2001 AND paper_id % 50 <> 0 THEN subfield END AS subfield FROM o JOIN l USING (paper_id)),
+k AS (SELECT * FROM j WHERE year <= (SELECT max(year) - 1 FROM j) AND subfield IS NOT NULL)"""
+
+
+@query(f"""WITH {_CASES}, m AS (SELECT avg(ln(1 + citations)) AS a, stddev_samp(ln(1 + citations)) AS b, avg(n_items) AS c, stddev_samp(n_items) AS d FROM k)
 SELECT paper_id, year, round((ln(1 + citations) - a) / b, 6) AS y, round((n_items - c) / d, 6) AS n_items, (subfield = 'BUILDING')::INT AS is_building, CASE WHEN n_items > 0 THEN round(ln(n_items), 6) END AS log_items FROM k, m""")
 def design_matrix(spark, sf_dir):
     """Standardised design: complete cases, year cap, dummies, logs."""

@@ -110,7 +110,7 @@ def metric_correlations(spark, sf_dir):
         F.regexp_count("text", F.lit(" ")).cast("double").alias("n_spaces"),
     )
     at = wide.join(judge, "paper_id").unpivot(["paper_id", "year", "judge"], ["n_chars", "n_lines", "n_spaces"], "metric", "value")
-    at = at.withColumns({"zv": F.round(K.z_within("value", "metric", "year"), 9), "zj": F.round(K.z_within("judge", "metric", "year"), 9)})
+    at = K.z_by_group(at, {"zv": "value", "zj": "judge"}, "metric", "year").withColumns({"zv": F.round("zv", 9), "zj": F.round("zj", 9)})
     pooled = S.spearman(at, "value", "judge", ["metric"], large=True).withColumn("r_pooled", F.round("rho", 6)).drop("rho")
     within = S.spearman(at, "zv", "zj", ["metric"], large=True).select("metric", F.round("rho", 6).alias("r_within"))
     return pooled.join(within, "metric").orderBy("r_pooled")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import arxiv_id
-from scriptorium.operators.ranks import percentile_rank
+from scriptorium.operators.ranks import percentiles
 
 WORK = (
     "id string, display_name string, publication_year int, cited_by_count int, ids map<string,string>, "
@@ -49,7 +49,7 @@ def finalize(rows: DataFrame, census: int = 2026) -> DataFrame:
     age = F.greatest(F.lit(census) - F.col("year"), F.lit(1))
     posted = F.year(F.try_to_timestamp("arxiv_v1_date"))
     at = rows.withColumns({"cites_per_year": F.col("citations") / age, "preprint_before_conference": posted <= F.col("year")})
-    return at.withColumn("percentile", percentile_rank("cites_per_year", "subfield", "year"))
+    return percentiles(at, "cites_per_year", "percentile", "subfield", "year")
 
 
 def match_report(rows: DataFrame, *keys: str) -> DataFrame:

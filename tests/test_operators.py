@@ -27,8 +27,23 @@ def test_terciles_match_quantile_cuts(spark):
 
 def test_percentile_rank(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", None), (None, 5.0)], "g string, v double")
-    got = {(r.g, r.v): r.p for r in df.withColumn("p", K.percentile_rank("v", "g")).collect()}
-    assert got == {("a", 1.0): pytest.approx(1 / 3), ("a", 2.0): pytest.approx(2.5 / 3), ("a", None): None, (None, 5.0): 1.0}
+    rows = K.percentiles(df, "v", "p", "g").collect()
+    assert len(rows) == 5
+    assert {(r.g, r.v): r.p for r in rows} == {("a", 1.0): pytest.approx(1 / 3), ("a", 2.0): pytest.approx(2.5 / 3), ("a", None): None, (None, 5.0): 1.0}
+    assert K.percentiles(df.limit(0), "v", "p", "g").count() == 0
+
+
+def test_z_by_group(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None), (None, 4.0), (None, 8.0), ("b", 2.0), ("b", 2.0)], "g string, v double")
+    got = sorted((str(r.g), r.v or 0, r.z) for r in K.z_by_group(df, {"z": "v"}, "g").collect())
+    z = pytest.approx(0.5**0.5)
+    assert got == [("None", 4.0, pytest.approx(-(0.5**0.5))), ("None", 8.0, z), ("a", 0, None), ("a", 1.0, pytest.approx(-(0.5**0.5))), ("a", 3.0, z), ("b", 2.0, None), ("b", 2.0, None)]
+    assert "Window" not in K.z_by_group(df, {"z": "v"}, "g")._jdf.queryExecution().toString()
+
+
+def test_varied(spark):
+    df = spark.createDataFrame([(1.0, 1, None, float("nan")), (1.0, 2, None, 3.0)], "a double, b int, c int, d double")
+    assert S.varied(df, ["a", "b", "c", "d"]) == ["b"] and S.varied(df.limit(0), ["a", "b"]) == [] == S.varied(df, [])
 
 
 def test_pooled_rank_agrees(spark):
