@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import parses, relational, reports, texts  # noqa: F401  they register their queries
+from scriptorium.plans import parses, relational, reports, stores, texts  # noqa: F401  they register their queries
 from scriptorium.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
