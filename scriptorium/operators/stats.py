@@ -190,6 +190,14 @@ def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.drop(*[c for c in columns if c not in out]).withColumns(out)
 
 
+def wide_summary(df: DataFrame, key: str, name: str, value: str, names: list[str] | None = None) -> DataFrame:
+    """A row for each key: mean, deviation and count of the values of each name (some hundreds), in order of the names.
+    Undefined means and deviations are null, which writers leave blank; undefined counts are 0."""
+    names = sorted(names if names is not None else (r[0] for r in df.where(F.col(name).isNotNull()).select(name).distinct().collect()))
+    aggs = F.round(F.avg(value) + 1e-9, 4).alias("mean"), F.round(F.stddev_samp(value) + 1e-9, 4).alias("std"), F.count(value).alias("count")
+    return df.groupBy(key).pivot(name, names).agg(*aggs).fillna(0, [f"{n}_count" for n in names])
+
+
 def varied(df: DataFrame, columns: list[str]) -> list[str]:
     """The columns with two values or more, nulls and NaN aside; one pass without distinct counts."""
     if not columns:

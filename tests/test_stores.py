@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import labels as H
-from scriptorium.sources import stable
+from scriptorium.operators import stats as S
+from scriptorium.sources import html, stable
 from scriptorium.streaming import incremental as I
 
 
@@ -115,3 +116,20 @@ def test_bounded_labels(spark):
     fine = H.bounded_labels(sheet.where("paper_id = 'p1'"), {"b": (0, 4), "a": (1, 5)})
     assert [tuple(r) for r in H.checked(fine).collect()] == [("p1", "a", 3), ("p1", "b", 0)]
     assert H.checked(bad.limit(0)).count() == 0
+
+
+def test_abstract_links(spark):
+    page = """<a href="/paper/2021/hash/ab1-Abstract.html"><a class='b' HREF = '/2021/hash/9f-Abstract-Round2.html?x=1&amp;y=2'>
+      <a data-href="/2021/hash/aa-Abstract"><link href="/2021/hash/bb-Abstract"><a href="/2020/hash/cc-Abstract"><a title="> href" href="/2021/zz-Abstract">"""
+    df = spark.createDataFrame([(page,), (None,), ("",)], "h string").select(html.abstract_links(F.col("h"), F.lit(2021)).alias("l"))
+    rows = [r.l for r in df.collect()]
+    assert rows == [["/paper/2021/hash/ab1-Abstract.html", "/2021/hash/9f-Abstract-Round2.html?x=1&y=2", "/2021/zz-Abstract"], [], []]
+    assert [r.k for r in df.select(F.transform("l", html.link_key).alias("k")).collect()] == [["ab1", "9f", None], [], []]
+
+
+def test_wide_summary(spark):
+    df = spark.createDataFrame([(1, "b", 2.0), (1, "b", 4.0), (1, "a", None), (2, "a", 1.0), (3, None, 1.0)], "year int, model string, score double")
+    got = S.wide_summary(df, "year", "model", "score")
+    assert got.columns == ["year", "a_mean", "a_std", "a_count", "b_mean", "b_std", "b_count"]
+    assert sorted(map(tuple, got.collect())) == [(1, None, None, 0, 3.0, 1.4142, 2), (2, 1.0, None, 1, None, None, 0), (3, None, None, 0, None, None, 0)]
+    assert S.wide_summary(df.limit(0), "year", "model", "score").count() == 0
