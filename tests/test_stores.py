@@ -124,7 +124,7 @@ def test_abstract_links(spark):
     df = spark.createDataFrame([(page,), (None,), ("",)], "h string").select(html.abstract_links(F.col("h"), F.lit(2021)).alias("l"))
     rows = [r.l for r in df.collect()]
     assert rows == [["/paper/2021/hash/ab1-Abstract.html", "/2021/hash/9f-Abstract-Round2.html?x=1&y=2", "/2021/zz-Abstract"], [], []]
-    assert [r.k for r in df.select(F.transform("l", html.link_key).alias("k")).collect()] == [["ab1", "9f", None], [], []]
+    assert [r.k for r in df.select(F.transform("l", lambda x: html.link_key(x)).alias("k")).collect()] == [["ab1", "9f", None], [], []]
 
 
 def test_wide_summary(spark):
