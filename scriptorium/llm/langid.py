@@ -3,7 +3,10 @@
 A text is a vector of hashed byte 1-, 2- and 3-gram frequencies (square roots,
 unit length) of the whole lower-cased text. Linear support vector machines
 (squared hinge, dual coordinate descent) are fitted between each two families,
-and between each two languages of one family. A text gets the family, then the
+and between each two languages of one family. Languages that no list names a
+family for are grouped by similarity: halved along the main direction of their
+mean vectors until a group has at most ``max(8, sqrt(n))`` of n, so n languages
+need some n * sqrt(n) machines, not n * n / 2. A text gets the family, then the
 language, that wins most of these duels, ties going to the larger sum of
 margins. The score multiplies, over both steps, the logistic of the winner's
 smallest margin.
@@ -35,7 +38,7 @@ from scriptorium.llm.common import written
 
 UND = "und"
 SALTS = 16
-#: Families of languages by code; others form one family.
+#: Families of languages by code; others are grouped by similarity.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
     "romance": "fr es it pt ro ca gl oc",
@@ -116,9 +119,31 @@ class Duels:
         return best, 1 / (1 + np.exp(-4 * least[np.arange(n), best]))
 
 
+#: Languages that one group holds at least before it is halved.
+GROUP = 8
+
+
+def similar_groups(means: np.ndarray, names: list[str]) -> dict[str, str]:
+    """Group of each name (means has a row for each); a group is called after its first name. Ties go by name."""
+    most, left, out = max(GROUP, int(np.sqrt(len(names)))), [np.arange(len(names))], {}
+    while left:
+        own = left.pop()
+        if len(own) <= most:
+            out |= {names[i]: "like " + min(names[j] for j in own) for i in own}
+            continue
+        some = means[own] - means[own].mean(0)
+        main = np.linalg.eigh(some @ some.T)[1][:, -1]  # places along the main direction, but for their scale
+        order = sorted(range(len(own)), key=lambda i: (main[i], names[own[i]]))
+        left += [own[order[: len(own) // 2]], own[order[len(own) // 2 :]]]
+    return out
+
+
 class Model:
     def __init__(self, x: np.ndarray, langs: np.ndarray, dims: int):
-        family = np.array([FAMILY_OF.get(v, "other") for v in langs], object)
+        others = sorted({v for v in langs if v not in FAMILY_OF})
+        means = np.stack([x[langs == v, :-1].mean(0) for v in others]) if others else np.zeros((0, dims))
+        group = FAMILY_OF | similar_groups(means, others)
+        family = np.array([group[v] for v in langs], object)
         self.dims, self.family = dims, Duels(x, family)
         self.within = [Duels(x[family == f], langs[family == f]) for f in self.family.classes]
 

@@ -223,10 +223,47 @@ def test_many_languages(spark):
             for i, lang in enumerate([k % 70 for k in range(420)] + [0] * 300)]
     model = langid.fit(spark.createDataFrame(rows, DOCS).select("doc_id", "text", "lang"), dims=512, max_rows=350)
     langs, _ = model.predict([r[1] for r in rows[:70]])
-    assert set(model.within[0].classes) == {r[2] for r in rows[:70]}
+    assert {v for d in model.within for v in d.classes} == {r[2] for r in rows[:70]}
+    assert max(len(d.classes) for d in model.within) <= 8 and len(model.within) <= 18
+    assert len(model.family.pairs) + sum(len(d.pairs) for d in model.within) < 70 * 69 / 2 / 5
     assert np.mean([a == r[2] for a, r in zip(langs, rows)]) > 0.9
 
 
+def test_similar_languages_share_a_group():
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(4, 50)) * [[8], [4], [2], [1]]
+    names = [f"l{i:02}" for i in range(32)]
+    means = np.stack([centre[i % 4] + rng.normal(size=50) / 50 for i in range(32)])
+    got = langid.similar_groups(means, names)
+    assert set(got) == set(names) and all(got[n] == got[names[int(n[1:]) % 4]] for n in names)
+    assert len(set(got.values())) == 4 and langid.similar_groups(means[:5], names[:5]) == dict.fromkeys(names[:5], "like l00")
+    assert langid.similar_groups(np.zeros((0, 50)), []) == {} and len(langid.similar_groups(np.zeros((20, 50)), names[:20])) == 20
+
+
+def test_duels_against_each_two_fitted_alone():
+    """Each machine is the one of its two classes alone, and the winner that of the most duels by plain counting."""
+    rng = np.random.default_rng(4)
+    y = np.array([f"c{i % 5}" for i in range(100)], object)
+    x = np.concatenate([rng.normal(size=(100, 12)) + np.arange(5)[np.arange(100) % 5, None] * rng.normal(size=12), np.ones((100, 1))], 1).astype(np.float32)
+    d = langid.Duels(x, y)
+    best, score = d.predict(x)
+    for r in range(100):
+        wins, total, least = collections.Counter(), collections.Counter(), {}
+        for a in range(5):
+            for b in range(a + 1, 5):
+                some = [i for i in range(100) if y[i] in (f"c{a}", f"c{b}")]
+                w = d.weights[:, d.pairs.index((a, b))]
+                if r == 0:
+                    assert np.allclose(w, langid.fit_svm(x[some], np.where(y[some] == f"c{a}", 1.0, -1.0)))
+                m = float(x[r] @ w)
+                for side, v in ((a, m), (b, -m)):
+                    wins[side] += v > 0
+                    total[side] += v
+                    least[side] = min(least.get(side, v), v)
+        want = max(range(5), key=lambda k: (wins[k], total[k]))
+        assert best[r] == want and score[r] == pytest.approx(1 / (1 + math.exp(-4 * least[want])), rel=1e-4)
+
+
 def test_vector_in_pieces(monkeypatch):
     text = "abcdé " * 50
     whole = langid.vector(text, 512)
