@@ -13,8 +13,9 @@ hits of an item a Smith-Waterman alignment of words (match 2, mismatch and gap
 reaches ``min_score``, or if the alignment is worth ``min_words`` matching words
 (a part of a long item).
 
-The benchmark is taken in blocks of about ``block_items`` items, each against all
-documents, so what a worker holds is bounded however long the benchmark is.
+The benchmark is taken in blocks of about ``block_items`` items and ``block_bytes``
+bytes, each against all documents, so what a worker holds is bounded however long
+the benchmark and its items are (an item longer than that is held whole).
 
 Cases: null and empty texts on either side have no seeds and give no pair; items
 of fewer than three words give none; repeated rows on either side give repeated
@@ -76,11 +77,15 @@ class Items:
             rare = odds <= np.log(chance)
             rare[np.argsort(odds, kind="stable")[:least]] = True
             at = np.flatnonzero(rare)
-            keys.append((w[at] * size + w[at + 1]) * size + w[at + 2])
+            keys.append(np.stack([w[at] * size + w[at + 1], w[at + 2]]))
             items.append(np.full(len(at), k))
             places.append(at)
         empty = np.zeros(0, np.int64)
-        keys, items, places = (np.concatenate(x) if x else empty for x in (keys, items, places))
+        two, last = np.concatenate(keys, axis=1) if keys else (empty, empty)
+        items, places = (np.concatenate(x) if x else empty for x in (items, places))
+        # First two words by their number among the seeds': a key is below seeds * size, whatever the words of a block.
+        self.pairs, pair = np.unique(two, return_inverse=True)
+        keys = pair * size + last
         order = np.argsort(keys, kind="stable")
         self.keys, self.items, self.places = keys[order], items[order], places[order]
 
@@ -94,7 +99,11 @@ class Items:
         if len(ids) < 3 or not len(self.keys):
             return none, none
         at = np.flatnonzero((ids[:-2] >= 0) & (ids[1:-1] >= 0) & (ids[2:] >= 0))
-        key = (ids[at] * size + ids[at + 1]) * size + ids[at + 2]
+        two = ids[at] * size + ids[at + 1]
+        pair = np.minimum(np.searchsorted(self.pairs, two), len(self.pairs) - 1)
+        same = self.pairs[pair] == two
+        at, pair = at[same], pair[same]
+        key = pair * size + ids[at + 2]
         a, b = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
         n = b - a
         rows = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -142,10 +151,11 @@ def _frequency(docs: DataFrame, items: Items) -> np.ndarray:
     return counts[1:] / max(counts.sum(), 1)
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, chance: float, least: int, block_items: int) -> Iterator:
+def _blocks(docs: DataFrame, benchmark: DataFrame, chance: float, least: int, block_items: int, block_bytes: int) -> Iterator:
     """Broadcast items of each block of the benchmark, with their seeds."""
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
-    blocks = max(1, -(-tests.count() // block_items))
+    size = tests.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size.n // block_items), -(-size.bytes // block_bytes))
     for k in range(blocks):
         block = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         items = Items([(r.item_id, r.text) for r in block.collect()])
@@ -161,6 +171,7 @@ def find_leaks(
     min_score: float = 0.4,
     min_words: int = 24,
     block_items: int = 5000,
+    block_bytes: int = 16 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -169,7 +180,7 @@ def find_leaks(
     schema = "doc_id long, item_id long, score double, first_word long, n_words long"
     names = [c.split()[0] for c in schema.split(", ")]
     out = None
-    for held in _blocks(docs, benchmark, chance, least, block_items):
+    for held in _blocks(docs, benchmark, chance, least, block_items, block_bytes):
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             own = held.value
@@ -190,6 +201,7 @@ def without_leaks(
     min_score: float = 0.4,
     min_words: int = 24,
     block_items: int = 5000,
+    block_bytes: int = 16 << 20,
 ) -> DataFrame:
     """The rows of df in which no test item is found."""
 
@@ -201,6 +213,6 @@ def without_leaks(
 
         return run("text")
 
-    for held in list(_blocks(df.select("text"), benchmark, chance, least, block_items)):
+    for held in list(_blocks(df.select("text"), benchmark, chance, least, block_items, block_bytes)):
         df = df.where(~leaking(held))
     return df

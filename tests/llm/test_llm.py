@@ -383,6 +383,42 @@ def test_leaks(spark, empty):
     assert decontam.find_leaks(df, bench.limit(0)).count() == 0 and decontam.find_leaks(empty, bench).count() == 0
 
 
+def test_leaks_of_repeated_and_long_items(spark):
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(6000))
+    short = "alpha7 beta8 gamma9 delta1 epsilon2 zeta3"
+    docs = spark.createDataFrame([(1, f"so {short} it"), (2, long), (2, long), (3, " ".join(long.split()[3000:3040])), (4, "none of it")], "doc_id long, text string")
+    docs = docs.withColumns({"item_id": F.lit(5), "score": F.lit("s"), "whole": F.lit(None)})
+    bench = spark.createDataFrame([(1, short), (1, short), (2, long)], "item_id long, text string")
+    for size in (16 << 20, 20_000):
+        got = collections.Counter((r.doc_id, r.item_id, r.first_word, r.n_words) for r in decontam.find_leaks(docs, bench, block_bytes=size).collect())
+        assert got == {(1, 1, 1, 6): 2, (2, 2, 0, 6000): 2, (3, 2, 0, 40): 1}
+        assert [r.doc_id for r in decontam.without_leaks(docs, bench, block_bytes=size).collect()] == [4]
+
+
+def test_seed_keys_of_many_words():
+    """Hits equal those of plain comparison where words' numbers are too large for one product of three."""
+
+    class Many(dict):
+        def __len__(self):
+            return 2**22
+
+    rng = np.random.default_rng(5)
+    items = decontam.Items([(i, " ".join(f"t{v}" for v in rng.integers(0, 12, 9))) for i in range(20)])
+    items.vocabulary = Many({w: i for w, i in items.vocabulary.items()})
+    items.choose(np.full(2**22, 1e-6), 1e-8, 4)
+    shift = 2**22 - 20
+    large = decontam.Items([(i, "") for i in range(20)])
+    large.words, large.vocabulary = [w + shift for w in items.words], items.vocabulary
+
+    large.choose(np.full(2**22, 1e-6), 1e-8, 4)
+    text = rng.integers(0, 12, 400)
+    for one, low in ((items, 0), (large, shift)):
+        k, begins = one.hits(text + low)
+        plain = sorted((j, at - p) for j, w in enumerate(items.words) for p in range(7) for at in range(398) if (text[at : at + 3] == w[p : p + 3]).all())
+        assert sorted(zip(k.tolist(), begins.tolist())) == plain and len(plain) > 10
+
+
 # WARC
 
 
