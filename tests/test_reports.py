@@ -136,3 +136,11 @@ def test_tei_odd_documents():
 def test_lists_have_no_empty_word():
     assert all(w for text in itertools.chain(LISTS, L.CLAIMS.values(), L.ROLES.values()) for w in L.words(text))
     assert not pd.Series(L.words(L.HEDGING)).duplicated().any()
+
+
+def test_common_features_reads_every_score(spark):
+    from scriptorium.plans.reports import common_features
+
+    path = "/root/testdata/sf0.001"
+    models = spark.read.parquet(f"{path}/events.parquet").select("event_type").distinct().count()
+    assert {tuple(r) for r in common_features(spark, path).collect()} == {(k, models) for k in range(3)}
