@@ -16,64 +16,76 @@ COMMON, SALTS = 10_000, 16
 def rare_first(df: DataFrame, key: str, norm: str, counts: DataFrame) -> DataFrame:
     """(key, tokens): the distinct tokens of a title as (n, t), the rarest by ``counts`` (t, n) first; titles without any go."""
     at = df.select(key, F.explode(F.array_distinct(F.split(norm, " "))).alias("t")).where("t <> ''")
-    return at.join(counts, "t").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("tokens"))
+    return at.join(counts.hint("merge"), "t").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("tokens"))
 
 
 def title_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """paper_id, work_id, score of titles (paper_id, year, norm) and (work_id, wyear, wnorm) within a year of one another
-    whose token sets overlap by ``least`` or more.
+    whose token sets overlap by ``least`` or more; an id once on each side.
 
-    Tokens are ordered by how many titles hold them, rarest first; a pair that overlaps that much must share one of the
-    first few of each side. A shared token counts only if the titles' lengths, and what is left behind it on both sides,
-    still allow the overlap. Tokens of COMMON titles or more, which lead only titles of common words, are dealt over SALTS."""
+    Tokens are ordered by how many titles hold them, rarest first. Two sizes of titles say how many tokens a pair must share,
+    so how many of the first of each side hold the rarest shared one: titles meet by token, year and both sizes, and a pair
+    counts at its rarest shared token alone. Tokens of COMMON titles or more, which lead only titles of common words, are
+    dealt over SALTS. Nothing is broadcast: compressed tables of short rows are far larger in memory than on disk."""
     left, right = left.where("norm <> ''"), right.where("wnorm <> ''")
     words = left.select(F.explode(F.array_distinct(F.split("norm", " "))).alias("t")).unionByName(right.select(F.explode(F.array_distinct(F.split("wnorm", " "))).alias("t")))
     counts = written(words.groupBy("t").agg(F.count(F.lit(1)).alias("n")), "tokens")
 
-    def prefix(df: DataFrame, key: str, norm: str, year: str, tokens: str, at: str) -> DataFrame:
-        df = rare_first(df, key, norm, counts).join(df.select(key, F.col(year).alias("y")), key)
-        size = F.size("tokens")
-        head = F.slice("tokens", F.lit(1), (size - F.ceil(size * least - 1e-9) + 1).cast("int"))
-        df = df.select(key, "y", F.transform("tokens", lambda x: x.t).alias(tokens), F.posexplode(head).alias(at, "x"))
-        return df.select(key, "y", tokens, at, "x.t", "x.n")
-
-    a = prefix(left, "paper_id", "norm", "year", "a", "i").withColumn("y", F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)))
-    b = prefix(right, "work_id", "wnorm", "wyear", "b", "k").drop("n")
+    def prefix(df: DataFrame, key: str, norm: str, year: str, tokens: str, own: str, other: str) -> DataFrame:
+        """A row for each size of a partner and each token that may be the rarest shared one with it."""
+        df = rare_first(df, key, norm, counts).join(df.select(key, F.col(year).alias("y")).hint("merge"), key)
+        df = df.select(key, "y", "tokens", F.size("tokens").alias(own))
+        sizes = F.sequence(F.ceil(F.col(own) * least - 1e-9).cast("int"), F.floor(F.col(own) / least + 1e-9).cast("int"))
+        df = df.select("*", F.explode(sizes).alias(other))
+        shared = F.greatest(F.ceil((F.col(own) + F.col(other)) * (least / (1 + least)) - 1e-9), F.lit(1))
+        head = F.slice("tokens", F.lit(1), F.greatest(F.col(own) - shared + 1, F.lit(0)).cast("int"))
+        return df.select(key, "y", own, other, F.transform("tokens", lambda x: x.t).alias(tokens), F.explode(head).alias("x")).select("*", "x.t", "x.n").drop("x")
+
+    a = prefix(left, "paper_id", "norm", "year", "a", "na", "nb").withColumn("y", F.explode(F.array(F.col("y") - 1, F.col("y"), F.col("y") + 1)))
+    b = prefix(right, "work_id", "wnorm", "wyear", "b", "nb", "na")
     common = F.lit(SALTS - 1)
     a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") >= COMMON, common).otherwise(0)))).drop("n")
-    b = b.join(counts, "t").withColumn("salt", F.when(F.col("n") >= COMMON, F.pmod(F.xxhash64("work_id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("n")
-    pairs = a.join(b, ["t", "y", "salt"])
-    na, nb = F.size("a"), F.size("b")
-    need = (na + nb) * (least / (1 + least)) - 1e-9  # an overlap of ``least`` is so many shared tokens
-    pairs = pairs.where((F.least(na, nb) >= least * F.greatest(na, nb) - 1e-9) & (F.least(na - F.col("i"), nb - F.col("k")) >= need))
-    pairs = pairs.dropDuplicates(["paper_id", "work_id"])
-    return pairs.select("paper_id", "work_id", jaccard(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= least)
+    b = b.withColumn("salt", F.when(F.col("n") >= COMMON, F.pmod(F.xxhash64("work_id"), F.lit(SALTS))).otherwise(0).cast("int")).drop("n")
+    pairs = a.join(b.hint("merge"), ["t", "y", "na", "nb", "salt"])
+    both = F.array_intersect("a", "b")  # in the order of a
+    return pairs.where(F.col("t") == F.get(both, F.lit(0))).select("paper_id", "work_id", jaccard(F.col("a"), F.col("b")).alias("score")).where(F.col("score") >= least)
 
 
 def pick_match(papers: DataFrame, works: DataFrame, least: float = 0.9, lead: float = 0.05) -> DataFrame:
-    """paper_id, work_id, match_method of (paper_id, year, norm) against (work_id, wyear, wnorm, cites).
+    """paper_id, work_id, match_method of (paper_id, year, norm) against (work_id, wyear, wnorm, cites); an id once on each side.
 
     Candidates lie within a year. Equal titles win by year distance, then
     citations; if the best two tie, nothing is taken. Otherwise the best token
     overlap must reach ``least`` and lead the next by ``lead``; see title_pairs
-    for how pairs of strangers are avoided.
+    for how pairs of strangers are avoided. Works of one title and year are
+    counted before they meet papers, and papers of one title and year, or of
+    one token set and year, are matched once, so copies make no pairs.
     """
-    at = papers.withColumn("y", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)))
-    same = at.join(works, (F.col("norm") == F.col("wnorm")) & (F.col("y") == F.col("wyear")) & (F.col("norm") != ""))
-    gap, cites = F.abs(F.col("wyear") - F.col("year")), -F.coalesce("cites", F.lit(0))
-    order = Window.partitionBy("paper_id").orderBy("gap", "less", "work_id")
-    same = same.withColumns({"gap": gap, "less": cites})
-    tied = (F.lead("gap").over(order) == F.col("gap")) & (F.lead("less").over(order) == F.col("less"))
-    same = same.withColumns({"rn": F.row_number().over(order), "tied": F.coalesce(tied, F.lit(False))}).where("rn = 1")
-    exact = same.select("paper_id", F.when(~F.col("tied"), F.col("work_id")).alias("work_id"), F.when(F.col("tied"), "ambiguous").otherwise("exact").alias("match_method"))
-
-    pairs = title_pairs(papers.join(exact.select("paper_id"), "paper_id", "left_anti"), works, least)
+    by = works.where("wnorm <> ''").groupBy(F.col("wnorm").alias("norm"), "wyear", (-F.coalesce("cites", F.lit(0))).alias("less")).agg(F.min("work_id").alias("work_id"), F.count(F.lit(1)).alias("n"))
+    by = by.groupBy("norm", "wyear").agg(F.min(F.struct("less", "work_id", "n")).alias("w"))
+    titles = written(papers.where("norm <> ''").groupBy("norm", "year").agg(F.min("paper_id").alias("paper_id")), "titles")
+    at = titles.withColumn("wyear", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)))
+    same = at.join(by.hint("merge"), ["norm", "wyear"]).select("norm", "year", F.abs(F.col("wyear") - F.col("year")).alias("gap"), "w.*")
+    same = same.groupBy("norm", "year", "gap", "less").agg(F.min("work_id").alias("work_id"), F.sum("n").alias("n"))
+    same = same.groupBy("norm", "year").agg(F.min(F.struct("gap", "less", "work_id", "n")).alias("w"))
+    tied = F.col("w.n") > 1
+    exact = written(same.select("norm", "year", F.when(~tied, F.col("w.work_id")).alias("work_id"), F.when(tied, "ambiguous").otherwise("exact").alias("match_method")), "exact")
+
+    words = lambda c: F.concat_ws(" ", F.array_sort(F.array_distinct(F.filter(F.split(c, " "), lambda t: t != ""))))
+    rest = titles.join(exact.select("norm", "year").hint("merge"), ["norm", "year"], "left_anti").withColumn("words", words("norm"))
+    sets = written(rest.where("words <> ''").groupBy("words", "year").agg(F.min("paper_id").alias("paper_id")), "token-sets")
+    others = works.select(words("wnorm").alias("wnorm"), "wyear", "work_id").where("wnorm <> ''").groupBy("wnorm", "wyear").agg(F.min("work_id").alias("work_id"), F.count(F.lit(1)).alias("n"))
+    others = written(others, "works")
+    pairs = title_pairs(sets.withColumnRenamed("words", "norm"), others, least).join(others.select("work_id", "n").hint("merge"), "work_id")
     order = Window.partitionBy("paper_id").orderBy(F.desc("score"), "work_id")
-    best = pairs.withColumns({"rn": F.row_number().over(order), "next": F.lead("score").over(order)}).where("rn = 1")
+    after = F.when(F.col("n") > 1, F.col("score")).otherwise(F.lead("score").over(order))
+    best = pairs.withColumns({"rn": F.row_number().over(order), "next": after}).where("rn = 1")
     clear = F.col("next").isNull() | (F.col("score") - F.col("next") >= lead - 1e-12)
     fuzzy = best.select("paper_id", F.when(clear, F.col("work_id")).alias("work_id"), F.when(clear, "fuzzy").otherwise("ambiguous").alias("match_method"))
-    out = papers.select("paper_id").join(exact.unionByName(fuzzy), "paper_id", "left")
-    return out.withColumn("match_method", F.coalesce("match_method", F.lit("none")))
+    fuzzy = sets.join(fuzzy.hint("merge"), "paper_id").drop("paper_id")
+    fuzzy = rest.join(fuzzy.hint("merge"), ["words", "year"]).select("norm", "year", "work_id", "match_method")
+    out = papers.select("paper_id", "norm", "year").join(exact.unionByName(fuzzy).hint("merge"), ["norm", "year"], "left")
+    return out.select("paper_id", "work_id", F.coalesce("match_method", F.lit("none")).alias("match_method"))
 
 
 def with_fallback(matched: DataFrame, by_doi: DataFrame) -> DataFrame:

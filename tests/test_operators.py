@@ -83,6 +83,39 @@ def test_match(spark):
     assert got == {1: (11, "exact"), 2: (None, "ambiguous"), 3: (14, "fuzzy"), 4: (None, "none")}
 
 
+def test_copies_are_matched_once(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(22)]
+    kinds = [" ".join(words), " ".join(words[::-1]), " ".join(words[1:]), " ".join(words[2:]), "the of", "of the", "the of the", "a b", ""]
+    left = [(i, rng.choice([2000, 2001, 2003, None]), rng.choice(kinds)) for i in range(80)]
+    few = [(i, 2000 + i, kinds[i % 4]) for i in range(4)]
+    works = [(i, rng.choice([2000, 2001, 2003, 2005]), rng.choice(kinds[:-2]), rng.randint(0, 1)) for i in range(60)]
+    seen, title_pairs = [], M.title_pairs
+
+    def counted(a, b, least):
+        seen.append((a.count(), b.count()))
+        return title_pairs(a, b, least)
+
+    monkeypatch.setattr(M, "title_pairs", counted)
+    for right in (works, [(*w, None) for w in few], [(*w[:2], w[2] + " x", 1) for w in works[:9]]):
+        want = {}
+        for p, y, a in left:
+            near = [w for w in right if y and abs(w[1] - y) <= 1]
+            same = sorted((abs(w[1] - y), -(w[3] or 0), w[0]) for w in near if a and w[2] == a)
+            share = lambda b: len({*a.split()} & {*b.split()}) / max(len({*a.split()} | {*b.split()}), 1)
+            like = sorted((-share(w[2]), w[0]) for w in near if share(w[2]) >= 0.9)
+            if same:
+                want[p] = (None, "ambiguous") if len(same) > 1 and same[0][:2] == same[1][:2] else (same[0][2], "exact")
+            elif like:
+                want[p] = (like[0][1], "fuzzy") if len(like) < 2 or like[1][0] - like[0][0] >= 0.05 - 1e-12 else (None, "ambiguous")
+            else:
+                want[p] = (None, "none")
+        one = spark.createDataFrame(left, "paper_id int, year int, norm string")
+        two = spark.createDataFrame(right, "work_id int, wyear int, wnorm string, cites int")
+        assert {r.paper_id: (r.work_id, r.match_method) for r in M.pick_match(one, two).collect()} == want
+    assert all(a <= 18 and b <= 24 for a, b in seen)
+
+
 @pytest.mark.parametrize("common", [10_000, 2])
 def test_title_pairs(spark, monkeypatch, common):
     monkeypatch.setattr(M, "COMMON", common)
