@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptorium.functions import lexicons as L
-from scriptorium.functions.text import U, _each, tokens
+from scriptorium.functions.text import U, _each, let, tokens
 
 _TAG = r"(?i)</?(?:sub|sup|super|i|b|exp|fraction)>"
 
@@ -28,21 +28,25 @@ def capitals(w: Column) -> Column:
 
 def is_acronym(w: Column) -> Column:
     rest = F.length(F.regexp_replace(w, r"[^\p{Ll}\p{Nd}]", ""))
-    return (capitals(w) >= rest) & (capitals(w) >= 2)
+    return w.rlike(r"(?s)\p{Lu}.*\p{Lu}") & (capitals(w) >= rest)
 
 
 def is_all_caps(w: Column) -> Column:
     return w.rlike("^[A-Z]{2,}$")
 
 
-def _masked(phrases: str, colon: bool) -> list[tuple[str, str]]:
+def _masked(c: Column, phrases: str, colon: bool) -> Column:
+    """c with a mark for each phrase, one phrase after the other; a text in which none stands is searched once."""
     tail, new = (r":?\s*", "DUMMYDUMMY ") if colon else ("", "DUMMYDUMMY")
-    order = sorted(L.words(phrases), key=len, reverse=True)
-    return [(U + r"(?i)\b" + re.escape(p) + r"\b" + tail, new) for p in order]
+    order = [re.escape(p) for p in sorted(L.words(phrases), key=len, reverse=True)]
+    # The word's start is looked at only where the phrase stands.
+    steps = [(rf"{U}(?i){p}(?<=\b{p})\b{tail}", new) for p in order]
+    return let(c, lambda x: F.when(x.rlike(U + "(?i)" + L.branched(phrases)), _each(x, *steps)).otherwise(x))
 
 
 def _words(c: Column, abstract: bool) -> Column:
-    steps = [(_TAG, " "), *_masked(L.BOGUS_ABSTRACT if abstract else L.BOGUS_TITLE, abstract)]
+    c = _masked(F.regexp_replace(c, _TAG, " "), L.BOGUS_ABSTRACT if abstract else L.BOGUS_TITLE, abstract)
+    steps = []
     if abstract:
         steps.append((U + r"-\d+\.\d+| \d+\.\d+| \d+|-\d+", " number "))
     steps.append((r"(?<=[A-Za-z])\.(?=[A-Z])", ""))
@@ -65,8 +69,11 @@ def _codes(words: Column) -> Column:
 
 
 def _excluded(words: Column, abstract: bool) -> Column:
+    return let(_codes(words), lambda codes: _excluded_by(words, codes, abstract))
+
+
+def _excluded_by(words: Column, codes: Column, abstract: bool) -> Column:
     n = F.size(words)
-    codes = _codes(words)
     caps = F.length(F.replace(codes, F.lit("x"), F.lit("")))
     long = F.size(F.filter(words, lambda w: F.length(w) > 1))
     share = F.try_divide(caps * 1.0, long)
@@ -81,7 +88,7 @@ def _excluded(words: Column, abstract: bool) -> Column:
 
 def _dummies(words: Column, abstract: bool) -> Column:
     roman = L.ROMAN + [r + s for r in L.ROMAN_SUFFIXED for s in ("th", *"abcde")]
-    fixed = F.array(*map(F.lit, ["DUMMYDUMMY", *roman, *L.CHROMOSOMES]))
+    fixed = ["DUMMYDUMMY", *roman, *L.CHROMOSOMES]
 
     def one(w: Column, i: Column) -> Column:
         big = lambda k: is_all_caps(F.get(words, F.lit(k))) & (F.length(F.get(words, F.lit(k))) > 6)
@@ -89,15 +96,15 @@ def _dummies(words: Column, abstract: bool) -> Column:
         if not abstract:
             both = is_all_caps(F.get(words, F.lit(0))) & is_all_caps(F.get(words, F.lit(1))) & (big(0) | big(1))
             opening = opening | ((i <= 1) & F.coalesce(both, F.lit(False)))
-        return F.when(opening | F.array_contains(fixed, w) | w.rlike("^[ATCGUp]{6,}$"), "dummy").otherwise(w)
+        return F.when(opening | w.isin(fixed) | w.rlike("^[ATCGUp]{6,}$"), "dummy").otherwise(w)
 
     return F.transform(words, one)
 
 
 def masked_words(c: Column, abstract: bool) -> Column:
     """Words with masked ones as ``dummy``; empty if the text is left out."""
-    words = _words(F.coalesce(c, F.lit("")), abstract)
-    return F.when(_excluded(words, abstract), F.array().cast("array<string>")).otherwise(_dummies(words, abstract))
+    none = F.array().cast("array<string>")
+    return let(_words(F.coalesce(c, F.lit("")), abstract), lambda w: F.when(_excluded(w, abstract), none).otherwise(_dummies(w, abstract)))
 
 
 def acronyms(words: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import lexicons as L
 from scriptorium.functions.acronyms import is_acronym
-from scriptorium.functions.text import U, count
+from scriptorium.functions.text import U, count, let
 
 ROLE_CODES = dict(zip(L.ROLES, "SGCEI"))
 
@@ -29,9 +29,12 @@ def claim_counts(c: Column) -> dict[str, Column]:
 
 def claim_strength(counts: dict[str, Column]) -> Column:
     """The class with most cues; ``hedged`` if none has, or several have as many."""
-    best = F.greatest(*counts.values())
-    winners = F.array_compact(F.array(*[F.when((n == best) & (best > 0), F.lit(k)) for k, n in counts.items()]))
-    return F.when(F.size(winners) == 1, F.get(winners, F.lit(0))).otherwise("hedged")
+    def strength(n: Column) -> Column:
+        best = F.array_max(n)
+        winners = F.array_compact(F.array(*[F.when((F.get(n, F.lit(i)) == best) & (best > 0), F.lit(k)) for i, k in enumerate(counts)]))
+        return F.when(F.size(winners) == 1, F.get(winners, F.lit(0))).otherwise("hedged")
+
+    return let(F.array(*counts.values()), strength)
 
 
 def claim_ordinal(c: Column) -> Column:

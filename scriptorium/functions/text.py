@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ def _each(c: Column, *steps: tuple[str, str]) -> Column:
     return c
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of c, which is made once for each row, however often ``body`` names it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def count(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("long")
 
@@ -113,26 +119,37 @@ def per_100(n: Column, words: Column) -> Column:
 
 
 def looks_like_prose(sentence: Column) -> Column:
-    w = tokens(sentence)
-    lower = F.size(F.filter(w, lambda x: x.rlike(r"^\p{Ll}")))
-    return (F.size(w) >= 6) & (lower * 2 > F.size(w))
+    lower = lambda w: F.size(F.filter(w, lambda x: x.rlike(r"^\p{Ll}")))
+    return let(tokens(sentence), lambda w: (F.size(w) >= 6) & (lower(w) * 2 > F.size(w)))
 
 
 def clean_ocr(c: Column, year: Column, cap: int = 350) -> Column:
     """Scanner debris dropped; before 2008 also page headers, and text beyond ``cap`` words at a sentence end."""
     text = squeeze(_each(c, (r"\(cid:\d+\)", " "), (U + r"(?i)^\s*ABSTRACT[:.\s]+", "")))
-    numbered = text.rlike(r"^\d{1,4}\s+(?=[A-Z])")
+    return let(text, lambda t: F.when(year < 2008, let(_from_prose(t), lambda body: _capped(body, cap))).otherwise(t))
+
+
+def _from_prose(text: Column) -> Column:
+    """The text; one that begins with a page number from its first sentence of prose."""
     parts = F.split(F.regexp_replace(text, r"^\d{1,4}\s+(?=[A-Z])", ""), r"(?<=[.!?])\s+")
-    first = F.coalesce(F.array_position(F.transform(parts, looks_like_prose), True), F.lit(0))
-    start = F.greatest(first, F.lit(1)).cast("int")
-    body = F.when(numbered, F.array_join(F.slice(parts, start, F.greatest(F.size(parts) - start + 1, F.lit(0))), " ")).otherwise(text)
-    w = tokens(body)
-    head = F.array_join(F.slice(w, 1, cap), " ")
-    at = F.when(head.endswith("."), F.length(head)).otherwise(F.length(head) + 1 - F.instr(F.reverse(head), " ."))
-    found = head.endswith(".") | (F.instr(head, ". ") > 0)
-    at = F.when(head.endswith("."), F.length(head)).otherwise(at - 1)
-    cut = F.when(found & (at - 1 > 100), F.substring(head, F.lit(1), at.cast("int"))).otherwise(head)
-    return F.when((year < 2008) & (F.size(w) > cap), cut).when(year < 2008, body).otherwise(text)
+
+    def rest(parts: Column) -> Column:
+        first = F.coalesce(F.array_position(F.transform(parts, looks_like_prose), True), F.lit(0))
+        start = F.greatest(first, F.lit(1)).cast("int")
+        return let(start, lambda k: F.array_join(F.slice(parts, k, F.greatest(F.size(parts) - k + 1, F.lit(0))), " "))
+
+    return F.when(text.rlike(r"^\d{1,4}\s+(?=[A-Z])"), let(parts, rest)).otherwise(text)
+
+
+def _capped(body: Column, cap: int) -> Column:
+    """A text of more than ``cap`` words up to there, or to the last sentence end before, if that leaves over 100 signs."""
+
+    def cut(head: Column) -> Column:
+        at = F.when(head.endswith("."), F.length(head)).otherwise(F.length(head) - F.instr(F.reverse(head), " ."))
+        found = head.endswith(".") | (F.instr(head, ". ") > 0)
+        return let(at, lambda n: F.when(found & (n - 1 > 100), F.substring(head, F.lit(1), n.cast("int"))).otherwise(head))
+
+    return let(tokens(body), lambda w: F.when(F.size(w) > cap, let(F.array_join(F.slice(w, 1, cap), " "), cut)).otherwise(body))
 
 
 def best_abstract(abstract: Column, full_text: Column, year: Column) -> Column:

@@ -118,3 +118,28 @@ def test_tags(spark):
     tags = F.array(*map(F.lit, ["NOUN", "NOUN", "NOUN", "NOUN", "VERB", "NUM"]))
     got = spark.range(1).select(*[c.alias(k) for k, c in J.noun_chains(tags).items()], J.tree_depth(F.array(F.lit(1), F.lit(1), F.lit(0))).alias("d")).first()
     assert tuple(got) == (1, 4, 1, 1, 2)
+
+
+def planned(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cleaned_ocr_is_made_once(spark):
+    assert planned(spark.createDataFrame([("x", 1)], "t string, y int").select(T.clean_ocr(F.col("t"), F.col("y")).alias("x"))).count("cid") == 1
+    cases = [("12 TITLE OF IT. Now this is a sentence of prose here. " + "Word and word again here now. " * 80, y) for y in (2000, 2010, None)] + [(None, 2000), ("", 2000)]
+    got = [r[0] for r in spark.createDataFrame(cases, "t string, y int").select(T.clean_ocr(F.col("t"), F.col("y"))).collect()]
+    assert got[0].startswith("Now this") and got[0].endswith("now.") and len(got[0].split()) <= 350 and got[1] == got[2] == cases[1][0].strip() and got[3:] == [None, ""]
+
+
+def test_masked_words_are_made_once(spark):
+    df = spark.createDataFrame([("the BACKGROUND: of a (DNA) model here", 1)], "t string, y int")
+    assert planned(df.select(A.masked_words(F.col("t"), True).alias("x"))).count("MicroRNA") == 1
+    assert df.select(A.masked_words(F.col("t"), True)).first()[0] == ["the", "dummy", "of", "a", "DNA", "model", "here"]
+
+
+def test_claim_counts_are_made_once(spark):
+    from scriptorium.functions import rubric as B
+
+    df = spark.createDataFrame([("we prove that it may hold; a theorem", 1)], "t string, y int")
+    at = df.select(B.claim_strength(B.claim_counts(F.col("t"))).alias("s"))
+    assert planned(at).count("theorem") == 1 and at.first().s == "guarantee"
