@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from scriptorium.functions.text import section_name, squeeze
 
@@ -22,6 +25,8 @@ HEADINGS = (
 )
 CAPTION = r"(?i)^(?:fig(?:ure)?|table)\.?\s*\d+"
 URL = r"https?://[^\s)\]}>\"']+"
+#: Documents that a worker holds parsed at one time.
+SOME = 64
 DOC = "sections array<struct<heading:string,text:string>>, figure_captions array<string>, urls array<string>"
 
 
@@ -106,15 +111,18 @@ def parse_tei(xml: bytes | str | None) -> dict | None:
 
 def read_tei(df: DataFrame, key: str, xml: str) -> DataFrame:
     """key and the parsed document; its columns are null where parsing failed."""
-    kind = dict(df.dtypes)[key]
-
-    def run(batches):
-        for x in batches:
-            got = [parse_tei(v) or {} for v in x[xml]]
-            cols = {c: [g.get(c) for g in got] for c in ("sections", "figure_captions", "urls")}
-            yield pd.DataFrame({key: x[key], **cols})
-
-    return df.select(key, xml).mapInPandas(run, f"{key} {kind}, {DOC}")
+    schema = StructType([df.schema[key], *StructType.fromDDL(DOC).fields])
+    types = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), SOME):
+                some = batch.slice(at, SOME)
+                got = [parse_tei(v) or {} for v in some.column(1).to_pylist()]
+                cols = [pa.array([g.get(f.name) for g in got], f.type) for f in list(types)[1:]]
+                yield pa.RecordBatch.from_arrays([some.column(0), *cols], names=types.names)
+
+    return df.select(key, xml).mapInArrow(run, schema)
 
 
 def is_heading(text: Column, size: Column, body: Column) -> Column:

@@ -144,3 +144,14 @@ def test_common_features_reads_every_score(spark):
     path = "/root/testdata/sf0.001"
     models = spark.read.parquet(f"{path}/events.parquet").select("event_type").distinct().count()
     assert {tuple(r) for r in common_features(spark, path).collect()} == {(k, models) for k in range(3)}
+
+
+def test_tei_is_parsed_some_at_a_time(spark):
+    xml = lambda i: f"<TEI xmlns='http://www.tei-c.org/ns/1.0'><text><body><div><head>H{i}</head><p>p {i}</p></div></body></text></TEI>"
+    rows = [(i, None if i % 7 == 0 else xml(i) if i % 5 else "<TEI") for i in range(3 * fulltext.SOME + 1)]
+    at = fulltext.read_tei(spark.createDataFrame(rows, "k long, x string").coalesce(1), "k", "x")
+    assert "MapInArrow" in at._jdf.queryExecution().optimizedPlan().toString()
+    for r in at.collect():
+        want = fulltext.parse_tei(rows[r.k][1]) or {}
+        assert (r.sections and [s.asDict() for s in r.sections], r.figure_captions, r.urls) == tuple(want.get(c) for c in ("sections", "figure_captions", "urls"))
+    assert at.count() == len(rows)
