@@ -5,21 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A list of at most so many words, of LONGEST letters each, is sent to all workers: 20 MB of letters at most.
+from scriptorium.sources.scratch import written
+
+#: A list of at most so many words, of LONGEST letters each, is sent to all workers: 20 MB of letters at most. Of tokens that
+#: are held against a longer list, at most so many of the most frequent words are.
 SMALL, LONGEST = 200_000, 100
-SALTS = 16
+#: Words are taken as frequent by steps of this share of a doubling of their counts.
+STEP = 0.25
 
 
 def _parts(word: Column) -> Column:
     return F.filter(F.split(F.lower(word), "-"), lambda p: p != "")
 
 
+def _by_frequency(at: DataFrame, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the tokens' words: (word, listed) of the most frequent ones, at most SMALL; (word) of all others that are listed."""
+    n = at.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    n = n.join(words.withColumn("listed", F.lit(True)), "word", "left")
+    n = n.select("word", F.coalesce("listed", F.lit(False)).alias("listed"), F.floor(F.log2("n") / STEP).alias("step"))
+    n = written(n.withColumn("step", F.when(F.length("word") <= LONGEST, F.col("step")).otherwise(-1)), "token-words")
+    held, least = 0, None
+    for step, k in sorted(n.where("step >= 0").groupBy("step").count().collect(), reverse=True):
+        held += k
+        if held > SMALL:
+            break
+        least = step
+    often = F.lit(False) if least is None else F.col("step") >= least
+    return n.where(often).select("word", "listed"), n.where(~often & F.col("listed")).select("word")
+
+
 def count_listed(df: DataFrame, key: str, tokens: Column, words: DataFrame, parts: bool = False, small: int = SMALL) -> DataFrame:
     """(key, n_listed): how many of a row's tokens, repeats included, are in the list (word, in lower case).
 
     With ``parts`` a token is in it if any of its hyphenated parts is. Keys are unique; a key without listed tokens is
-    absent. A list of at most ``small`` words goes to all workers, so only one sum for each key and task is shuffled; a
-    longer one is joined by word, after each key's equal tokens are counted and with each word dealt over SALTS."""
+    absent. A list of at most ``small`` words goes to all workers, so only one sum for each key and task is shuffled. Of a
+    longer one, what it says of the tokens' most frequent words does; only the other tokens are joined by word, and as
+    those are rare words, no word has many."""
     words = words.select("word").where(F.col("word").isNotNull() & (F.length("word") <= LONGEST)).distinct()
     one = F.posexplode(F.transform(tokens, _parts if parts else lambda t: F.array(F.lower(t)))).alias("pos", "parts")
     at = df.select(key, one)
@@ -29,10 +50,13 @@ def count_listed(df: DataFrame, key: str, tokens: Column, words: DataFrame, part
     if words.limit(small + 1).count() <= small:
         got = at.join(F.broadcast(words), "word", "left_semi").groupBy(key, "pos").agg(F.count(F.lit(1)).alias("n"))
     else:
-        at = at.groupBy(key, "pos", "word").agg(F.count(F.lit(1)).alias("n"))
-        at = at.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-        salted = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        got = at.join(salted, ["word", "salt"], "left_semi").groupBy(key, "pos").agg(F.sum("n").alias("n"))
+        frequent, rare = _by_frequency(at, words)
+        # A token of a frequent word is settled here and needs its word no more; that of another is looked up by it.
+        at = at.join(F.broadcast(frequent), "word", "left").where("listed IS NULL OR listed")
+        at = at.withColumn("word", F.when(F.col("listed").isNull(), F.col("word")))
+        at = written(at.groupBy(key, "pos", "word").agg(F.count(F.lit(1)).alias("n")), "settled-tokens")
+        others = at.where("word IS NOT NULL").join(rare, "word", "left_semi").select(key, "pos", "n")
+        got = at.where("word IS NULL").select(key, "pos", "n").unionByName(others).groupBy(key, "pos").agg(F.sum("n").alias("n"))
     return got.groupBy(key).agg(F.sum(F.when(F.col("pos").isNull(), F.col("n")).otherwise(1)).alias("n_listed"))
 
 

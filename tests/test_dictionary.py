@@ -28,3 +28,23 @@ def test_count_listed(spark, small, parts):
     whole = dictionary.with_listed(df, "id", F.col("tokens"), words, {"k": F.size("tokens")}, parts).collect()
     assert {r.id: r.n_listed for r in whole if r.id is not None} == {k: want.get(k, 0) for k, _ in rows if k is not None}
     assert dictionary.count_listed(df.limit(0), "id", F.col("tokens"), words).count() == 0
+
+
+@pytest.mark.parametrize("parts", [False, True])
+def test_only_tokens_of_rare_words_are_shuffled(spark, monkeypatch, parts):
+    rng = random.Random(2)
+    pool = ["the", "Of", "zzz", "well-known", "the-zzz"] * 40 + [f"w{i}" for i in range(200)] + ["w5-w7", "zzz-w9", "y" * 200]
+    rows = [(i, [rng.choice(pool) for _ in range(300)]) for i in range(40)] + [(50, []), (51, None), (52, ["w1"] * 500)]
+    held = {"the", "known", *(f"w{i}" for i in range(0, 200, 3))}
+    words = spark.createDataFrame([(w,) for w in sorted(held)], "word string")
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    tables = {}
+    put = dictionary.written
+    monkeypatch.setattr(dictionary, "written", lambda t, name: tables.setdefault(name, put(t, name)))
+    monkeypatch.setattr(dictionary, "SMALL", 20)
+    got = {r.id: r.n_listed for r in dictionary.count_listed(df, "id", F.col("tokens"), words, parts, 0).collect()}
+    want = {k: sum(any(p in held for p in (t.lower().split("-") if parts else [t.lower()])) for t in tokens or []) for k, tokens in rows}
+    assert got == {k: n for k, n in want.items() if n}
+    left = {r.word: r.n for r in tables["settled-tokens"].where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    assert "y" * 200 in left and 100 < len(left) < 210 and not left.keys() & {"the", "of", "zzz", "w1"}
+    assert sum(left.values()) < sum(len(t or []) for _, t in rows) / 2
