@@ -31,7 +31,6 @@ from __future__ import annotations
 import itertools
 import os
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -82,8 +81,8 @@ class Aligned:
 
     __slots__ = ("listing", "n_a", "n_b", "n_groups", "pairs")
 
-    def __init__(self, listing: list[str], n_a: int, n_b: int, pairs: list[int]):
-        self.listing, self.n_a, self.n_b, self.n_groups, self.pairs = ";".join(listing), n_a, n_b, len(listing), array("q", pairs).tobytes()
+    def __init__(self, listing: str, n_a: int, n_b: int, n_groups: int, pairs: bytes):
+        self.listing, self.n_a, self.n_b, self.n_groups, self.pairs = listing, n_a, n_b, n_groups, pairs
 
 
 class Sizes(dict):
@@ -122,36 +121,47 @@ class Aligner:
         entries = [x.decode("utf-8", "replace") for x in self.bytes_a + self.bytes_b]
         self.cuts = not any(_OVER.search(x) for x in entries)
         self.sizes = Sizes()
+        #: Each id as it stands in a listing: of A within and at the end of its side of a group, then of B.
+        names_a, names_b = map(str, range(len(self.bytes_a))), map(str, range(len(self.bytes_b)))
+        sides = [(x + ",", x + "|") for x in names_a] + [(x + ",", x + ";") for x in names_b]
+        self.signs = np.array(list(itertools.chain.from_iterable(sides)), object)
         self.known: dict[str, Aligned | None] = {}
         self.before: dict[str, Aligned | None] = {}
 
     def _encode(self, pieces: list[str]) -> list[Aligned | None]:
         """Each piece with a space before it; None for one that does not give back its bytes. Several must be parted by cuts."""
         text = " ".join(pieces)
-        ids_a, ids_b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        ids_a, ids_b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
         raw = (" " + text).encode()
         if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
             half = len(pieces) // 2
             return self._encode(pieces[:half]) + self._encode(pieces[half:]) if half else [None]
+        ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         line = labels(self.len_a[ids_a].cumsum(), self.len_b[ids_b].cumsum(), len(raw))
+        spans = _GROUP.findall(line)
+        sizes = np.fromiter(itertools.chain.from_iterable(map(self.sizes.__getitem__, spans)), np.int64, 2 * len(spans))
+        p, q = sizes[0::2], sizes[1::2]
+        end_a, end_b = p.cumsum(), q.cumsum()
+        # The listing: of each group its tokens of A, then those of B.
+        last_a, last_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        last_a[end_a - 1] = last_b[end_b - 1] = 1
+        is_b = np.repeat(np.tile(np.array([False, True]), len(spans)), sizes)
+        codes = np.empty(len(is_b), np.int64)
+        codes[~is_b], codes[is_b] = 2 * ids_a + last_a, 2 * (len(self.bytes_a) + ids_b) + last_b
+        signs = self.signs[codes].tolist()
+        # The links: each token of A as often as its group has tokens of B, with these in turn.
+        times = np.repeat(q, p)
+        past = times.cumsum()
+        turn = np.arange(past[-1]) - np.repeat(past - times, times) + np.repeat(np.repeat(end_b - q, p), times)
+        pairs = (np.repeat(ids_a, times) << 32 | ids_b[turn]).tobytes()
+        # A piece ends with a group.
+        ends = np.fromiter((len(x.encode()) + 1 for x in pieces), np.int64, len(pieces)).cumsum()
+        group = np.searchsorted(np.fromiter(map(len, spans), np.int64, len(spans)).cumsum(), ends) + 1
         out: list[Aligned | None] = []
-        ends = itertools.accumulate(len(p.encode()) + 1 for p in pieces)
-        end, at, i, j, i0, j0 = next(ends), 0, 0, 0, 0, 0
-        listing, pairs = [], []
-        for span in _GROUP.findall(line):
-            p, q = self.sizes[span]
-            if p == q == 1:
-                a, b = ids_a[i], ids_b[j]
-                listing.append(f"{a}|{b}")
-                pairs.append(a << 32 | b)
-            else:
-                some_a, some_b = ids_a[i : i + p], ids_b[j : j + q]
-                listing.append(",".join(map(str, some_a)) + "|" + ",".join(map(str, some_b)))
-                pairs += [x << 32 | y for x in some_a for y in some_b]
-            i, j, at = i + p, j + q, at + len(span)
-            if at == end:
-                out.append(Aligned(listing, i - i0, j - j0, pairs))
-                end, i0, j0, listing, pairs = next(ends, 0), i, j, [], []
+        i0 = j0 = g0 = k0 = 0
+        for i, j, g, k in zip(end_a[group - 1].tolist(), end_b[group - 1].tolist(), group.tolist(), (8 * (p * q).cumsum()[group - 1]).tolist()):
+            out.append(Aligned("".join(signs[i0 + j0 : i + j])[:-1], i - i0, j - j0, g - g0, pairs[k0:k]))
+            i0, j0, g0, k0 = i, j, g, k
         return out
 
     def _learn(self, parts: list[str]) -> dict[str, Aligned | None]:
@@ -164,8 +174,9 @@ class Aligner:
         for p in short & self.before.keys():
             self.known[p] = self.before[p]
         todo = [p for p in new if p not in self.known]
-        joined = [p for p in todo if _WHOLE.fullmatch(p)]
-        alone = [p for p in todo if not _WHOLE.fullmatch(p)]
+        joined, alone = [], []
+        for p in todo:
+            (joined if _WHOLE.fullmatch(p) else alone).append(p)
         got = dict(zip(joined, self._encode(joined))) if joined else {}
         got |= {p: self._encode([p])[0] for p in alone}
         self.known.update((p, v) for p, v in got.items() if len(p) <= SHORT)

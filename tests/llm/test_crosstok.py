@@ -125,3 +125,27 @@ def test_query_digest_and_empty(spark, tmp_path, rows):
     assert got[5].groups_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert got[1000].groups_sha256 == "" and got[1000].n_best == 0
     assert crosstok.link_statistics(crosstok.align(df.limit(0), *PATHS)).count() == 0
+
+
+def test_no_python_call_for_each_group():
+    import sys
+
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefgh-/0123456789") for _ in range(20_000))
+    own, calls = crosstok.Aligner(*PATHS), 0
+
+    def seen(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    own.align(text)  # the sizes of its groups are known then
+    own.known.clear()
+    sys.setprofile(seen)
+    try:
+        got = own.align(text)
+    finally:
+        sys.setprofile(None)
+    want = plain([text])[0]
+    assert [x.listing for x in got] == [";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in want)]
+    assert sorted(crosstok.np.frombuffer(got[0].pairs, crosstok.np.int64)) == sorted(x << 32 | y for a, b in want for x in a for y in b)
+    assert len(want) > 3000 and calls < len(want) / 2
