@@ -21,19 +21,24 @@ def parsed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id and tokens of each sentence of a text."""
     at = df.select(id_col, F.explode(F.split(text_col, r"[.!?]", -1)).alias("sentence"))
     words = F.filter(F.split("sentence", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    at = at.select(id_col, words.alias("words")).where(F.size("words") > 0).select("*", F.size("words").alias("n"))
+    # Behind a generator no expression that uses the words makes them anew.
+    at = at.select(id_col, F.explode(F.array(words)).alias("words"))
+    at = at.where(F.size("words") > 0).select("*", F.size("words").alias("n"))
     at = at.withColumn("b", (3 + F.col("n") % 3).cast("int"))
-    head = lambda k: F.least(k * F.col("b") + 2, F.col("n") - 1)
 
-    def token(w, i):
+    def placed(w, i):
         k = F.floor(i / F.col("b")).cast("int")
-        mine = F.when(i != head(k), head(k)).when(k > 0, head(k - 1)).otherwise(i)
-        size = F.length(w)
-        relation = F.when(mine == i, "ROOT").otherwise(F.get(F.array(*map(F.lit, RELATIONS)), (size * 3 + i) % len(RELATIONS)))
+        own = F.least(k * F.col("b") + 2, F.col("n") - 1)
+        before = F.when(k > 0, F.least((k - 1) * F.col("b") + 2, F.col("n") - 1)).otherwise(i)
+        return F.struct(w.alias("w"), F.when(i != own, own).otherwise(before).cast("int").alias("head"))
+
+    def token(x, i):
+        size = F.length(x.w)
+        relation = F.when(x.head == i, "ROOT").otherwise(F.get(F.array(*map(F.lit, RELATIONS)), (size * 3 + i) % len(RELATIONS)))
         tag = F.get(F.array(*map(F.lit, TAGS)), (size * 5 + i * i) % len(TAGS))
-        return F.struct(mine.cast("int").alias("head"), relation.alias("relation"), tag.alias("tag"), w.alias("lemma"))
+        return F.struct(x.head.alias("head"), relation.alias("relation"), tag.alias("tag"), x.w.alias("lemma"))
 
-    return at.select(id_col, F.transform("words", token).alias("tokens"))
+    return at.select(id_col, F.transform(F.transform("words", placed), token).alias("tokens"))
 
 
 def _listed(values: tuple[str, ...]) -> str:

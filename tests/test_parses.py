@@ -42,3 +42,24 @@ def test_parsed_sentences(spark):
     out = {r.id: r for r in parsed_metrics(df, "id").collect()}
     assert (out[1].sentences, out[1].parse_depth, out[1].ttr, out[1].np_density) == (2, 3.0, 0.5, round(4 / 22 + 1e-9, 6))
     assert set(out) == {1, 2, 5, 6} and parsed_metrics(df.where(F.lit(False)), "id").count() == 0
+
+
+def test_batches_do_not_change_counts(spark, monkeypatch):
+    import random
+
+    from scriptorium.operators import parses
+
+    rng = random.Random(4)
+    rings = [[((i + 1) % n, "conj", "NOUN", "w") for i in range(n)] for n in (2, 5)]
+    some = lambda n: [(rng.choice([None, -1, 99, *range(n)]), rng.choice(["conj", "nsubj", "det", None]), rng.choice(["NOUN", "VERB", None]), rng.choice("aBcİ")) for _ in range(n)]
+    rows = [(i, i, 0, t) for i, t in enumerate([*rings, *[some(rng.randint(0, 12)) for _ in range(60)]])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(map(repr, sentence_counts(df).collect()))
+    plan = sentence_counts(df)._jdf.queryExecution().toString()
+    assert "aggregate(" not in plan and "MapInArrow" in plan
+    monkeypatch.setattr(parses, "SOME", 7)
+    monkeypatch.setattr(parses, "MANY", 20)
+    assert sorted(map(repr, sentence_counts(df).collect())) == want
+    got = {r.sid: r for r in sentence_counts(df).collect()}
+    # A ring has no root: its depth is its size.
+    assert (got[0].depth, got[1].depth) == (2, 5)
