@@ -15,12 +15,21 @@ def _ordered(t: DataType) -> bool:
     return _ordered(t.elementType) if t.typeName() == "array" else not isinstance(t, (MapType, VariantType))
 
 
+#: Files of a task, on average, at most.
+FILES = 32
+
+
 def in_files(df: DataFrame, order: list[str], rows: int) -> DataFrame:
     """Distinct rows of df with _file (from 0) and _copies there: file k holds the rows k * rows to (k + 1) * rows in order.
 
     The order is that of the named columns, then of all others, so only equal rows tie. Those are counted before the shuffle
     and dealt over the files that they reach into; a row's place is the number of rows before it, from counts by range
     partition. Nulls come first; -0.0 is written as 0.0. Maps have no order: ValueError."""
+    return _placed(df, order, rows)[0]
+
+
+def _placed(df: DataFrame, order: list[str], rows: int) -> tuple[DataFrame, DataFrame]:
+    """in_files, and its table of distinct rows with their number, _n."""
     without = [f.name for f in df.schema.fields if not _ordered(f.dataType)]
     if without:
         raise ValueError(f"columns without an order: {', '.join(without)}")
@@ -35,7 +44,7 @@ def in_files(df: DataFrame, order: list[str], rows: int) -> DataFrame:
     at = at.withColumns({"_first": first, "_end": first + F.col("_n")})
     at = at.withColumn("_file", F.explode(F.sequence(F.expr(f"_first div {rows}"), F.expr(f"(_end - 1) div {rows}"))))
     copies = F.least("_end", (F.col("_file") + 1) * rows) - F.greatest("_first", F.col("_file") * rows)
-    return at.select(*df.columns, "_file", copies.alias("_copies"))
+    return at.select(*df.columns, "_file", copies.alias("_copies")), counts
 
 
 def write_stable(df: DataFrame, order: list[str], path: str, rows: int = 1_000_000) -> None:
@@ -43,9 +52,13 @@ def write_stable(df: DataFrame, order: list[str], path: str, rows: int = 1_000_0
 
     The same rows give the same bytes in each folder (the names of Parquet files differ). A file is one task's, sorted with
     spilling; column names that begin with _ and the name ``file`` are taken. An empty table gives no file."""
-    at = in_files(df, order, rows).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    at, counts = _placed(df, order, rows)
+    files = -(-(counts.agg(F.sum("_n")).first()[0] or 0) // rows)
+    tasks = max(1, min(files, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-files // FILES))))
     by = [*order, *[c for c in df.columns if c not in order]]
-    at = at.repartition("_file").sortWithinPartitions("_file", *by)
+    # Distinct rows are dealt, by a number that Spark does not lower for their few bytes, and copied where they are written.
+    at = at.repartition(tasks, "_file").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    at = at.sortWithinPartitions("_file", *by)
     at.select(*df.columns, F.col("_file").alias("file")).write.mode("overwrite").partitionBy("file").parquet(path)
 
 

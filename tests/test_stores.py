@@ -42,6 +42,19 @@ def test_stable_edges(spark, tmp_path):
         stable.in_files(spark.sql("SELECT 1 AS k, map('a', 1) AS m, named_struct('x', array(map('a', 1))) AS s"), ["k"], 10)
 
 
+def test_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    df = spark.range(0, 4000, 1, 3).selectExpr("id % 3 AS k", "'x' AS t")
+    tasks = {}
+    for most in (32, 4):
+        monkeypatch.setattr(stable, "FILES", most)
+        at = str(tmp_path / str(most))
+        stable.write_stable(df, ["k"], at, 100)
+        names = [r.f for r in spark.read.parquet(at).select(F.input_file_name().alias("f")).distinct().collect()]
+        assert len(names) == 40
+        tasks[most] = len({n.rsplit("/", 1)[1].split("-")[1] for n in names})
+    assert tasks[32] > 1 and tasks[4] > 4 and stable.changed_files(*(stable.digests(spark, str(tmp_path / str(m))) for m in tasks)).count() == 0
+
+
 SCHEMA = "year int, paper_id long, text string, at timestamp"
 
 
