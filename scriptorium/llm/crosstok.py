@@ -9,9 +9,10 @@ its labels count how many tokens of each side the group takes.
 
 Both tokenizers always end a token before a space that stands between two
 characters that are no white space (checked for their vocabularies when they are
-read), so texts are cut there and each different piece is aligned once per
-worker while it is remembered. A text whose pieces do not give back its bytes is
-encoded whole, and has no tokens if that does not give them back either.
+read), so texts are cut there and each different piece is encoded and scanned
+once per worker while it is remembered, as four bytes for each token. A text
+whose pieces do not give back its bytes is encoded whole, and has no tokens if
+that does not give them back either.
 
 All A-B pairs of a group are links. An id pair's count is the number of texts
 that hold it linked. Counting is an aggregate of pairs with partial sums; counts
@@ -31,7 +32,6 @@ from __future__ import annotations
 import itertools
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,15 +42,17 @@ from pyspark.sql import functions as F
 from scriptorium.llm.common import worker_cache, written
 
 #: Pieces that a worker remembers in each of two generations, and the longest of them.
-REMEMBERED, SHORT = 120_000, 64
+REMEMBERED, SHORT = 250_000, 64
+#: Pieces of a text whose listing and links are made at one time.
+STRETCH = 20_000
 #: Texts, and characters of their listings, that go to Spark at one time.
 SOME, MUCH = 400, 8_000_000
 #: A pair that has this share of all rows, or more, is looked up in a broadcast table.
 HOT = 1e-5
 #: A space between two characters that no pattern takes for white space.
 _CUT = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
-#: A piece that begins and ends with no white space, so that others may stand before and after it.
-_WHOLE = re.compile(r"[^\s\u180e](?:.*[^\s\u180e])?", re.DOTALL)
+#: At the outer end of a text's first or last piece, so that no other may stand there.
+_OUTER = re.compile(r"[\s\u180e]")
 _OVER = re.compile(r"[^\s\u180e] ")
 _LABELS = bytes.maketrans(b"\x00\x01\x02\x03", b".abx")
 _GROUP = re.compile(rb"[^x]*x")
@@ -77,7 +79,7 @@ def signs_to_bytes() -> dict[str, int]:
 
 
 class Aligned:
-    """What is kept of a piece: listing of its groups, counts, and its links, each as eight bytes."""
+    """A stretch of a text: listing of its groups, counts, and its links, each as eight bytes."""
 
     __slots__ = ("listing", "n_a", "n_b", "n_groups", "pairs")
 
@@ -125,17 +127,18 @@ class Aligner:
         names_a, names_b = map(str, range(len(self.bytes_a))), map(str, range(len(self.bytes_b)))
         sides = [(x + ",", x + "|") for x in names_a] + [(x + ",", x + ";") for x in names_b]
         self.signs = np.array(list(itertools.chain.from_iterable(sides)), object)
-        self.known: dict[str, Aligned | None] = {}
-        self.before: dict[str, Aligned | None] = {}
+        #: Of each piece its tokens in the order of a listing, as indexes of ``signs``; none for one that does not give back its bytes.
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
-    def _encode(self, pieces: list[str]) -> list[Aligned | None]:
-        """Each piece with a space before it; None for one that does not give back its bytes. Several must be parted by cuts."""
+    def _encode(self, pieces: list[str]) -> list[bytes]:
+        """Each piece with a space before it; empty for one that does not give back its bytes. Several must be parted by cuts."""
         text = " ".join(pieces)
         ids_a, ids_b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
         raw = (" " + text).encode()
         if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
             half = len(pieces) // 2
-            return self._encode(pieces[:half]) + self._encode(pieces[half:]) if half else [None]
+            return self._encode(pieces[:half]) + self._encode(pieces[half:]) if half else [b""]
         ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         line = labels(self.len_a[ids_a].cumsum(), self.len_b[ids_b].cumsum(), len(raw))
         spans = _GROUP.findall(line)
@@ -146,69 +149,63 @@ class Aligner:
         last_a, last_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
         last_a[end_a - 1] = last_b[end_b - 1] = 1
         is_b = np.repeat(np.tile(np.array([False, True]), len(spans)), sizes)
-        codes = np.empty(len(is_b), np.int64)
+        codes = np.empty(len(is_b), np.int32)
         codes[~is_b], codes[is_b] = 2 * ids_a + last_a, 2 * (len(self.bytes_a) + ids_b) + last_b
-        signs = self.signs[codes].tolist()
-        # The links: each token of A as often as its group has tokens of B, with these in turn.
-        times = np.repeat(q, p)
-        past = times.cumsum()
-        turn = np.arange(past[-1]) - np.repeat(past - times, times) + np.repeat(np.repeat(end_b - q, p), times)
-        pairs = (np.repeat(ids_a, times) << 32 | ids_b[turn]).tobytes()
         # A piece ends with a group.
         ends = np.fromiter((len(x.encode()) + 1 for x in pieces), np.int64, len(pieces)).cumsum()
-        group = np.searchsorted(np.fromiter(map(len, spans), np.int64, len(spans)).cumsum(), ends) + 1
-        out: list[Aligned | None] = []
-        i0 = j0 = g0 = k0 = 0
-        for i, j, g, k in zip(end_a[group - 1].tolist(), end_b[group - 1].tolist(), group.tolist(), (8 * (p * q).cumsum()[group - 1]).tolist()):
-            out.append(Aligned("".join(signs[i0 + j0 : i + j])[:-1], i - i0, j - j0, g - g0, pairs[k0:k]))
-            i0, j0, g0, k0 = i, j, g, k
-        return out
-
-    def _learn(self, parts: list[str]) -> dict[str, Aligned | None]:
-        """The new pieces by name; short ones are remembered."""
-        new = {p for p in parts if p not in self.known}
-        short = {p for p in new if len(p) <= SHORT}
-        if len(self.known) + len(short) > REMEMBERED:
+        group = np.searchsorted(np.fromiter(map(len, spans), np.int64, len(spans)).cumsum(), ends)
+        held, past = codes.tobytes(), (codes.itemsize * (end_a + end_b)[group]).tolist()
+        return [held[i:j] for i, j in zip([0, *past], past)]
+
+    def _learn(self, new: set[str], outer: tuple[str, str]) -> dict[str, bytes]:
+        """The new pieces of a text by name; short ones are remembered. Of all, only the outer ones may begin or end with white space."""
+        if len(self.known) + len(new) > REMEMBERED:
             self.known, self.before = {}, self.known
-            new, short = set(parts), {p for p in set(parts) if len(p) <= SHORT}
-        for p in short & self.before.keys():
-            self.known[p] = self.before[p]
-        todo = [p for p in new if p not in self.known]
-        joined, alone = [], []
-        for p in todo:
-            (joined if _WHOLE.fullmatch(p) else alone).append(p)
-        got = dict(zip(joined, self._encode(joined))) if joined else {}
-        got |= {p: self._encode([p])[0] for p in alone}
+        got = {p: self.before[p] for p in new & self.before.keys()}
+        alone = {p for p in outer if p in new and p not in got and (_OUTER.match(p) or _OUTER.match(p[-1:]))}
+        joined = [p for p in new if p not in got and p not in alone]
+        if joined:
+            got.update(zip(joined, self._encode(joined)))
+        got.update((p, self._encode([p])[0]) for p in alone)
         self.known.update((p, v) for p, v in got.items() if len(p) <= SHORT)
         return got
 
+    def _aligned(self, pieces: list[bytes]) -> Aligned:
+        """Listing and links of pieces that follow each other."""
+        codes = np.frombuffer(b"".join(pieces), np.int32)
+        is_b = codes >= 2 * len(self.bytes_a)
+        a, b = codes[~is_b], codes[is_b]
+        end_a, end_b = np.flatnonzero(a & 1) + 1, np.flatnonzero(b & 1) + 1
+        p, q = np.diff(end_a, prepend=0), np.diff(end_b, prepend=0)
+        # Each token of A as often as its group has tokens of B, with these in turn.
+        times = np.repeat(q, p)
+        past = times.cumsum()
+        turn = np.arange(past[-1]) + np.repeat(np.repeat(end_b - q, p) - past + times, times)
+        links = np.repeat(a.astype(np.int64) >> 1 << 32, times) | (b.astype(np.int64)[turn] >> 1) - len(self.bytes_a)
+        return Aligned("".join(self.signs[codes].tolist())[:-1], len(a), len(b), len(p), links.tobytes())
+
     def align(self, text: str | None) -> list[Aligned] | None:
-        """The text's pieces in order; None if it has no tokens."""
+        """The text's stretches in order; None if it has no tokens."""
         if not text:
             return None
         parts = _CUT.split(text) if self.cuts else [text]
-        try:
-            got = [self.known[p] for p in parts]
-        except KeyError:
-            more = self._learn(parts)
-            get = self.known.get
-            got = [more[p] if p in more else get(p) for p in parts]
-        if None in got:
-            got = self._encode([text]) if len(parts) > 1 else [None]
-        return None if None in got else got
+        got = list(map(self.known.get, parts))
+        new = {p for p, v in zip(parts, got) if v is None}
+        if new:
+            more = self._learn(new, (parts[0], parts[-1]))
+            got = [more[p] if v is None else v for p, v in zip(parts, got)]
+        if not all(got):
+            got = self._encode([text]) if len(parts) > 1 else [b""]
+        return [self._aligned(got[i : i + STRETCH]) for i in range(0, len(got), STRETCH)] if all(got) else None
 
 
 def _row(doc_id: int | None, got: list[Aligned] | None) -> tuple:
     if got is None:
         return doc_id, 0, 0, 0, 0, "", ()
-    n_a = n_b = n_groups = 0
-    held: list[bytes] = []
-    for piece, n in Counter(got).items():
-        n_a, n_b, n_groups = n_a + n * piece.n_a, n_b + n * piece.n_b, n_groups + n * piece.n_groups
-        held.append(piece.pairs * n)
-    links = np.frombuffer(b"".join(held), np.int64)
+    numbers = (sum(getattr(x, k) for x in got) for k in ("n_a", "n_b", "n_groups"))
+    links = np.frombuffer(b"".join([x.pairs for x in got]), np.int64)
     keys, counts = np.unique(links, return_counts=True)
-    return doc_id, n_a, n_b, n_groups, len(links), ";".join([g.listing for g in got]), (keys, counts)
+    return doc_id, *numbers, len(links), ";".join([x.listing for x in got]), (keys, counts)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

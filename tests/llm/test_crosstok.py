@@ -149,3 +149,26 @@ def test_no_python_call_for_each_group():
     assert [x.listing for x in got] == [";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in want)]
     assert sorted(crosstok.np.frombuffer(got[0].pairs, crosstok.np.int64)) == sorted(x << 32 | y for a, b in want for x in a for y in b)
     assert len(want) > 3000 and calls < len(want) / 2
+
+
+def test_remembered_pieces_are_small(monkeypatch):
+    import tracemalloc
+
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choices("aeinrstdé", k=rng.randint(5, 11))) for _ in range(1000)) for _ in range(12)]
+    own = crosstok.Aligner(*PATHS)
+    own.align(texts[0])
+    held, n = len(own.known), 0
+    tracemalloc.start()
+    try:
+        for text in texts[1:]:
+            own.align(text)
+        n = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert n / (len(own.known) - held) < 300  # twice REMEMBERED pieces are 150 MB at most
+    monkeypatch.setattr(crosstok, "STRETCH", 3)
+    for text in [*texts[:2], "▁ mark", "  two  spaces \n\n and\tmore   end "]:
+        got, want = own.align(text), plain([text])[0]
+        assert ";".join(x.listing for x in got or []) == ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in want)
+        assert sum(x.n_groups for x in got or []) == len(want)
