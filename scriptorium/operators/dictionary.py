@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.sources.scratch import written
 
-#: A list of at most so many words, of LONGEST letters each, is sent to all workers: 20 MB of letters at most. Of tokens that
-#: are held against a longer list, at most so many of the most frequent words are.
+#: A list of at most so many words, of LONGEST letters on average, is sent to all workers: 20 MB of letters at most. Of tokens
+#: that are held against a longer list, at most so many of the most frequent words are, none of more than LONGEST letters.
 SMALL, LONGEST = 200_000, 100
 #: Words are taken as frequent by steps of this share of a doubling of their counts.
 STEP = 0.25
@@ -38,16 +38,17 @@ def count_listed(df: DataFrame, key: str, tokens: Column, words: DataFrame, part
     """(key, n_listed): how many of a row's tokens, repeats included, are in the list (word, in lower case).
 
     With ``parts`` a token is in it if any of its hyphenated parts is. Keys are unique; a key without listed tokens is
-    absent. A list of at most ``small`` words goes to all workers, so only one sum for each key and task is shuffled. Of a
-    longer one, what it says of the tokens' most frequent words does; only the other tokens are joined by word, and as
-    those are rare words, no word has many."""
-    words = words.select("word").where(F.col("word").isNotNull() & (F.length("word") <= LONGEST)).distinct()
+    absent. A list of at most ``small`` words, of LONGEST letters on average, goes to all workers, so only one sum for each
+    key and task is shuffled. Of a longer one, what it says of the tokens' most frequent words does; only the other tokens
+    are joined by word: rare words, of which none has many, and words of more than LONGEST letters, whatever their number."""
+    words = words.select("word").where("word IS NOT NULL").distinct()
     one = F.posexplode(F.transform(tokens, _parts if parts else lambda t: F.array(F.lower(t)))).alias("pos", "parts")
     at = df.select(key, one)
     # Tokens of one part need no place: they are counted. Of the others, places are, as several parts may be listed.
     place = F.when(F.size("parts") > 1, F.col("pos"))
     at = at.select(key, place.alias("pos"), F.explode("parts").alias("word"))
-    if words.limit(small + 1).count() <= small:
+    n, letters = words.limit(small + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
+    if n <= small and letters <= small * LONGEST:
         got = at.join(F.broadcast(words), "word", "left_semi").groupBy(key, "pos").agg(F.count(F.lit(1)).alias("n"))
     else:
         frequent, rare = _by_frequency(at, words)

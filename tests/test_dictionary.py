@@ -48,3 +48,16 @@ def test_only_tokens_of_rare_words_are_shuffled(spark, monkeypatch, parts):
     left = {r.word: r.n for r in tables["settled-tokens"].where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     assert "y" * 200 in left and 100 < len(left) < 210 and not left.keys() & {"the", "of", "zzz", "w1"}
     assert sum(left.values()) < sum(len(t or []) for _, t in rows) / 2
+
+
+@pytest.mark.parametrize("small", [10_000, 2, 0])
+@pytest.mark.parametrize("parts", [False, True])
+def test_long_words_of_the_list_count(spark, small, parts):
+    long, longer = "x" * 150, "z" * 5000
+    listed = ["the", long] if small == 2 else ["the", long, longer]
+    rows = [(1, [long, longer.upper(), "the", "y" * 150]), (2, [f"the-{long}", f"odd-{longer}"]), (3, [long] * 500), (4, ["y" * 150])]
+    words = spark.createDataFrame([(w,) for w in listed], "word string")
+    df = spark.createDataFrame(rows, "id long, tokens array<string>")
+    got = {r.id: r.n_listed for r in dictionary.count_listed(df, "id", F.col("tokens"), words, parts, small).collect()}
+    want = {k: sum(any(p in listed for p in (t.lower().split("-") if parts else [t.lower()])) for t in tokens) for k, tokens in rows}
+    assert got == {k: n for k, n in want.items() if n} and got[3] == 500
