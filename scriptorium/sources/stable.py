@@ -17,6 +17,9 @@ def _ordered(t: DataType) -> bool:
 
 #: Files of a task, on average, at most.
 FILES = 32
+#: With these a column has one encoding. Of several, the footer's list stands in the order of a hash set that each JVM has
+#: its own way, so files of two executors would differ.
+ONE_ENCODING = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
 
 
 def in_files(df: DataFrame, order: list[str], rows: int) -> DataFrame:
@@ -50,7 +53,7 @@ def _placed(df: DataFrame, order: list[str], rows: int) -> tuple[DataFrame, Data
 def write_stable(df: DataFrame, order: list[str], path: str, rows: int = 1_000_000) -> None:
     """A sorted table in folders file=0, file=1, ..., of ``rows`` rows each, the last one less.
 
-    The same rows give the same bytes in each folder (the names of Parquet files differ). A file is one task's, sorted with
+    The same rows give the same bytes in each folder, whichever executor writes it (the names of Parquet files differ). A file is one task's, sorted with
     spilling; column names that begin with _ and the name ``file`` are taken. An empty table gives no file."""
     at, counts = _placed(df, order, rows)
     files = -(-(counts.agg(F.sum("_n")).first()[0] or 0) // rows)
@@ -59,7 +62,7 @@ def write_stable(df: DataFrame, order: list[str], path: str, rows: int = 1_000_0
     # Distinct rows are dealt, by a number that Spark does not lower for their few bytes, and copied where they are written.
     at = at.repartition(tasks, "_file").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     at = at.sortWithinPartitions("_file", *by)
-    at.select(*df.columns, F.col("_file").alias("file")).write.mode("overwrite").partitionBy("file").parquet(path)
+    at.select(*df.columns, F.col("_file").alias("file")).write.options(**ONE_ENCODING).mode("overwrite").partitionBy("file").parquet(path)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
